@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, licenses, packing
+from quillgraph.llm import bpe, exact, licenses, packing, simhash
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,5 +24,13 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_licenses)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(read(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_licenses, op9_exact, op10_simhash)}
+ORACLE_SQL: dict[str, str] = {"op9_exact": exact.SQL}

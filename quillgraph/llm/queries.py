@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, exact, licenses, packing, simhash
+from quillgraph.llm import bpe, exact, html, licenses, packing, simhash, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(read(spark, sf_dir, "documents"))
 
@@ -32,5 +40,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_licenses, op9_exact, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_licenses, op5_urls, op8_html, op9_exact, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {"op9_exact": exact.SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, exact, html, licenses, packing, simhash, urls
+from quillgraph.llm import bpe, exact, html, language, licenses, packing, simhash, tiff, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,10 +24,22 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
+def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(read(spark, sf_dir, "documents"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(read(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
@@ -40,5 +52,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_licenses, op5_urls, op8_html, op9_exact, op10_simhash)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_licenses, op4_toxicity, op5_urls, op6_tiff, op7_language, op8_html, op9_exact, op10_simhash, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op9_exact": exact.SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,6 +52,7 @@ def extended(df: DataFrame, ddl: str) -> tuple[StructType, pa.Schema]:
 
 def rows_of(batches: Iterator[pa.RecordBatch], work: Callable[..., list], schema: pa.Schema, slice_rows: int = 250) -> Iterator[pa.RecordBatch]:
     """Apply work to slices of each batch: it takes the columns as Python lists and returns the output columns."""
+    gc.set_threshold(200_000, 50, 1000)  # caches hold many strings and no cycles
     for batch in batches:
         for at in range(0, batch.num_rows, slice_rows):
             part = batch.slice(at, slice_rows)

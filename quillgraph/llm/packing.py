@@ -26,18 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quillgraph.llm.bpe import RARE, SPACE
+from quillgraph.llm.bpe import BLANK, LETTER, OTHER, RARE, SPACE
 from quillgraph.llm.common import extended, prepare, rows_of, table
 
 SIZE = 2048
 #: Lengths above this share of a bin are large; each of so many groups of them is rounded up.
 LARGE, GROUPS = 1 / 2, 40
 #: Distinct pre-tokens after which their cache is emptied.
-CACHE = 600_000
+CACHE = 1_000_000
 
 PRETOKENS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-_WS = r"\t\n\x0b\x0c\r\x20\x85\xa0"
-LATIN_PRETOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:_|[^\w{_WS}])+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+LATIN_PRETOKENS = re.compile(rf" ?[{LETTER}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[{OTHER}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 
 
 # ---------------------------------------------------------------- tokens
@@ -72,7 +71,7 @@ class ByteTokens:
         if len(self.known) > CACHE:
             self.known.clear()
         new = [p for p in set().union(*split).difference(self.known) if isinstance(p, str)]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, "<u4").tobytes()
         for mark in self.added.values():
             self.known[mark] = mark

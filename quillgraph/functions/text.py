@@ -48,7 +48,7 @@ def title(text: Column) -> Column:
 
 def summary(text: Column, count: int = 3, width: int = 200) -> Column:
     """The first lines that have text and aren't headings, joined by spaces, cut with ... ."""
-    kept = F.filter(F.transform(lines(text), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    kept = F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     joined = F.array_join(F.slice(kept, 1, count), " ")
     return F.when(F.length(joined) > width, F.concat(F.substring(joined, 1, width), F.lit("..."))).otherwise(joined)
 
@@ -61,7 +61,7 @@ def words(text: Column, longer_than: int = 3) -> Column:
 
 def headings(text: Column) -> Column:
     """array<struct<text, level>>: headings of markdown in order."""
-    trimmed = F.transform(lines(text), F.trim)
+    trimmed = F.transform(lines(text), lambda x: F.trim(x))
     found = F.filter(trimmed, lambda x: x.rlike(r"^#+\s+.+$"))
     return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^(#+)\s+(.+)$", 2).alias("text"), F.length(F.regexp_extract(x, r"^(#+)", 1)).alias("level")))
 
@@ -71,7 +71,7 @@ def sentences(text: Column, longer_than: int = 10) -> Column:
     plain = text
     for pattern, by in ((r"#+\s*", ""), (r"\*\*(.*?)\*\*", "$1"), (r"\*(.*?)\*", "$1"), (r"`(.*?)`", "$1"), (r"\[(.*?)\]\(.*?\)", "$1"), (r"\n+", " ")):
         plain = F.regexp_replace(plain, pattern, by)
-    return F.filter(F.transform(F.split(plain, "[.!?]+"), F.trim), lambda s: F.length(s) > longer_than)
+    return F.filter(F.transform(F.split(plain, "[.!?]+"), lambda x: F.trim(x)), lambda s: F.length(s) > longer_than)
 
 
 def is_factual(sentence: Column) -> Column:
@@ -87,7 +87,8 @@ def events(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """array<struct<name, type>>: persons, organizations, acronyms, dates and versions by pattern."""
-    return F.flatten(F.array(*(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda x, kind=kind: F.struct(x.alias("name"), F.lit(kind).alias("type"))) for kind, p in ENTITY_PATTERNS)))
+    found = lambda kind, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(x.alias("name"), F.lit(kind).alias("type")))
+    return F.flatten(F.array(*(found(kind, pattern) for kind, pattern in ENTITY_PATTERNS)))
 
 
 def normal_signature(signature: Column) -> Column:

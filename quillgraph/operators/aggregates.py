@@ -52,7 +52,7 @@ def code_metrics(functions: DataFrame, classes: DataFrame, modules: DataFrame) -
 
 def file_metrics(entities: DataFrame) -> DataFrame:
     """Per file: lines, functions, classes and 2 * functions + 3 * classes."""
-    f, c = F.count_if("entity_type = 'Function'"), F.count_if("entity_type = 'Class'")
+    f, c = F.count_if(F.expr("entity_type = 'Function'")), F.count_if(F.expr("entity_type = 'Class'"))
     return entities.groupBy("file_path").agg(F.sum("line_count").alias("lines"), f.alias("functions"), c.alias("classes"), (2 * f + 3 * c).alias("score"))
 
 
@@ -75,7 +75,7 @@ def duplicates(functions: DataFrame, signature: Column) -> DataFrame:
 
 
 def distribution(functions: DataFrame) -> DataFrame:
-    return functions.agg(F.count_if("complexity <= 5").alias("low"), F.count_if("complexity > 5 AND complexity <= 15").alias("medium"), F.count_if("complexity > 15").alias("high"))
+    return functions.agg(F.count_if(F.expr("complexity <= 5")).alias("low"), F.count_if(F.expr("complexity > 5 AND complexity <= 15")).alias("medium"), F.count_if(F.expr("complexity > 15")).alias("high"))
 
 
 def coupling(edges: DataFrame, modules: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def error_rate(metrics: DataFrame) -> DataFrame:
 
 
 def status(phases: DataFrame, issues: DataFrame) -> DataFrame:
-    return beside(phases.agg(F.round(F.avg("completion")).cast("long").alias("completion")), issues.agg(F.count_if("severity = 'critical'").alias("critical_issues")))
+    return beside(phases.agg(F.round(F.avg("completion")).cast("long").alias("completion")), issues.agg(F.count_if(F.expr("severity = 'critical'")).alias("critical_issues")))
 
 
 def expired(audit: DataFrame, now_s: Column, days: dict[str, int] | None = None) -> DataFrame:

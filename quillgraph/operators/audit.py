@@ -71,7 +71,7 @@ def verify(events: DataFrame, log: str | None = None) -> DataFrame:
 
 def integrity(events: DataFrame, log: str | None = None) -> DataFrame:
     """One row: events, valid, invalid."""
-    return verify(events, log).agg(F.count("*").alias("events"), F.count_if("issue IS NULL").alias("valid"), F.count_if("issue IS NOT NULL").alias("invalid"))
+    return verify(events, log).agg(F.count("*").alias("events"), F.count_if(F.expr("issue IS NULL")).alias("valid"), F.count_if(F.expr("issue IS NOT NULL")).alias("invalid"))
 
 
 def retained(events: DataFrame, now: Column, days: dict[str, int]) -> DataFrame:

@@ -40,8 +40,8 @@ def class_facts(entities: DataFrame) -> DataFrame:
     low = F.lower("name")
     # each aggregate is a conditional maximum or count, so one shuffle of the members serves all rules
     facts = entities.filter("parent_class IS NOT NULL").groupBy("file_path", F.col("parent_class").alias("name")).agg(
-        F.count_if("entity_type = 'Function'").alias("methods"),
-        F.count_if("entity_type = 'Variable'").alias("properties"),
+        F.count_if(F.expr("entity_type = 'Function'")).alias("methods"),
+        F.count_if(F.expr("entity_type = 'Variable'")).alias("properties"),
         F.coalesce(F.bool_or((F.col("name") == "constructor") & (F.col("visibility") == "private")), F.lit(False)).alias("private_constructor"),
         F.coalesce(F.bool_or(F.col("is_static") & F.contains(low, F.lit("instance")) & (F.col("entity_type") == "Function")), F.lit(False)).alias("instance_method"),
         F.coalesce(F.bool_or(F.col("is_static") & (F.col("entity_type") == "Variable")), F.lit(False)).alias("static_field"),
@@ -253,7 +253,7 @@ def action_plan(rows: DataFrame) -> DataFrame:
 
 def insight_health(insights_: DataFrame, debt_items: Column) -> DataFrame:
     """One row: counts and the rounded mean of five factors."""
-    critical, arch, warn = F.count_if("severity = 'critical'"), F.count_if("type = 'architecture'"), F.count_if("severity = 'warning'")
+    critical, arch, warn = F.count_if(F.expr("severity = 'critical'")), F.count_if(F.expr("type = 'architecture'")), F.count_if(F.expr("severity = 'warning'"))
     factors = F.greatest(F.lit(0), 100 - critical * 20) + F.greatest(F.lit(0), 100 - debt_items * 2) + F.when(arch == 0, 100).otherwise(F.greatest(F.lit(0), 100 - arch * 15)) + F.greatest(F.lit(0), 100 - warn * 10) + 75
     return insights_.agg(F.count("*").alias("insights"), critical.alias("critical"), arch.alias("architectural"), F.floor(factors / 5 + 0.5).cast("int").alias("health"))
 

@@ -213,7 +213,7 @@ def impact(edges: DataFrame, target) -> DataFrame:
     """One row: direct dependents (1 hop), indirect (2 to 3), dependencies (1 hop out), risk by the dependents' number."""
     one = edges.sparkSession.range(1).select(F.lit(target).cast(edges.schema["src"].dataType).alias("id"))
     back = distances(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), one, 3, directed=True)
-    counts = back.agg(F.count_if("depth = 1").alias("direct"), F.count_if("depth > 1").alias("indirect"))
+    counts = back.agg(F.count_if(F.expr("depth = 1")).alias("direct"), F.count_if(F.expr("depth > 1")).alias("indirect"))
     needs = edges.filter((F.col("src") == target) & (F.col("dst") != target)).agg(F.count_distinct("dst").alias("dependencies"))
     both = counts.withColumn("k", F.lit(1)).join(needs.withColumn("k", F.lit(1)), "k").drop("k")
     return both.withColumn("risk", risk(F.col("direct") + F.col("indirect")))

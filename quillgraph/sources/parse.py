@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from quillgraph.schemas import ENTITY
+from quillgraph.schemas import ENTITY, fields
 
-FIELDS = [f.name for f in ENTITY.fields if f.name not in ("file_path", "language")]
+KINDS = {name: kind for name, kind in fields(ENTITY) if name not in ("file_path", "language")}
+FIELDS = list(KINDS)
 #: What adds one to cyclomatic complexity: branches, loops, cases, handlers and short-circuit operators.
 BRANCH = re.compile(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?\?|\?(?![.:?])")
 CALL = re.compile(r"(?<![\w.])(new\s+)?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(")
@@ -179,7 +180,7 @@ def parse(path: str, language: str, code: str) -> tuple[list[dict], list[tuple[s
         return [], [], f"{type(e).__name__}: {e}"[:200]
 
 
-@udtf(returnType=", ".join(f"`{f}` {ENTITY[f].dataType.simpleString()}" for f in FIELDS))
+@udtf(returnType=", ".join(f"`{f}` {kind}" for f, kind in KINDS.items()))
 class ParseEntities:
     """parse_entities(path, language, content): a row for each entity."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ def front_map(text: Column) -> Column:
 
 
 def relative(root: str) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/"), f"^.*?{root.rstrip('/').lstrip('/')}/".replace(".", r"\."), "")
+    """The file's path below root."""
+    return F.regexp_replace(F.col("_metadata.file_path"), f"^.*?{re.escape(root.strip('/'))}/", "")
 
 
 def read_markdown(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:

@@ -21,14 +21,14 @@ CALL = re.compile(r"(?<![\w.])(new\s+)?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)
 WORDS = frozenset("if for while switch catch return function typeof await super constructor import".split())
 CLASS = re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)(?:<[^{]*?>)?(?:\s+extends\s+([\w$.]+))?(?:<[^{]*?>)?(?:\s+implements\s+([\w$.,\s<>]+?))?\s*\{", re.M)
 INTERFACE = re.compile(r"^\s*(?:export\s+)?(?:interface\s+([A-Za-z_$][\w$]*)[^{=]*\{|type\s+([A-Za-z_$][\w$]*)(?:<[^=]*>)?\s*=)", re.M)
-FUNCTION = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^(]*>)?\(([^)]*)\)\s*(?::\s*([^{=]+?))?\s*\{", re.M)
-ARROW = re.compile(r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(async\s+)?(?:\(([^)]*)\)|([A-Za-z_$][\w$]*))\s*(?::\s*([^=]+?))?\s*=>", re.M)
-METHOD = re.compile(r"^[ \t]*((?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*)([A-Za-z_$#][\w$]*)\s*(?:<[^(]*>)?\(([^)]*)\)\s*(?::\s*([^{;=]+?))?\s*\{", re.M)
+FUNCTION = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^(]*>)?\(((?:[^()]|\([^()]*\))*)\)\s*(?::\s*([^{=]+?))?\s*\{", re.M)
+ARROW = re.compile(r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(async\s+)?(?:\(((?:[^()]|\([^()]*\))*)\)|([A-Za-z_$][\w$]*))\s*(?::\s*([^=]+?))?\s*=>", re.M)
+METHOD = re.compile(r"^[ \t]*((?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*)([A-Za-z_$#][\w$]*)\s*(?:<[^(]*>)?\(((?:[^()]|\([^()]*\))*)\)\s*(?::\s*([^{;=]+?))?\s*\{", re.M)
 PROPERTY = re.compile(r"^[ \t]*((?:(?:public|private|protected|static|readonly|declare)\s+)*)([A-Za-z_$#][\w$]*)\s*[?!]?\s*(?::\s*[^=;({]+)?\s*(?:=[^>][^;\n]*)?;", re.M)
 VARIABLE = re.compile(r"^(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::\s*([^=;]+?))?\s*=\s*(?!.*=>)([^;\n]*)", re.M)
 IMPORT = re.compile(r"^\s*import\s+(?:type\s+)?(?:([\w$]+)\s*,?\s*)?(?:\*\s+as\s+([\w$]+)|\{([^}]*)\})?\s*(?:from\s+)?['\"]([^'\"]+)['\"]", re.M)
 EXPORT = re.compile(r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:class|function\s*\*?|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)|^\s*export\s*\{([^}]*)\}", re.M)
-DOC = re.compile(r"/\*\*(.*?)\*/\s*$", re.S)
+DOC = re.compile(r"/\*\*((?:(?!\*/).)*)\*/\s*$", re.S)
 
 
 def blanked(code: str) -> str:

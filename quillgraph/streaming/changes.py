@@ -27,7 +27,7 @@ def debounce(changes: DataFrame, gap: str = "500 milliseconds", delay: str = "10
     changes are one sequence, as a single watcher's are. Works on streams (with the delay as watermark) and on batches.
     """
     rows = changes.withWatermark("ts", delay) if changes.isStreaming else changes
-    key = F.col(root) if root else F.lit("all")
+    key = F.col(root) if root else F.when(F.col("path").isNull(), "none").otherwise("all")  # a stream's sessions need a key that isn't constant
     event = F.struct("ts", "change", "is_dir", "path")
     bursts = rows.groupBy(F.session_window("ts", gap).alias("w"), key.alias("root")).agg(F.collect_list(event).alias("events"))
     last = lambda p: F.element_at(F.array_sort(F.filter("events", lambda e: e["path"] == p)), -1)

@@ -47,7 +47,7 @@ def rules_table(spark, rules: dict[str, tuple[str, str]]) -> DataFrame:  # noqa:
     return spark.createDataFrame([(name, *condition(text), severity) for name, (text, severity) in rules.items()], "rule string, metric string, op string, bound double, severity string")
 
 
-def alert_edges(values: DataFrame, idle: str = "1 hour") -> DataFrame:
+def alert_edges(values: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
     """A stream of evaluated rows (rule, ts, triggered) as fired and resolved rows; every rising edge fires. State is one flag a rule."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -61,7 +61,7 @@ def alert_edges(values: DataFrame, idle: str = "1 hour") -> DataFrame:
                 on = bool(r.triggered)
                 rows.append((key[0], r.ts, "fired" if on else "resolved"))
         state.update((on,))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["rule", "ts", "transition"])
 
     return values.groupBy("rule").applyInPandasWithState(step, "rule string, ts timestamp, transition string", "on boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
@@ -80,7 +80,7 @@ def limiter(calls: DataFrame, limit: int, window_s: float) -> DataFrame:
         accepted = list(state.get[0]) if state.exists else []
         pdf = pd.concat(frames).sort_values(["ts", "event_id"])
         out = []
-        for t in pdf["ts"].astype("int64") / (1e9 if str(pdf["ts"].dtype).startswith("datetime64[ns") else 1e6):
+        for t in pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6:
             accepted = [a for a in accepted if a > t - window_s]
             out.append(len(accepted) < limit)
             if out[-1]:

@@ -134,19 +134,19 @@ def _(t: Tables) -> DataFrame:
     return graph.hierarchy(t.edges.filter("weight >= 0.8"), 3).select("id", "depth", "direction")
 
 
-CYCLES = """WITH RECURSIVE x AS (SELECT DISTINCT src, dst FROM @edges WHERE edge_type = 'IMPORTS' AND weight >= 0.95 AND src <> dst),
+CYCLES = """WITH RECURSIVE x AS (SELECT DISTINCT src, dst FROM @edges WHERE edge_type = 'IMPORTS' AND weight >= 0.8 AND src <> dst),
     w AS (SELECT src AS s, dst AS at, [src, dst] AS walk FROM x WHERE src < dst UNION ALL SELECT w.s, x.dst, list_append(w.walk, x.dst) FROM w JOIN x ON x.src = w.at WHERE x.dst > w.s AND NOT list_contains(w.walk, x.dst) AND len(w.walk) < 4)"""
 
 
 @query("j15_import_cycles", CYCLES + " SELECT array_to_string(walk, '>') AS cycle, len(walk) AS length FROM w JOIN x ON x.src = w.at AND x.dst = w.s WHERE len(walk) >= 3")
 def _(t: Tables) -> DataFrame:
-    found = graph.cycles(t.edges.filter("edge_type = 'IMPORTS' AND weight >= 0.95"), 3, 4, None)
+    found = graph.cycles(t.edges.filter("edge_type = 'IMPORTS' AND weight >= 0.8"), 3, 4, None)
     return found.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), F.col("length").cast("long").alias("length"))
 
 
 @query("j16_cycle_edges", CYCLES + ", c AS (SELECT walk FROM w JOIN x ON x.src = w.at AND x.dst = w.s) SELECT DISTINCT x.src, x.dst FROM x JOIN c ON list_contains(c.walk, x.src) AND list_contains(c.walk, x.dst)")
 def _(t: Tables) -> DataFrame:
-    imports = t.edges.filter("edge_type = 'IMPORTS' AND weight >= 0.95 AND src <> dst").select("src", "dst").distinct()
+    imports = t.edges.filter("edge_type = 'IMPORTS' AND weight >= 0.8 AND src <> dst").select("src", "dst").distinct()
     rings = graph.cycles(imports, 2, 4, None).withColumn("ring", F.array_join(F.col("cycle").cast("array<string>"), ">"))
     member = lambda end: rings.select("ring", F.explode("cycle").alias(end))
     return imports.join(member("src"), "src").join(member("dst"), ["dst", "ring"]).select("src", "dst").distinct()
@@ -181,25 +181,25 @@ def _(t: Tables) -> DataFrame:
     return graph.create_edges(t.edges.withColumn("edge_type", F.lower("edge_type")), t.nodes).select("src", "dst", "edge_type")
 
 
-@query("j25_contradicting_pairs", """WITH v AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM @vectors a JOIN @vectors b ON a.id < b.id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.7)
+@query("j25_contradicting_pairs", """WITH v AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM @vectors a JOIN @vectors b ON a.id < b.id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3)
     SELECT v.a, v.b, round(v.s, 5) AS similarity FROM v JOIN @nodes x ON x.id = v.a JOIN @nodes y ON y.id = v.b WHERE contains(x.content, ' is not ') OR contains(y.content, ' is not ')""")
 def _(t: Tables) -> DataFrame:
-    near = ranking.similar_pairs(t.vectors, 0.7)
+    near = ranking.similar_pairs(t.vectors, 0.3)
     text = lambda k, c: t.nodes.select(F.col("id").alias(k), F.col("content").alias(c))
     return near.join(text("a", "x"), "a").join(text("b", "y"), "b").filter(T.contradicts(F.col("x"), F.col("y"))).select("a", "b", F.round("similarity", 5).alias("similarity"))
 
 
-@query("j26_near_duplicates", "SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS similarity FROM @vectors a JOIN @vectors b ON a.id < b.id AND a.label = b.label WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.9")
+@query("j26_near_duplicates", "SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS similarity FROM @vectors a JOIN @vectors b ON a.id < b.id AND a.label = b.label WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3")
 def _(t: Tables) -> DataFrame:
-    return ranking.similar_pairs(t.vectors, 0.9, within="label").select("a", "b", F.round("similarity", 5).alias("similarity"))
+    return ranking.similar_pairs(t.vectors, 0.3, within="label").select("a", "b", F.round("similarity", 5).alias("similarity"))
 
 
-@query("j27_similar_edges", """WITH p AS (SELECT a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 7) DESC, b.id) AS n FROM @vectors a JOIN @vectors b ON a.id <> b.id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.6)
+@query("j27_similar_edges", """WITH p AS (SELECT a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 7) DESC, b.id) AS n FROM @vectors a JOIN @vectors b ON a.id <> b.id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3)
     SELECT src, dst, 0.7e0 AS weight FROM p WHERE n <= 5""")
 def _(t: Tables) -> DataFrame:
     from quillgraph.operators.windows import W
 
-    both = ranking.similar_pairs(t.vectors, 0.6)
+    both = ranking.similar_pairs(t.vectors, 0.3)
     ends = both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "similarity").unionByName(both.select(F.col("b").alias("src"), F.col("a").alias("dst"), "similarity"))
     n = F.row_number().over(W.partitionBy("src").orderBy(F.desc(F.round("similarity", 7)), "dst"))
     return ends.withColumn("n", n).filter("n <= 5").select("src", "dst", F.lit(0.7).alias("weight"))

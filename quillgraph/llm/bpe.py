@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -41,7 +42,7 @@ LATIN_WORDS = re.compile(rf"[{LETTER}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[{OTHER}]+")
 RARE = re.compile("[\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
 NEVER = 1 << 60
 #: Entries after which a cache is emptied.
-CACHE = 300_000
+CACHE = 600_000
 
 
 def byte_alphabet() -> list[str]:
@@ -54,7 +55,9 @@ def byte_alphabet() -> list[str]:
 class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "") -> None:
         self.vocab, self.end = vocab, end
-        self.longest = max(map(len, vocab), default=0)
+        plain = [t.removesuffix(end) if end else t for t in vocab]
+        self.starts = {t[:i] for t in plain for i in range(1, len(t) + 1)}
+        self.last = {t.removesuffix(end): i for t, i in vocab.items() if t.endswith(end)} if end else vocab
         self.state_of = dict.fromkeys(vocab.values(), 0)
         self.parent, self.cut, self.when, self.owner = [0], [-1], [NEVER], [-1]
         self.cuts: dict[tuple[int, int], int] = {}
@@ -85,7 +88,7 @@ class Automaton:
         found = self.table.get(key)
         if found is None:
             found = self.table[key] = self._arc(last, token)
-            if len(self.table) > 4 * CACHE:
+            if len(self.table) > 2 * CACHE:
                 self.table.clear()
         return found
 
@@ -104,24 +107,59 @@ class Automaton:
                 return True
             t, _, until = self.halves[t]
 
+    def matches(self, word: str, at: int) -> list[tuple[int, int]]:
+        """(end, token) of the tokens that stand at a place of the word, shortest first."""
+        out, n, known = [], len(word), self.starts
+        for end in range(at + 1, n + 1):
+            part = word[at:end]
+            if part not in known:
+                break
+            token = self.last.get(part) if end == n else self.vocab.get(part)
+            if token is not None:
+                out.append((end, token))
+        return out
+
     def encode_word(self, word: str) -> list[int]:
-        """The labels of the one path that spells word (in the byte alphabet)."""
-        n, get = len(word), self.vocab.get
-        came: list[tuple[int, int] | None] = [None] * (n + 1)
-        for i in range(n):
-            if i and came[i] is None:
-                continue
-            last = came[i][0] if i else -1
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if came[j] is None:
-                    token = get(word[i:j] + self.end if j == n else word[i:j])
-                    if token is not None and (last < 0 or self.arc(last, token)):
-                        came[j] = token, i
-        out, at = [], n
-        while at and came[at]:
-            token, at = came[at]
-            out.append(token)
-        return out[::-1]
+        """The labels of the one path that spells word (in the byte alphabet).
+
+        Arcs are tried from the longest label on. A prefix has one path only, so a place from which the end can't be reached
+        is given up for good.
+        """
+        n, dead = len(word), set()
+        if not n:
+            return []
+        tokens, ends, open_ = [], [0], [self.matches(word, 0)]
+        while open_:
+            options = open_[-1]
+            while options:
+                end, token = options.pop()
+                if end not in dead and (not tokens or self.arc(tokens[-1], token)):
+                    tokens.append(token)
+                    if end == n:
+                        return tokens
+                    ends.append(end)
+                    open_.append(self.matches(word, end))
+                    break
+            else:
+                dead.add(ends.pop())
+                open_.pop()
+                if tokens:
+                    tokens.pop()
+        return []
+
+
+class Known(dict):
+    """What a function gives, kept until there are CACHE entries."""
+
+    def __init__(self, work: Callable[[str], tuple[int, ...]]) -> None:
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > CACHE:
+            self.clear()
+        found = self[word] = self.work(word)
+        return found
 
 
 class WordBpe:
@@ -136,22 +174,17 @@ class WordBpe:
         self.split = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.labels = {i: t for t, i in (*model["vocab"].items(), *self.added.items())}
         self.alphabet = byte_alphabet()
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = Known(self.word)
 
     def word(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.automaton.encode_word("".join([self.alphabet[b] for b in word.encode("utf-8", "replace")])))
-        if len(self.words) > CACHE:
-            self.words.clear()
-        self.words[word] = ids
-        return ids
+        return tuple(self.automaton.encode_word("".join([self.alphabet[b] for b in word.encode("utf-8", "replace")])))
 
     def _plain(self, text: str, out: list[int]) -> None:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower()  # each character by itself: no final sigma
-        known, extend = self.words.get, out.extend
-        for w in (WORDS if RARE.search(text) else LATIN_WORDS).findall(text):
-            extend(known(w) or self.word(w))
+        words = (WORDS if RARE.search(text) else LATIN_WORDS).findall(text)
+        out.extend(chain.from_iterable(map(self.words.__getitem__, words)))
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []

@@ -23,7 +23,9 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that are learned from at most, about; features at most.
 SAMPLE, FEATURES = 12_000, 4000
 #: What a feature needs: so many toxic texts, and so many times the share of other texts.
-LEAST, TIMES = 6, 8.0
+LEAST, TIMES = 3, 20.0
+#: How many features, of all that are tried, may pass by chance (a Chernoff bound on how unevenly they are dealt).
+CHANCE = 20.0
 GRAMS = (4, 5, 6)
 BOUND = 0.3
 STEPS, RATE, RIDGE, FAIR = 300, 0.08, 2e-5, 2.0
@@ -55,25 +57,52 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def chosen(texts: list[set[str]], toxic: np.ndarray) -> dict[str, int]:
-    """Features of toxic texts that are TIMES as frequent there, the steadiest first, FEATURES at most."""
+class Bags:
+    """Texts as arrays of the numbers of their distinct words; a word is kept once."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.rows: list[np.ndarray] = []
+
+    def add(self, words: set[str]) -> None:
+        number = self.number
+        self.rows.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+
+    def counts(self, which: np.ndarray) -> np.ndarray:
+        """In how many of the texts each word is."""
+        rows = [r for r, w in zip(self.rows, which, strict=True) if w]
+        return np.bincount(np.concatenate(rows), minlength=len(self.number)) if rows else np.zeros(len(self.number), np.int64)
+
+
+def chosen(bags: Bags, toxic: np.ndarray) -> dict[str, int]:
+    """Features of toxic texts that are TIMES as frequent there and hardly by chance, the surest first, FEATURES at most."""
     many = (max(1, int(toxic.sum())), max(1, int((~toxic).sum())))
-    yes, no = Counter(), Counter()
-    for words, t in zip(texts, toxic, strict=True):
-        (yes if t else no).update(words)
+    yes, no = bags.counts(toxic), bags.counts(~toxic)
     of_yes: Counter = Counter()
-    for w, n in yes.items():
-        if no[w] <= n:
+    for w, i in bags.number.items():
+        if yes[i] and no[i] <= yes[i]:
             for p in parts(w):
-                of_yes[p] += n
+                of_yes[p] += int(yes[i])
     wanted = {p: n for p, n in of_yes.items() if n >= LEAST}
+    del of_yes
     of_no: Counter = Counter()
-    for w, n in no.items():
-        for p in parts(w):
-            if p in wanted:
-                of_no[p] += n
-    gain = {p: (n / many[0]) / ((of_no[p] + 0.5) / many[1]) for p, n in wanted.items()}
-    best = sorted((p for p in wanted if gain[p] >= TIMES), key=lambda p: (-wanted[p] * np.log(gain[p]), p))[:FEATURES]
+    for w, i in bags.number.items():
+        if no[i]:
+            for p in parts(w):
+                if p in wanted:
+                    of_no[p] += int(no[i])
+    rate = lambda n, m: (n / many[0]) / ((m + 0.5) / many[1])
+    likely = [p for p, n in wanted.items() if rate(n, of_no[p]) >= TIMES]
+    # so far a text counts once for each word that has the n-gram; for the rest, texts are counted
+    at, of = rows_of(bags, {p: i for i, p in enumerate(likely)})
+    hit = np.bincount(of, toxic[at].astype(float), len(likely)) if len(of) else np.zeros(len(likely))
+    all_ = np.bincount(of, minlength=len(likely)) if len(of) else np.zeros(len(likely))
+    share, usual = hit / np.maximum(all_, 1), many[0] / sum(many)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        surprise = all_ * (share * np.log(share / usual) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - usual)), 0))
+    bound = np.log(max(1, len(wanted)) / CHANCE)
+    good = [i for i in range(len(likely)) if hit[i] >= LEAST and surprise[i] >= bound and rate(hit[i], all_[i] - hit[i]) >= TIMES]
+    best = [likely[i] for i in sorted(good, key=lambda i: (-surprise[i], likely[i]))[:FEATURES]]
     terms = [f"={t}" for group in IDENTITIES for t in group if f"={t}" not in best]
     return {p: i for i, p in enumerate([*best, *terms])}
 
@@ -94,16 +123,14 @@ def swapped(words: set[str]) -> list[set[str]]:
     return out
 
 
-def rows_of(texts: list[set[str]], features: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def rows_of(bags: Bags, features: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Text and feature number of each feature that is present."""
-    known: dict[str, tuple[int, ...]] = {}
+    of_word = {i: found for w, i in bags.number.items() if (found := tuple(features[p] for p in parts(w) if p in features))}
+    used = np.zeros(len(bags.number), bool)
+    used[list(of_word)] = True
     at, of = [], []
-    for i, words in enumerate(texts):
-        here: set[int] = set()
-        for w in words:
-            if w not in known:
-                known[w] = tuple(features[p] for p in parts(w) if p in features)
-            here.update(known[w])
+    for i, row in enumerate(bags.rows):
+        here = {f for w in row[used[row]].tolist() for f in of_word[w]}
         at += [i] * len(here)
         of += here
     return np.array(at, np.int64), np.array(of, np.int64)
@@ -118,13 +145,18 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
     y = np.array(toxic, float)
     if len(y) == 0 or y.min() == y.max():
         return Model(bias=-5.0 if len(y) == 0 or y.max() == 0 else 5.0)
-    bags = [words_of(t) for t in texts]
+    bags, pairs, swaps = Bags(), [], Bags()
+    for i, t in enumerate(texts):
+        words = words_of(t)
+        bags.add(words)
+        for other in swapped(words):
+            pairs.append(i)
+            swaps.add(other)
     features = chosen(bags, y == 1)
     at, of = rows_of(bags, features)
-    pairs = [(i, s) for i, b in enumerate(bags) for s in swapped(b)]
-    swap_at, swap_of = rows_of([s for _, s in pairs], features)
-    source = np.array([i for i, _ in pairs], np.int64)
-    n, k = len(bags), len(features)
+    swap_at, swap_of = rows_of(swaps, features)
+    source = np.array(pairs, np.int64)
+    n, k = len(bags.rows), len(features)
     w, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     w[-1] = np.log(y.mean() / (1 - y.mean()))
     for step in range(1, STEPS + 1):

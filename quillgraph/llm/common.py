@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from quillgraph.session import ship
+
 #: Rows an Arrow batch may hold, so that a batch of long documents fits a Python worker.
 BATCH_ROWS = 1000
 
@@ -22,7 +24,8 @@ HOT_SHARE = 1 / 1000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches, and make sure a checkpoint folder is set (the cluster's, or one of our own where it names none)."""
+    """Ship the code, bound Arrow batches, and make sure a checkpoint folder is set (the cluster's, or one of our own where it names none)."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if not 0 < now <= BATCH_ROWS:

@@ -44,8 +44,10 @@ WORD = re.compile(r"[^\W\d_]+")
 SPACES = re.compile(r"\s+")
 
 
-def hinted(attributes: str) -> bool:
-    return any(HINTS.intersection(re.split(r"[^a-z0-9]+", "".join(m).lower())) for m in NAMED.findall(attributes))
+def hinted(attributes: str, inside: bool) -> bool:
+    """Whether class, id or role tell of something beside the text; an article's own header doesn't."""
+    names = {n for m in NAMED.findall(attributes) for n in re.split(r"[^a-z0-9]+", "".join(m).lower())}
+    return bool(names & HINTS - ({"header"} if inside else set()))
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
@@ -110,7 +112,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             if tag not in VOID and not attributes.rstrip().endswith("/"):
                 region = tag in REGIONS
                 inside = any(r for *_, r in stack)
-                away = tag in AWAY or (tag == "header" and not inside) or ("=" in attributes and tag not in ("html", "body") and hinted(attributes))
+                away = tag in AWAY or (tag == "header" and not inside) or ("=" in attributes and tag not in ("html", "body") and hinted(attributes, inside))
                 stack.append((tag, away, region and not away))
     end()
     return out

@@ -77,14 +77,21 @@ def scored(pages: DataFrame, llr: DataFrame) -> DataFrame:
 
 
 def threshold(ruled: DataFrame) -> float:
-    """The bound of score with the best mean of both classes' shares on their side; 0 without both classes."""
+    """The bound of score with the best mean of both classes' shares on their side; 0 without both classes.
+
+    It lies in the middle of the gap below the lowest score that it lets through.
+    """
     bucket = F.floor(F.greatest(F.least(F.col("score"), F.lit(float(RANGE))), F.lit(float(-RANGE))) * STEPS)
     by = ruled.groupBy(bucket.alias("bucket")).agg(*(F.sum(F.when(F.col("verdict") == v, F.col("copies")).otherwise(0)).alias(v) for v in ("allow", "block")))  # 2 * RANGE * STEPS rows at most
     up = W.orderBy("bucket")
     all_ = W.partitionBy()
-    right = (1 - (F.sum("allow").over(up) - F.col("allow")) / F.sum("allow").over(all_) + (F.sum("block").over(up) - F.col("block")) / F.sum("block").over(all_)).alias("right")
-    best = by.select("bucket", right).filter("right IS NOT NULL").orderBy(F.desc("right"), "bucket").limit(1).collect()
-    return best[0]["bucket"] / STEPS if best else 0.0
+    right = 1 - (F.sum("allow").over(up) - F.col("allow")) / F.sum("allow").over(all_) + (F.sum("block").over(up) - F.col("block")) / F.sum("block").over(all_)
+    ranked = by.select("bucket", right.alias("right"), F.lag("bucket").over(up).alias("below"))
+    best = ranked.filter("right IS NOT NULL").orderBy(F.desc("right"), "bucket").limit(1).collect()
+    if not best:
+        return 0.0
+    top, below = best[0]["bucket"], best[0]["below"]
+    return (top if below is None else (top + below + 1) / 2) / STEPS
 
 
 def judge(df: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple = RULES) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.plans.domain import Tables, duckdb
+from quillgraph.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -16,7 +17,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
     def add(plan: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if name in QUERIES:
             raise ValueError(f"two queries named {name}")
-        QUERIES[name] = lambda spark, folder: plan(Tables(spark, folder))
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return plan(Tables(spark, folder))
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = duckdb(sql)
         return plan

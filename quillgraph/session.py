@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -16,3 +22,19 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     """Further settings are given with underscores for dots; on a cluster, shuffle partitions and memory are the cluster's."""
     builder = SparkSession.builder.config(map=DEFAULTS | {k.replace("_", "."): str(v) for k, v in conf.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package's code to the workers, once an application; they may not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillgraph", None) == sc.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp()  # the driver serves the file for as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "quillgraph.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._quillgraph = sc.applicationId

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,14 +117,18 @@ def distances(edges: DataFrame, starts: DataFrame, max_depth: int = 10, directed
     """id, depth (and parent) of every vertex within max_depth of a start (a frame of id); each vertex is expanded once."""
     links = keep((edges if directed else undirected(edges)).select("src", "dst").distinct())
     parent = F.lit(None).cast(links.schema["src"].dataType)
-    seen = keep(starts.select("id").distinct().withColumn("depth", F.lit(0)).withColumn("parent", parent))
-    front = seen
+    front = keep(starts.select("id").distinct().withColumn("depth", F.lit(0)).withColumn("parent", parent))
+    rounds = [front]
     for depth in range(1, max_depth + 1):
         found = front.select(F.col("id").alias("src")).join(links, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        front = keep(found.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"))
+        seen = reduce(DataFrame.unionByName, rounds).select("id")
+        front = keep(found.join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"))
         if front.isEmpty():
             break
-        seen = keep(seen.unionByName(front))
+        rounds.append(front)
+        if len(rounds) > 8:  # so that plans stay short
+            rounds = [keep(reduce(DataFrame.unionByName, rounds))]
+    seen = reduce(DataFrame.unionByName, rounds)
     return seen if with_parent else seen.drop("parent")
 
 

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import extended, prepare, rows_of
+from quillgraph.llm.common import extended, hold, prepare, rows_of
 
 #: White space as Unicode's White_Space property has it.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
@@ -222,6 +222,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
     out, schema = extended(df.select(*keep), "ids array<int>, decoded string" if decoded else "ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe", tokenizer.cache_clear)
         bpe = tokenizer(path)
 
         def work(*columns: list) -> list:
@@ -239,6 +240,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
     out, schema = extended(df.select(*keep), "decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe", tokenizer.cache_clear)
         bpe = tokenizer(path)
         return rows_of(batches, lambda *c: [*c[:-1], [bpe.decode(x or []) for x in c[-1]]], schema)
 

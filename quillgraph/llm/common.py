@@ -53,6 +53,16 @@ def extended(df: DataFrame, ddl: str) -> tuple[StructType, pa.Schema]:
     return out, to_arrow_schema(out)
 
 
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def hold(owner: str, clear: Callable[[], object]) -> None:
+    """In a worker: caches of one operator at a time. `owner` uses its own from now on; what others hold is cleared."""
+    for other in [k for k in _HELD if k != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = clear
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], work: Callable[..., list], schema: pa.Schema, slice_rows: int = 250) -> Iterator[pa.RecordBatch]:
     """Apply work to slices of each batch: it takes the columns as Python lists and returns the output columns."""
     gc.set_threshold(200_000, 50, 1000)  # caches hold many strings and no cycles

@@ -25,15 +25,15 @@ def positions(key: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(j)), F.lit(bits)) + 1 for j in range(PROBES)]
 
 
-def repeated_bits(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """bucket, bitmap (4 KB): the positions that more than one row sets."""
+def set_bits(keys: DataFrame, key: str, bits: int, rows: int = 1) -> DataFrame:
+    """bucket, bitmap (4 KB): the positions that so many rows set at least."""
     each = keys.select(F.explode(F.array_distinct(F.array(*positions(F.col(key), bits)))).alias("at"))
-    twice = each.groupBy("at").agg(F.count("*").alias("n")).filter("n > 1")
-    return twice.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    found = each.groupBy("at").agg(F.count("*").alias("n")).filter(F.col("n") >= rows)
+    return found.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
 
 
 def probe(rows: DataFrame, key: str, filter_: DataFrame, bits: int) -> DataFrame:
-    """rows with `maybe`: whether other rows set all positions of the key too (true for every repeated key)."""
+    """rows with `__maybe`: whether the filter has all positions of the key (true for every key that it was made of)."""
     out = rows
     for j, at in enumerate(positions(F.col(key), bits)):
         own = F.broadcast(filter_.select(F.col("bucket").alias(f"__bucket{j}"), F.col("bitmap").alias(f"__bitmap{j}")))  # MAX_BITS / 8 bytes at most
@@ -45,7 +45,7 @@ def probe(rows: DataFrame, key: str, filter_: DataFrame, bits: int) -> DataFrame
         byte = F.conv(F.hex(F.substring(F.col(f"__bitmap{j}"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         set_ = set_ & F.coalesce(F.expr(f"getbit(__byte{j}, CAST(bitmap_bit_position(__at{j}) % 8 AS INT)) = 1"), F.lit(False))
         out = out.withColumn(f"__byte{j}", byte.cast("long"))
-    return out.withColumn("maybe", set_).drop(*(f"__{c}{j}" for c in ("at", "bucket", "bitmap", "byte") for j in range(PROBES)))
+    return out.withColumn("__maybe", set_).drop(*(f"__{c}{j}" for c in ("at", "bucket", "bitmap", "byte") for j in range(PROBES)))
 
 
 def filter_bits(n: int) -> int:
@@ -62,9 +62,9 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     keys = table(df.select(F.col(doc_id).alias("doc_id"), F.sha2(normalised(F.col(text)), 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")))
     n = keys.count()
     bits = filter_bits(n)
-    rows = probe(keys, "text_sha256", table(repeated_bits(keys, "text_sha256", bits)), bits)
-    alone = rows.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    several = rows.filter("maybe")
+    rows = probe(keys, "text_sha256", table(set_bits(keys, "text_sha256", bits, 2)), bits)
+    alone = rows.filter(~F.col("__maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    several = rows.filter("__maybe")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     sized = table(several.groupBy("text_sha256").agg(first.alias("first"), F.count("*").alias("group_size")))
     settled = attach(several, sized, "text_sha256", "group_size", n).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
@@ -81,11 +81,22 @@ def distinct(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     hashed = df.withColumn(key, F.sha2(normalised(F.col(text)), 256))
     keys = table(hashed.select(key))
     bits = filter_bits(keys.count())
-    rows = probe(hashed, key, table(repeated_bits(keys, key, bits)), bits)
+    rows = probe(hashed, key, table(set_bits(keys, key, bits, 2)), bits)
     rest = [c for c in df.columns if c != doc_id]
     first = F.min(F.struct(F.col(doc_id).isNull().alias("__no_id"), doc_id, *rest))
-    kept = rows.filter("maybe").groupBy(key).agg(first.alias("__first")).select(*(F.col(f"__first.`{c}`").alias(c) for c in df.columns))
-    return rows.filter(~F.col("maybe")).select(*df.columns).unionByName(kept)
+    kept = rows.filter("__maybe").groupBy(key).agg(first.alias("__first")).select(*(F.col(f"__first.`{c}`").alias(c) for c in df.columns))
+    return rows.filter(~F.col("__maybe")).select(*df.columns).unionByName(kept)
+
+
+def absent(df: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose value isn't in gone (its one column). Only rows that a filter of gone suspects are shuffled."""
+    value = gone.columns[0]
+    gone = table(gone.select(F.col(value).alias("__gone_value"), F.col(value).cast("string").alias("__gone_text")))
+    bits = filter_bits(gone.count())
+    rows = probe(df.withColumn("__gone_text", F.col(column).cast("string")), "__gone_text", table(set_bits(gone, "__gone_text", bits)), bits)
+    through = rows.filter(~F.col("__maybe")).select(*df.columns)
+    asked = rows.filter("__maybe").drop("__gone_text")
+    return through.unionByName(asked.join(gone.select("__gone_value"), F.col(column) == F.col("__gone_value"), "left_anti").select(*df.columns))
 
 
 SQL = r"""

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quillgraph.llm.common import extended, prepare
+from quillgraph.llm.common import extended, hold, prepare
 
 # The phrases whose places are counted, and their labels.
 PHRASES = (
@@ -107,6 +107,7 @@ def hashed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     out, schema = extended(df.select(F.col(doc_id).alias("doc_id")), "text_key long, n_words long, hashes array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("licenses", _HASHES.clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillgraph.llm.bpe import BLANK, LETTER, OTHER, RARE, SPACE
-from quillgraph.llm.common import extended, prepare, rows_of, table
+from quillgraph.llm.common import extended, hold, prepare, rows_of, table
 
 SIZE = 2048
 #: Lengths above this share of a bin are large; each of so many groups of them is rounded up.
@@ -100,6 +100,7 @@ def pieces(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     out, schema = extended(df.select(F.col(doc_id).alias("doc_id")), ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("packing", byte_tokens.cache_clear)
         tokens, last, part = byte_tokens(path), np.uint32(end).tobytes(), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
 

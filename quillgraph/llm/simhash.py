@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillgraph.llm.common import attach, extended, prepare, table
+from quillgraph.llm.exact import absent
 
 WORDS, SEED, RADIUS, BLOCK = 3, 42, 2, 1 << 14
 
@@ -97,5 +98,4 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
 def distinct(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """The rows of df that stay: of each group that with the smallest doc_id (null ids: all rows; rows that repeat an id stay together)."""
     found = groups(df, doc_id, text, words)
-    gone = found.filter("doc_id > component_id").select("doc_id").distinct()
-    return df.join(gone.withColumnRenamed("doc_id", "__gone"), F.col(doc_id) == F.col("__gone"), "left_anti")
+    return absent(df, found.filter("doc_id > component_id").select(F.col("doc_id").alias("key")).distinct(), doc_id)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import crc_mod, extended, prepare
+from quillgraph.llm.common import crc_mod, extended, hold, prepare
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that are learned from at most, about; features at most.
@@ -28,6 +28,8 @@ LEAST, TIMES = 3, 20.0
 CHANCE = 20.0
 GRAMS = (4, 5, 6)
 BOUND = 0.3
+#: Words after which the cache of their features is emptied.
+CACHE = 600_000
 STEPS, RATE, RIDGE, FAIR = 300, 0.08, 2e-5, 2.0
 
 # Sets of terms of one part of speech; the first of each set is neutral.
@@ -198,7 +200,7 @@ def score_of(text: str | None, model: Model, known: dict[str, tuple[int, ...]])
     for w in words_of(text):
         found = known.get(w)
         if found is None:
-            if len(known) > 300_000:
+            if len(known) > CACHE:
                 known.clear()
             found = known[w] = tuple(features[p] for p in parts(w) if p in features)
         if found:
@@ -214,6 +216,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
     name = f"{id(shared)}-{model.bias}-{len(model.features)}-{model.weights.sum()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", _KNOWN.clear)
         if name not in _KNOWN:
             _KNOWN.clear()
             _KNOWN[name] = (shared.value, {})

@@ -91,9 +91,9 @@ def test_exact_distinct_keeps_whole_rows(spark, texts):
 
 def test_probe_never_misses_a_repeat(spark):
     keys = spark.range(4000).selectExpr("cast(id % 3000 as string) AS k")
-    rows = exact.probe(keys, "k", exact.repeated_bits(keys, "k", 1 << 15), 1 << 15)
-    assert rows.filter("NOT maybe AND cast(k as long) < 1000").count() == 0
-    assert rows.filter("NOT maybe").count() > 1000
+    rows = exact.probe(keys, "k", exact.set_bits(keys, "k", 1 << 15, 2), 1 << 15)
+    assert rows.filter("NOT __maybe AND cast(k as long) < 1000").count() == 0
+    assert rows.filter("NOT __maybe").count() > 1000
 
 
 def test_fingerprints(spark, texts):
@@ -136,3 +136,10 @@ def test_attach_splits_hot_keys(spark):
     groups = rows.groupBy("k").count().withColumnRenamed("count", "n")
     got = common.attach(rows, groups, "k", "n", 1000)
     assert got.count() == 1000 and got.filter("k = 0 AND n = 600").count() == 600
+
+
+def test_absent(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (3, "e")], "key long, maybe string")
+    got = exact.absent(df, spark.createDataFrame([(2,), (9,)], "key long"), "key")
+    assert sorted(r["maybe"] for r in got.collect()) == ["a", "d", "e"] and got.columns == df.columns
+    assert exact.absent(df, spark.createDataFrame([], "key long"), "key").count() == 5

@@ -47,8 +47,12 @@ def search_lines(docs: DataFrame, query: str, context: int = 2, max_hits: int |
 
     With max_hits the first hits by path and line; widths cut lines and contexts.
     """
-    split = docs.withColumn("__lines", T.lines(F.col("content"))).select("path", "__lines", F.posexplode("__lines").alias("__at", "content"))
-    hit = split.filter(F.contains(F.lower("content"), F.lit(query.lower())))
+    low = query.lower()
+    numbered = F.transform("__lines", lambda x, i: F.struct(i.alias("at"), x.alias("line")))
+    # only hits are exploded, so that a document's lines are copied once for each hit and not for each line
+    hits = F.filter(numbered, lambda s: F.contains(F.lower(s["line"]), F.lit(low)))
+    split = docs.filter(F.contains(F.lower("content"), F.lit(low))).select("path", T.lines(F.col("content")).alias("__lines"))
+    hit = split.select("path", "__lines", F.explode(hits).alias("__hit")).select("path", "__lines", F.col("__hit.at").alias("__at"), F.col("__hit.line").alias("content"))
     start = F.greatest(F.lit(0), F.col("__at") - context)
     around = F.array_join(F.slice("__lines", start + 1, F.col("__at") + context + 1 - start), "\n")
     cut = lambda c, n: F.substring(c, 1, n) if n else c

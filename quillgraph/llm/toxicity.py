@@ -21,7 +21,7 @@ from quillgraph.llm.common import crc_mod, extended, hold, prepare
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that are learned from at most, about; features at most.
-SAMPLE, FEATURES = 12_000, 4000
+SAMPLE, FEATURES = 8_000, 4000
 #: What a feature needs: so many toxic texts, and so many times the share of other texts.
 LEAST, TIMES = 3, 20.0
 #: How many features, of all that are tried, may pass by chance (a Chernoff bound on how unevenly they are dealt).
@@ -29,7 +29,7 @@ CHANCE = 20.0
 GRAMS = (4, 5, 6)
 BOUND = 0.3
 #: Words after which the cache of their features is emptied.
-CACHE = 600_000
+CACHE = 350_000
 STEPS, RATE, RIDGE, FAIR = 300, 0.08, 2e-5, 2.0
 
 # Sets of terms of one part of speech; the first of each set is neutral.

@@ -107,3 +107,11 @@ def test_naming_a_group_is_not_held_against_a_text(monkeypatch):
     gap = lambda m: toxicity.score_of("thaned muslim", m, {}) - toxicity.score_of("thaned person", m, {})
     assert gap(plain) > 0.2 and abs(gap(fair)) < 0.3 * gap(plain)
     assert toxicity.score_of("scumlike thaned", fair, {}) > 0.3
+
+
+def test_rejection_needs_evidence():
+    best = np.array([0.3] * 20 + [0.6] * 20 + [0.9] * 200)
+    hit = np.array([False] * 18 + [True] * 2 + [True] * 15 + [False] * 5 + [True] * 200)
+    assert language.rejection(best, hit) == 0.3
+    assert language.rejection(np.array([0.4, 0.9, 0.95]), np.array([False, True, True])) == 0.0
+    assert language.rejection(np.array([]), np.array([], bool)) == 0.0

@@ -17,6 +17,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as packed
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,7 @@ class ByteTokens:
             self.known.clear()
         new = [p for p in set().union(*split).difference(self.known) if isinstance(p, str)]
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+            self.known[p] = packed(f"<{len(e.ids)}I", *e.ids)
         for mark in self.added.values():
             self.known[mark] = mark
         return [b"".join(map(self.known.__getitem__, parts)) for parts in split]

@@ -108,8 +108,8 @@ def duplicate_code(entities: DataFrame, rels: DataFrame) -> DataFrame:
     return finding(rows, "Duplicate Code", "code_smell", "duplication", "medium", 0.8, F.col("ids"))
 
 
-def circular(entities: DataFrame, rels: DataFrame, max_length: int = 6) -> DataFrame:
-    """Import cycles, once each; walks are made only of edges that can lie on one."""
+def circular(entities: DataFrame, rels: DataFrame, max_length: int = 10) -> DataFrame:
+    """Import cycles of up to max_length, once each (graph.cycle_edges has no bound); walks are made only of edges that can lie on one."""
     imports = graph.in_cycles(rels.filter("rel_type = 'IMPORTS'").select("src", "dst"))
     found = graph.cycles(imports, 2, max_length, None)
     rows = found.select(F.col("cycle")[0].alias("id"), F.col("cycle").cast("array<string>").alias("ids")).join(entities.select("id", "file_path", "line"), "id", "left")

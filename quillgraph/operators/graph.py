@@ -186,18 +186,28 @@ def hierarchy(edges: DataFrame, start, edge_type: str = "EXTENDS", max_depth: in
 def cycles(edges: DataFrame, min_length: int = 3, max_length: int = 5, limit: int | None = 20) -> DataFrame:
     """Simple directed cycles once each, from their least vertex: cycle (array), length; shortest first.
 
-    A walk only visits vertices above its start, which is the canonical rotation and prunes as it grows.
+    A cycle is met in the middle: a walk ahead of its least vertex and one that ends there, both over vertices above it, so
+    walks have half a cycle's edges at most. With a limit, longer cycles are only looked for while shorter ones don't fill it.
     """
     links = keep(edges.filter("src <> dst").select("src", "dst").distinct())
-    front = links.filter("src < dst").select(F.col("src").alias("start"), F.array("src", "dst").alias("walk"), F.col("dst").alias("at"))
-    out = None
+    ahead = keep(links.filter("src < dst").select(F.col("src").alias("start"), F.array("src", "dst").alias("walk"), F.col("dst").alias("at")))
+    back = keep(links.filter("dst < src").select(F.col("dst").alias("start"), F.array("src").alias("tail"), F.col("src").alias("at")))
+    out, found = None, 0
     for length in range(2, max_length + 1):
+        if length > 2 and length % 2:
+            grown = ahead.join(links.withColumnRenamed("src", "at"), "at").filter((F.col("dst") > F.col("start")) & ~F.array_contains("walk", F.col("dst")))
+            ahead = keep(grown.select("start", F.concat("walk", F.array("dst")).alias("walk"), F.col("dst").alias("at")))
+        elif length > 2:
+            grown = back.join(links.withColumnRenamed("dst", "at"), "at").filter((F.col("src") > F.col("start")) & ~F.array_contains("tail", F.col("src")))
+            back = keep(grown.select("start", F.concat(F.array("src"), "tail").alias("tail"), F.col("src").alias("at")))
         if length >= min_length:
-            closed = front.join(links.select(F.col("src").alias("at"), F.col("dst").alias("start")), ["at", "start"], "left_semi").select(F.col("walk").alias("cycle"), F.lit(length).alias("length"))
+            apart = ~F.arrays_overlap(F.slice("walk", 2, (length + 1) // 2 - 1), F.slice("tail", 2, length // 2 - 1))
+            closed = ahead.join(back, ["start", "at"]).filter(apart).select(F.concat("walk", F.slice("tail", 2, length // 2 - 1)).alias("cycle"), F.lit(length).alias("length"))
+            closed = keep(closed) if limit else closed
             out = closed if out is None else out.unionByName(closed)
-        if length < max_length:
-            grown = front.join(links.withColumnRenamed("src", "at"), "at").filter((F.col("dst") > F.col("start")) & ~F.array_contains("walk", F.col("dst")))
-            front = keep(grown.select("start", F.concat("walk", F.array("dst")).alias("walk"), F.col("dst").alias("at")))
+            found += closed.count() if limit else 0
+            if limit and found >= limit:
+                break
     return out.orderBy("length", "cycle").limit(limit) if limit else out
 
 
@@ -214,6 +224,35 @@ def in_cycles(edges: DataFrame) -> DataFrame:
         n = m
 
 
+def cycle_edges(edges: DataFrame) -> DataFrame:
+    """Edges that lie on a directed cycle of any length: those inside one strongly connected component, loops included.
+
+    Each round colours every vertex by the least one that reaches it; what reaches back to a colour's least vertex within the
+    colour is that vertex's component. Settled vertices and edges between colours leave, and the rest is trimmed again.
+    """
+    links, out = in_cycles(edges), None
+    while not links.isEmpty():
+        colours = keep(links.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")))
+        front = colours
+        while not front.isEmpty():
+            seen = front.withColumnRenamed("id", "src").join(links, "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("new"))
+            after = keep(colours.join(seen, "id", "left").select("id", F.least("colour", "new").alias("colour"), (F.col("new") < F.col("colour")).alias("moved")))
+            colours, front = after.drop("moved"), after.filter("moved").drop("moved")
+        of = lambda end, name: colours.select(F.col("id").alias(end), F.col("colour").alias(name))  # noqa: B023, E731
+        inside = keep(links.join(of("src", "a"), "src").join(of("dst", "b"), "dst").filter("a = b").select("src", "dst"))
+        front = keep(colours.filter("id = colour").select("id"))
+        settled = front
+        while not front.isEmpty():
+            before = inside.join(front.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id")).distinct()
+            front = keep(before.join(settled, "id", "left_anti"))
+            settled = keep(settled.unionByName(front))
+        end = lambda name: settled.withColumnRenamed("id", name)  # noqa: B023, E731
+        found = keep(inside.join(end("src"), "src", "left_semi").join(end("dst"), "dst", "left_semi"))
+        out = found if out is None else out.unionByName(found)
+        links = in_cycles(inside.join(end("src"), "src", "left_anti").join(end("dst"), "dst", "left_anti"))
+    return links if out is None else out
+
+
 def impact(edges: DataFrame, target) -> DataFrame:
     """One row: direct dependents (1 hop), indirect (2 to 3), dependencies (1 hop out), risk by the dependents' number."""
     one = edges.sparkSession.range(1).select(F.lit(target).cast(edges.schema["src"].dataType).alias("id"))

@@ -152,6 +152,19 @@ def _(t: Tables) -> DataFrame:
     return imports.join(member("src"), "src").join(member("dst"), ["dst", "ring"]).select("src", "dst").distinct()
 
 
+@query("j15_all_import_cycles")
+def _(t: Tables) -> DataFrame:
+    """All of length 3 to 10 on imports of every weight; the SQL of j15_import_cycles ends at 4 and at weight 0.8."""
+    found = graph.cycles(graph.in_cycles(graph.of_type(t.edges, "IMPORTS")), 3, 10, None)
+    return found.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), F.col("length").cast("long").alias("length"))
+
+
+@query("j16_all_cycle_edges")
+def _(t: Tables) -> DataFrame:
+    """Imports of every weight that lie on a cycle of any length."""
+    return graph.cycle_edges(graph.of_type(t.edges, "IMPORTS"))
+
+
 @query("j17_impact", """WITH RECURSIVE x AS (SELECT DISTINCT src, dst FROM @edges WHERE edge_type = 'CALLS'), r AS (SELECT CAST(10 AS BIGINT) AS id, 0 AS depth UNION SELECT x.src, r.depth + 1 FROM r JOIN x ON x.dst = r.id WHERE r.depth < 3), d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
     SELECT direct, indirect, dependencies, CASE WHEN direct + indirect > 20 THEN 'high' WHEN direct + indirect > 5 THEN 'medium' ELSE 'low' END AS risk FROM (SELECT count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS indirect FROM d), (SELECT count(DISTINCT dst) AS dependencies FROM x WHERE src = 10 AND dst <> 10)""")
 def _(t: Tables) -> DataFrame:

@@ -99,7 +99,7 @@ def compile_(intent: Intent, g: Graph) -> DataFrame:
         case "most_methods":
             return g.edges.filter("edge_type = 'DEFINES'").groupBy(F.col("src").alias("id")).agg(F.count_distinct("dst").alias("methods")).orderBy(F.desc("methods"), "id").limit(intent.limit)
         case "cycles":
-            return graph.cycles(graph.in_cycles(graph.of_type(g.edges, "IMPORTS")), 2, 4, intent.limit)
+            return graph.cycles(graph.in_cycles(graph.of_type(g.edges, "IMPORTS")), 2, 10, intent.limit)
         case "unused_modules":
             return graph.without(g.modules, g.edges, "dst", "IMPORTS").orderBy("id").limit(intent.limit)
         case "most_imports":

@@ -8,7 +8,9 @@ from quillgraph.functions import text as T
 from quillgraph.functions import vector as V
 from quillgraph.operators import aggregates as A
 from quillgraph.operators import audit, code, graph, ranking, search, windows, writes
-from quillgraph.plans import intents, tools
+from quillgraph.plans import graphs, intents, tools  # noqa: F401  graphs registers its queries
+from quillgraph.plans.domain import Tables
+from quillgraph.plans.registry import QUERIES
 
 
 def one(spark, column, **values):
@@ -155,6 +157,46 @@ def test_cycles_once_each(spark, chain):
     assert {(r["src"], r["dst"]) for r in graph.in_cycles(chain).collect()} == {("a", "b"), ("b", "c"), ("c", "a")}
 
 
+def test_long_cycles(spark):
+    ring = [(i, (i + 1) % 12) for i in range(12)]
+    edges = spark.createDataFrame([*ring, (5, 0), (20, 21), (21, 20), (3, 20), (30, 30), (40, 41)], "src long, dst long")
+    assert {(r["src"], r["dst"]) for r in graph.cycle_edges(edges).collect()} == {*ring, (5, 0), (20, 21), (21, 20), (30, 30)}
+    assert sorted(r["length"] for r in graph.cycles(edges, 2, 12, None).collect()) == [2, 6, 12]
+    assert [r["length"] for r in graph.cycles(edges, 2, 12, 2).collect()] == [2, 6]
+    assert graph.cycle_edges(edges.filter("src >= 40")).count() == 0
+
+
+def test_import_cycles_are_whole(spark, small):
+    """Against a search by hand over all imports of the table."""
+    t = Tables(spark, small)
+    edges = {(r["src"], r["dst"]) for r in graph.of_type(t.edges, "IMPORTS").select("src", "dst").collect()}
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    want, stack = [], [(a, (a,)) for a in out]
+    while stack:
+        at, walk = stack.pop()
+        for b in out.get(at, ()):
+            if b == walk[0] and len(walk) >= 3:
+                want.append(">".join(map(str, walk)))
+            if b > walk[0] and b not in walk and len(walk) < 7:
+                stack.append((b, (*walk, b)))
+    rows = QUERIES["j15_all_import_cycles"](spark, small).cache()
+    assert sorted(r["cycle"] for r in rows.filter("length <= 7").collect()) == sorted(want)
+    assert rows.agg(F.max("length")).first()[0] == 10
+
+    def reached(a):
+        seen, todo = set(), [a]
+        while todo:
+            new = out.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    got = {(r["src"], r["dst"]) for r in QUERIES["j16_all_cycle_edges"](spark, small).collect()}
+    assert got == {(a, b) for a, b in edges if a in reached(b) or a == b}
+
+
 def test_ring(spark):
     nodes, edges = graph.ring(spark, 30)
     assert [r["length"] for r in graph.cycles(edges, 3, 30, None).collect()] == [30] if False else graph.in_cycles(edges).count() == 30

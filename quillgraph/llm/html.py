@@ -2,7 +2,8 @@
 
 Blocks are cut at block-level tags. The first pass classifies each by where it stands, link density, length and density of
 stop words: good, bad, or undecided if short or of few stop words. In the second pass an undecided block inherits the label
-of its nearest decided neighbours in the same region; where they differ, the nearer counts, then good.
+of its nearest decided neighbours in the same region (in articles, or outside); where they differ, the nearer counts, then
+good. An article is a prior only: its two ends count as good neighbours, and blocks outside have none there.
 """
 
 from __future__ import annotations
@@ -131,24 +132,27 @@ def first_pass(text: str, links: int, away: bool) -> str:
     return "?"
 
 
-def main_text(page: str | None) -> str:
-    """The good blocks' texts, two newlines between; empty if there are none."""
-    found = blocks(page or "")
-    article = any(region and not away for _, _, away, region in found)
-    kept = [(text, first_pass(text, links, away)) for text, links, away, region in found if not away and (region or not article)]
-    decided = [(i, label) for i, (_, label) in enumerate(kept) if label != "?"]
-    out, k = [], 0
-    for i, (text, label) in enumerate(kept):
+def second_pass(labels: list[str], article: bool) -> list[str]:
+    """The undecided labels of one region's blocks by their nearest decided neighbours; the ends of an article count as good ones."""
+    decided = [(i, label) for i, label in enumerate(labels) if label != "?"]
+    if article:
+        decided = [(-1, "good"), *decided, (len(labels), "good")]
+    out, k = list(labels), 0
+    for i, label in enumerate(labels):
         if label == "?":
             while k < len(decided) and decided[k][0] < i:
                 k += 1
             sides = [(i - decided[k - 1][0], decided[k - 1][1])] if k else []
             sides += [(decided[k][0] - i, decided[k][1])] if k < len(decided) else []
-            # in an article only runs of links are bad, so nothing else there is dropped
-            label = "good" if article else min(sides, key=lambda s: (s[0], s[1] != "good"))[1] if sides else "bad"
-        if label == "good":
-            out.append(text)
-    return "\n\n".join(out)
+            out[i] = min(sides, key=lambda s: (s[0], s[1] != "good"))[1] if sides else "bad"
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The good blocks' texts, two newlines between; empty if there are none."""
+    kept = [(text, first_pass(text, links, away), region) for text, links, away, region in blocks(page or "") if not away]
+    labels = {article: iter(second_pass([label for _, label, region in kept if region == article], article)) for article in (True, False)}
+    return "\n\n".join(text for text, _, region in kept if next(labels[region]) == "good")
 
 
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

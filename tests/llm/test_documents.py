@@ -104,6 +104,14 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+def test_passes_act_in_and_out_of_articles():
+    prose = "The cat and the dog are in the house and it is that of the man who was with them for the day and the night of the year."
+    links = "<p><a href=1>one more story</a></p><p><a href=2>another story</a></p>"
+    assert html.main_text(f"<article><p>teaser</p></article><div><p>{prose}</p><p>Short.</p></div>") == f"teaser\n\n{prose}\n\nShort."
+    assert html.main_text(f"<article><h1>T</h1><p>{prose}</p><p>near</p>{links}<p>Sold here</p>{links}<p>end</p></article>") == f"T\n\n{prose}\n\nnear\n\nend"
+    assert html.main_text(f"<p>Sold here</p>{links}<article><p>one</p></article><p>Sold here</p>") == "one"
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é🎉</p></article>", "x"), (2, None, None, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract(df).collect()) == [(1, "é🎉", 2), (2, "", 0), (2, "", 0)]

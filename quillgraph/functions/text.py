@@ -17,13 +17,15 @@ FACT_VERBS = "is are was were has have can will must should".split()
 EVENT_VERBS = "happened occurred started began ended finished created updated released".split()
 # Statement pairs that contradict each other, (positive, negative).
 NEGATIONS = ((r"is\s+(\w+)", r"is\s+not\s+(\w+)"), (r"are\s+(\w+)", r"are\s+not\s+(\w+)"), (r"can\s+(\w+)", r"cannot\s+(\w+)"), (r"will\s+(\w+)", r"will\s+not\s+(\w+)"))
+#: Word bounds of ASCII words; those of the JVM count accented letters too.
+START, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 # Patterns of named things in a text.
 ENTITY_PATTERNS = (
-    ("person", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"),
-    ("organization", r"\b[A-Z][a-z]+ [A-Z][a-z]+ [A-Z][a-z]+\b"),
-    ("acronym", r"\b[A-Z][A-Z][A-Z]+\b"),
-    ("date", r"\b\d{4}-\d{2}-\d{2}\b"),
-    ("version", r"\b\d+\.\d+\.\d+\b"),
+    ("person", rf"{START}[A-Z][a-z]+ [A-Z][a-z]+{END}"),
+    ("organization", rf"{START}[A-Z][a-z]+ [A-Z][a-z]+ [A-Z][a-z]+{END}"),
+    ("acronym", rf"{START}[A-Z][A-Z][A-Z]+{END}"),
+    ("date", rf"{START}\d{{4}}-\d{{2}}-\d{{2}}{END}"),
+    ("version", rf"{START}\d+\.\d+\.\d+{END}"),
 )
 
 
@@ -41,7 +43,7 @@ def snippet(text: Column, query: str, before: int = 50, after: int = 150, plain:
 
 def title(text: Column) -> Column:
     """The first heading of level one, else the first line cut at 50, else Untitled."""
-    heading = F.trim(F.regexp_extract(text, r"(?m)^\s*# (.*)$", 1))
+    heading = F.trim(F.regexp_extract(text, r"(?m)^[^\S\n]*# [^\S\n]*(\S.*)$", 1))
     first = F.substring(F.trim(lines(text)[0]), 1, 50)
     return F.coalesce(F.nullif(heading, F.lit("")), F.nullif(first, F.lit("")), F.lit("Untitled"))
 
@@ -53,9 +55,9 @@ def summary(text: Column, count: int = 3, width: int = 200) -> Column:
     return F.when(F.length(joined) > width, F.concat(F.substring(joined, 1, width), F.lit("..."))).otherwise(joined)
 
 
-def words(text: Column, longer_than: int = 3) -> Column:
-    """Lower-cased ASCII words of more than so many characters, in order."""
-    plain = F.regexp_replace(F.lower(text), r"[^A-Za-z0-9_\s]", "")
+def words(text: Column, longer_than: int = 3, by: str = "") -> Column:
+    """Lower-cased ASCII words of more than so many characters, in order; `by` takes the place of what isn't in words."""
+    plain = F.regexp_replace(F.lower(text), r"[^A-Za-z0-9_\s]", by)
     return F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) > longer_than)
 
 
@@ -80,8 +82,8 @@ def is_factual(sentence: Column) -> Column:
 
 def events(text: Column) -> Column:
     """array<struct<description, date>>: lines with a date and a verb of events."""
-    hit = F.filter(lines(text), lambda x: x.rlike(r"\b\d{4}[-/]\d{2}[-/]\d{2}\b") & x.rlike(rf"(?i)\b({'|'.join(EVENT_VERBS)})\b"))
-    date = lambda x: F.try_to_timestamp(F.replace(F.regexp_extract(x, r"\b(\d{4}[-/]\d{2}[-/]\d{2})\b", 1), F.lit("/"), F.lit("-")), F.lit("yyyy-MM-dd"))
+    hit = F.filter(lines(text), lambda x: x.rlike(rf"{START}\d{{4}}[-/]\d{{2}}[-/]\d{{2}}{END}") & x.rlike(rf"(?i){START}({'|'.join(EVENT_VERBS)}){END}"))
+    date = lambda x: F.try_to_timestamp(F.replace(F.regexp_extract(x, rf"{START}(\d{{4}}[-/]\d{{2}}[-/]\d{{2}}){END}", 1), F.lit("/"), F.lit("-")), F.lit("yyyy-MM-dd"))
     return F.transform(hit, lambda x: F.struct(F.trim(x).alias("description"), date(x).cast("date").alias("date")))
 
 

@@ -66,12 +66,12 @@ def term_score(text: Column, query: str) -> Column:
     return phrase_score(text, " ".join(terms), fuzzy=True) / float(max(1, len(terms)))
 
 
-def keywords(docs: DataFrame, key: str = "doc_id", text: str = "text", top: int = 10) -> DataFrame:
+def keywords(docs: DataFrame, key: str = "doc_id", text: str = "text", top: int = 10, by: str = "") -> DataFrame:
     """Per document its most frequent words of more than 3 characters with count and rank; ties by word.
 
-    Counts are combined before they shuffle; ranks need a document's distinct words only.
+    Texts shuffle once, by key, which is less than their words do; counts and ranks follow where they are.
     """
-    each = docs.select(key, F.explode(T.words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    each = docs.select(key, text).repartition(key).select(key, F.explode(T.words(F.col(text), by=by)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), "word"))
     return each.withColumn("rank", rank).filter(F.col("rank") <= top)
 

@@ -556,3 +556,47 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     batches = t.samples.groupBy("user_id").agg(F.count_distinct("label").alias("files"), F.count("*").alias("entities"), F.avg("value").alias("ms"), F.collect_set("name").alias("patterns"))
     return A.merged_batches(batches).select("files", "entities", r6("avg_ms").alias("avg_ms"))
+
+
+# Queries over all documents and their own text. Those of the same IDs above leave rows out or make the text up, so that
+# DuckDB gives the same; these have no SQL and are tested against Python.
+
+
+@query("f02_all_titles")
+def _(t: Tables) -> DataFrame:
+    return t.docs.select("id", T.title(F.col("content")).alias("title"))
+
+
+@query("f04_all_keywords")
+def _(t: Tables) -> DataFrame:
+    return search.keywords(t.docs, "id", "content", by=" ").select("id", "word", "n")
+
+
+@query("f05a_all_headings")
+def _(t: Tables) -> DataFrame:
+    return t.docs.select("id", T.headings(F.col("content")).alias("headings"))
+
+
+@query("f05b_all_sentences")
+def _(t: Tables) -> DataFrame:
+    return t.docs.select("id", T.sentences(F.col("content")).alias("sentences"))
+
+
+@query("f05d_all_events")
+def _(t: Tables) -> DataFrame:
+    return t.docs.select("id", T.events(F.col("content")).alias("events"))
+
+
+@query("f05e_all_entities")
+def _(t: Tables) -> DataFrame:
+    return t.docs.select("id", T.entities(F.col("content")).alias("entities"))
+
+
+@query("f24_all_byte_sizes")
+def _(t: Tables) -> DataFrame:
+    return t.docs.select("id", T.byte_size(F.col("size")).alias("label"))
+
+
+@query("a32_all_previews")
+def _(t: Tables) -> DataFrame:
+    return A.preview(t.docs)

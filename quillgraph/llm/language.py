@@ -24,19 +24,17 @@ from quillgraph.llm.common import crc_mod, extended, hold, prepare
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, DIMENSIONS, EPOCHS, RATE, BATCH = 1 << 16, 12, 6, 0.6, 16
 GRAMS = (2, 3, 4)
-#: Rows of each language that are learned from, about, and characters of a word of which subwords are taken at either end.
-SAMPLE, ENDS = 1000, 20
+#: Rows of each language that are learned from, about, and letters above which a word isn't cached.
+SAMPLE, LONG = 1000, 78
 UNKNOWN = "und"
 #: Words after which the table of their logits starts anew.
 CACHE = 450_000
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the word's n-grams; of very long words, of both ends and of every ENDS-th place between."""
+def subwords(word: str) -> array:
+    """Buckets of the whole word's n-grams."""
     w = f"<{word}>"
-    if len(w) > 4 * ENDS:
-        w = w[:ENDS] + w[ENDS:-ENDS:ENDS] + w[-ENDS:]
-    return [zlib.crc32(w[i : i + n].encode("utf-8", "replace")) & (BUCKETS - 1) for n in GRAMS for i in range(len(w) - n + 1)] or [zlib.crc32(w.encode("utf-8", "replace")) & (BUCKETS - 1)]
+    return array("H", (zlib.crc32(w[i : i + n].encode("utf-8", "replace")) & (BUCKETS - 1) for n in GRAMS for i in range(len(w) - n + 1)))
 
 
 @dataclass
@@ -52,8 +50,11 @@ def bag(text: str, known: dict[str, array]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and each one's share."""
     found = array("H")
     for w in WORD.findall(text.lower()):
+        if len(w) > LONG:
+            found += subwords(w)
+            continue
         if w not in known:
-            known[w] = array("H", subwords(w))
+            known[w] = subwords(w)
         found += known[w]
     n = np.bincount(np.frombuffer(found, np.uint16), minlength=BUCKETS) if found else np.zeros(BUCKETS, np.int64)
     ids = np.flatnonzero(n).astype(np.uint16)
@@ -150,7 +151,7 @@ class Words(dict):
         self.rows = np.zeros((1 << 12, len(model.languages) + 1), np.float32)
 
     def __missing__(self, word: str) -> int:
-        ids = subwords(word)
+        ids = np.frombuffer(subwords(word), np.uint16)
         if self.n == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[self.n, :-1] = self.model.logits[ids].sum(axis=0)
@@ -169,9 +170,15 @@ def predict(words: Words, text: str | None) -> tuple[str, float]:
     if words.n > CACHE:
         words.clear()
         words.n = 0
-    at = np.fromiter(map(words.__getitem__, found), np.int64, len(found))  # first: the table grows meanwhile
+    short = [w for w in found if len(w) <= LONG]
+    at = np.fromiter(map(words.__getitem__, short), np.int64, len(short))  # first: the table grows meanwhile
     total = words.rows[at]
     total = total.sum(axis=0, dtype=np.float64)
+    for w in found if len(short) < len(found) else ():
+        if len(w) > LONG:
+            ids = np.frombuffer(subwords(w), np.uint16)
+            total[:-1] += np.bincount(ids, minlength=BUCKETS) @ words.model.logits
+            total[-1] += len(ids)
     p = softmax((total[:-1] / total[-1] + words.model.bias) / words.model.temperature)
     best = int(p.argmax())
     return words.model.languages[best], float(p[best])

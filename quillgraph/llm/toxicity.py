@@ -11,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ GRAMS = (4, 5, 6)
 BOUND = 0.3
 #: Words after which the cache of their features is emptied.
 CACHE = 350_000
+#: Letters above which a word isn't cached.
+LONG = 38
 STEPS, RATE, RIDGE, FAIR = 300, 0.08, 2e-5, 2.0
 
 # Sets of terms of one part of speech; the first of each set is neutral.
@@ -40,12 +43,15 @@ IDENTITIES = (
 )
 
 
-def parts(word: str) -> list[str]:
-    """The word and its n-grams, marked so that they don't mix; of long words those of both ends."""
+def grams(word: str) -> Iterator[str]:
+    """The n-grams of the whole word with its bounds, one at a time."""
     w = f"^{word}$"
-    if len(w) > 40:
-        w = w[:20] + w[-20:]
-    return [f"={word[:40]}", *{w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)}]
+    return (w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))
+
+
+def parts(word: str) -> list[str]:
+    """The word and its n-grams, marked so that they don't mix."""
+    return [f"={word}", *set(grams(word))]
 
 
 @dataclass
@@ -198,6 +204,9 @@ def score_of(text: str | None, model: Model, known: dict[str, tuple[int, ...]])
     here: set[int] = set()
     features = model.features
     for w in words_of(text):
+        if len(w) > LONG:
+            here.update(features[p] for p in chain((f"={w}",), grams(w)) if p in features)
+            continue
         found = known.get(w)
         if found is None:
             if len(known) > CACHE:

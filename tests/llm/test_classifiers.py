@@ -115,3 +115,17 @@ def test_rejection_needs_evidence():
     assert language.rejection(best, hit) == 0.3
     assert language.rejection(np.array([0.4, 0.9, 0.95]), np.array([False, True, True])) == 0.0
     assert language.rejection(np.array([]), np.array([], bool)) == 0.0
+
+
+def test_long_runs_are_read_whole():
+    """What stands in the middle of a run of letters counts, and n-grams only join neighbours."""
+    run = "a" * 60 + "badword" + "b" * 60
+    model = toxicity.Model({"adwor": 0, "aaabbb": 1}, np.array([9.0, 9.0]), -5.0)
+    assert toxicity.score_of(run, model, {}) > 0.9 and toxicity.score_of("a" * 30 + "c" + "b" * 30, model, {}) < 0.1
+    assert "adwor" in toxicity.parts(run) and f"={run}" in toxicity.parts(run)
+    assert len(language.subwords(run)) == sum(len(run) + 2 - n + 1 for n in language.GRAMS)
+    logits = np.zeros((language.BUCKETS, 2), np.float32)
+    logits[language.subwords("qz")[1], 1] = 5000
+    words = language.Words(language.Model(["aa", "qq"], logits, np.array([1.0, 0.0]), 1.0, 0.0))
+    assert language.predict(words, "a" * 101 + "qz" + "a" * 100)[0] == "qq" and language.predict(words, "a" * 203)[0] == "aa"
+    assert not words

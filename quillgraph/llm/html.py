@@ -1,14 +1,19 @@
 """Main text of HTML pages by two passes of block rules.
 
-Blocks are cut at block-level tags. The first pass classifies each by where it stands, link density, length and density of
-stop words: good, bad, or undecided if short or of few stop words. In the second pass an undecided block inherits the label
-of its nearest decided neighbours in the same region (in articles, or outside); where they differ, the nearer counts, then
-good. An article is a prior only: its two ends count as good neighbours, and blocks outside have none there.
+Blocks are cut at block-level tags. The first pass classifies each by link density, length and density of stop words: good,
+bad, or undecided if short or of few stop words. In the second pass an undecided block inherits the label of its nearest
+decided neighbours in the same region (in articles, or outside); where they differ, the nearer counts, then good. An article
+is a prior only: its two ends count as good neighbours, and blocks outside have none there.
+
+Elements that by their tag or their whole class, id or role name are menus, adverts, comments and the like are away: their
+blocks are dropped and are no neighbours. Where nothing good stands outside of such elements, those that hold over half of
+the page's text count as the page itself. Parsing takes time in proportion to the page, however deep it nests.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -20,14 +25,17 @@ from quillgraph.llm.common import extended, prepare, rows_of
 
 # Elements by what they are for.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math select head".split())
+RAW = frozenset("script style textarea title".split())
+HIDDEN = frozenset("noscript template iframe object svg math select head button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-AWAY = frozenset("nav footer aside form button menu dialog".split())
+AWAY = frozenset("nav footer aside form menu dialog".split())
 REGIONS = frozenset(("article", "main"))
 HINTS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer footer header login masthead menu modal nav navbar navigation newsletter notice pagination "
     "popup promo promoted related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: What may stand beside hints in a name; with any other part (has-sidebar, no-ads, comments-open) the name hints at nothing.
+PLACES = frozenset("area article articles bar block bottom box btn buttons container content entry first form global group icons inner item items last left link links list main media page post posts primary right secondary section site text thread top unit user wrap wrapper".split())
 STOP_WORDS = frozenset(
     "the of and to in is that it for was as with be are on by this from at or an not have "
     "der die das und ist von zu den mit für im nicht ein eine sich auf dem des auch als "
@@ -38,90 +46,164 @@ STOP_WORDS = frozenset(
 #: Link density above which a block is bad; lengths below which it is short and above which it can be good by itself;
 #: densities of stop words below which it is undecided and above which it is good.
 LINKS, SHORT, LONG, FEW, MANY = 0.5, 70, 140, 0.1, 0.2
+#: How many elements for each open one of its kind an inline end tag looks through; beyond, the element ends with its block.
+DEEP = 64
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
-NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+#: Where a hidden element nests or ends; drawings, formulas and choices also end where a paragraph or the like begins.
+EDGES = {tag: re.compile(rf"<(/?)({tag})\b[^>]*>" + (r"|<()(?:p|div|h[1-6]|ul|ol|table|article|section|main|footer|nav)\b" if tag in ("svg", "math", "select") else ""), re.I) for tag in HIDDEN}
 WORD = re.compile(r"[^\W\d_]+")
+PART = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
 
 
 def hinted(attributes: str, inside: bool) -> bool:
-    """Whether class, id or role tell of something beside the text; an article's own header doesn't."""
-    names = {n for m in NAMED.findall(attributes) for n in re.split(r"[^a-z0-9]+", "".join(m).lower())}
-    return bool(names & HINTS - ({"header"} if inside else set()))
+    """Whether a whole class, id or role name tells of something beside the text; an article's own header doesn't."""
+    hints = HINTS - {"header"} if inside else HINTS
+    for m in NAMED.findall(attributes):
+        for name in "".join(m).lower().split():
+            parts = PART.findall(name)
+            if parts and any(p in hints for p in parts) and all(p in hints or p in PLACES for p in parts):
+                return True
+    return False
+
 
+class Page:
+    """One walk over a page: its blocks as (text, characters in links, innermost away element or -1, whether in a region)."""
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, whether in menus, adverts and the like, whether in an article) of each block in order."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, away, region
-    parts: list[str] = []
-    state = {"links": 0}
+    def __init__(self, page: str) -> None:
+        self.page, self.blocks = page, []
+        self.stack: list[tuple[str, int, bool]] = []  # tag, away element or -1, whether a region
+        self.open: Counter[str] = Counter()
+        self.inner: list[int] = []  # where blocks are in the stack
+        self.away: list[int] = []
+        self.parents: list[int] = []  # of away elements
+        self.regions = self.links = 0
+        self.parts: list[str] = []
+        self.of: set[int] = set()
+        self.unclosed: set[str] = set()
+        self.walk()
+        self.end()
 
-    def end() -> None:
-        if parts:
-            text = SPACES.sub(" ", "".join(parts)).strip()
+    def here(self) -> int:
+        return self.away[-1] if self.away else -1
+
+    def end(self) -> None:
+        if self.parts:
+            text = SPACES.sub(" ", "".join(self.parts)).strip()
             if text:
-                out.append((text, state["links"], any(a for _, a, _ in stack), any(r for *_, r in stack)))
-            parts.clear()
-        state["links"] = 0
-
-    def close(tag: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                return
+                # a word that is away within a block doesn't put the block away
+                self.blocks.append((text, self.links, self.of.pop() if len(self.of) == 1 else self.here(), self.regions > 0))
+            self.parts.clear()
+        self.of.clear()
+        self.links = 0
 
-    def text_node(raw: str) -> None:
+    def text(self, raw: str) -> None:
         if raw:
             text = unescape(raw) if "&" in raw else raw
-            parts.append(text)
-            if any(t == "a" for t, *_ in stack):
-                state["links"] += len(text.strip())
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TAG.search(page, at)
-        if not m:
-            text_node(page[at:])
-            break
-        text_node(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m[1] or m[4]:
-            if tag in BLOCKS:
-                end()
-            close(tag)
-        elif tag in RAW:
-            closing = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if tag == "head" and not closing:
+            self.parts.append(text)
+            if not text.isspace():
+                self.of.add(self.here())
+                if self.open["a"]:
+                    self.links += len(text.strip())
+
+    def push(self, tag: str, attributes: str) -> None:
+        region, inside = tag in REGIONS, self.regions > 0
+        away = -1
+        if tag in AWAY or (tag == "header" and not inside) or ("=" in attributes and tag not in ("html", "body") and hinted(attributes, inside)):
+            away = len(self.parents)
+            self.parents.append(self.here())
+            self.away.append(away)
+            region = False
+        if tag in BLOCKS:
+            self.inner.append(len(self.stack))
+        self.stack.append((tag, away, region))
+        self.open[tag] += 1
+        self.regions += region
+
+    def pop(self) -> str:
+        tag, away, region = self.stack.pop()
+        self.open[tag] -= 1
+        self.regions -= region
+        if away >= 0:
+            self.away.pop()
+        if tag in BLOCKS:
+            self.inner.pop()
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Close the nearest such element and what is open in it; the end of an inline element other than a link stays in its block."""
+        if tag in BLOCKS or tag == "a":
+            if self.open[tag]:
+                while self.pop() != tag:
+                    pass
+            return
+        least = self.inner[-1] if self.inner else -1
+        for at in range(len(self.stack) - 1, max(least, len(self.stack) - 1 - self.open[tag] * DEEP), -1):
+            if self.stack[at][0] == tag:
+                while len(self.stack) > at:
+                    self.pop()
+                return
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag in BLOCKS:
+            self.end()
+            if self.inner:
+                outer = self.stack[self.inner[-1]][0]
+                least = self.inner[-1] + (outer != "p" and not outer == tag == "li")
+                if least == self.inner[-1] or tag == "p":
+                    while len(self.stack) > least:
+                        self.pop()
+        if tag not in VOID and not attributes.rstrip().endswith("/"):
+            self.push(tag, attributes)
+
+    def skip(self, tag: str, at: int) -> int:
+        """Where a hidden element that opens before `at` ends; an element that nothing closes hides nothing."""
+        if tag in self.unclosed:
+            return at
+        depth, last = 1, -1
+        for m in EDGES[tag].finditer(self.page, at):
+            if m[2] is None:
+                return m.start()
+            depth += -1 if m[1] else 1
+            last = m.end() if m[1] else last
+            if not depth:
+                return m.end()
+        self.unclosed.add(tag)
+        return at if last < 0 else last
+
+    def walk(self) -> None:
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            m = TAG.search(page, at)
+            if not m:
+                self.text(page[at:])
+                return
+            self.text(page[at : m.start()])
+            at = m.end()
+            tag = (m[2] or m[5] or "").lower()
+            if not tag:
                 continue
-            at = closing.end() if closing else n
-        elif tag == "br":
-            parts.append("\n")
-        else:
-            attributes = m[3] or m[6] or ""
-            if tag in BLOCKS:
-                end()
-                inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), None)
-                if inner is not None and (stack[inner][0] == "p" or stack[inner][0] == tag == "li"):
-                    del stack[inner:]
-                elif tag == "p" and inner is not None:
-                    del stack[inner + 1 :]
-            if tag not in VOID and not attributes.rstrip().endswith("/"):
-                region = tag in REGIONS
-                inside = any(r for *_, r in stack)
-                away = tag in AWAY or (tag == "header" and not inside) or ("=" in attributes and tag not in ("html", "body") and hinted(attributes, inside))
-                stack.append((tag, away, region and not away))
-    end()
-    return out
+            if m[1] or m[4]:
+                if tag in BLOCKS:
+                    self.end()
+                self.close(tag)
+            elif tag in RAW:
+                closing = ENDS[tag].search(page, at)
+                at = closing.end() if closing else n
+            elif tag in HIDDEN:
+                at = self.skip(tag, at)
+            elif tag == "br":
+                self.parts.append("\n")
+            else:
+                self.start(tag, m[3] or m[6] or "")
 
 
-def first_pass(text: str, links: int, away: bool) -> str:
+def first_pass(text: str, links: int) -> str:
     n = len(text)
-    if away or links > LINKS * n:
+    if links > LINKS * n:
         return "bad"
     if n < SHORT:
         return "?"
@@ -148,11 +230,33 @@ def second_pass(labels: list[str], article: bool) -> list[str]:
     return out
 
 
-def main_text(page: str | None) -> str:
+def dropped(page: Page, labels: list[str]) -> list[bool]:
+    """Of each away element, whether its text goes: not where it holds over half of the text and nothing good stands outside."""
+    n = len(page.parents)
+    if any(away < 0 and (label == "good" or region and label == "?") for (_, _, away, region), label in zip(page.blocks, labels, strict=True)):
+        return [True] * n
+    held = [0] * n
+    for text, _, away, _ in page.blocks:
+        if away >= 0:
+            held[away] += len(text)
+    for i in range(n - 1, -1, -1):  # parents come before their children
+        if page.parents[i] >= 0:
+            held[page.parents[i]] += held[i]
+    half = sum(len(b[0]) for b in page.blocks) / 2
+    out: list[bool] = []
+    for i in range(n):
+        out.append(held[i] <= half or (page.parents[i] >= 0 and out[page.parents[i]]))
+    return out
+
+
+def main_text(html: str | None) -> str:
     """The good blocks' texts, two newlines between; empty if there are none."""
-    kept = [(text, first_pass(text, links, away), region) for text, links, away, region in blocks(page or "") if not away]
-    labels = {article: iter(second_pass([label for _, label, region in kept if region == article], article)) for article in (True, False)}
-    return "\n\n".join(text for text, _, region in kept if next(labels[region]) == "good")
+    page = Page(html or "")
+    labels = [first_pass(text, links) for text, links, *_ in page.blocks]
+    gone = dropped(page, labels)
+    kept = [(text, label, region) for (text, _, away, region), label in zip(page.blocks, labels, strict=True) if away < 0 or not gone[away]]
+    final = {article: iter(second_pass([label for _, label, region in kept if region == article], article)) for article in (True, False)}
+    return "\n\n".join(text for text, _, region in kept if next(final[region]) == "good")
 
 
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -3,7 +3,8 @@
 The automaton starts with one state that accepts every base symbol. Each merge (u, v) -> uv, in order of rank, is a gadget:
 arcs labelled u are redirected to a copy of their target that lacks the arc v, and every state that had an arc u to a state
 with an arc v gets the arc uv to where u, v led. What is left accepts exactly the correct token sequences, so one path spells
-a given word. A state's arcs are kept as differences from the state it was copied from: state_of, parent, cut and when.
+a given word. A state is kept as its difference from the state that it was copied from (parent, the arc cut, and when);
+rows of the table next[state, token] are filled from these differences when first asked for.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
 import regex
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import extended, hold, prepare, rows_of
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: White space as Unicode's White_Space property has it.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -41,8 +46,8 @@ LETTER, OTHER = latin(str.isalpha), latin(lambda c: not c.isalnum() and c not in
 LATIN_WORDS = re.compile(rf"[{LETTER}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[{OTHER}]+")
 RARE = re.compile("[\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
 NEVER = 1 << 60
-#: Entries after which a cache is emptied.
-CACHE = 600_000
+#: Entries after which a cache is emptied, and letters above which a word isn't cached: an entry takes a few hundred bytes at most.
+CACHE, LONG = 600_000, 48
 
 
 def byte_alphabet() -> list[str]:
@@ -53,60 +58,64 @@ def byte_alphabet() -> list[str]:
 
 
 class Automaton:
+    """States are numbers: 0 is the first, and each gadget adds one. to[t] is the state that every arc labelled t leads to."""
+
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "") -> None:
         self.vocab, self.end = vocab, end
         plain = [t.removesuffix(end) if end else t for t in vocab]
         self.starts = {t[:i] for t in plain for i in range(1, len(t) + 1)}
         self.last = {t.removesuffix(end): i for t, i in vocab.items() if t.endswith(end)} if end else vocab
-        self.state_of = dict.fromkeys(vocab.values(), 0)
-        self.parent, self.cut, self.when, self.owner = [0], [-1], [NEVER], [-1]
-        self.cuts: dict[tuple[int, int], int] = {}
-        self.halves: dict[int, tuple[int, int, int]] = {}
+        self.n = max(vocab.values(), default=0) + 1
+        self.to = [0] * self.n
+        self.parent, self.cut, self.when = [0], [-1], [-2]
+        self.made = [-1] * self.n  # the rank of the merge that makes a token; base symbols were there before
+        self.left = [-1] * self.n
+        self.next: dict[int, int] = {}
         for rank, (left, right) in enumerate(merges):
             self.gadget(vocab[left], vocab[right], vocab[left + right], rank)
-        self.table: dict[int, bool] = {}
-        self.n = max(vocab.values(), default=0) + 1
+        self.next.clear()  # what was asked for while states were added
 
     def gadget(self, u: int, v: int, uv: int, rank: int) -> None:
-        """Copy the target of u without its arc v; uv leads where u, v led."""
-        self.state_of[uv] = self.state_of[v]
-        self.parent.append(self.state_of[u])
+        """Copy the target of u without its arc v; uv leads where u, v led. A merge that no path has any more makes nothing."""
+        target = self.to[u]
+        if self.made[u] == NEVER or not self.has(target, v):
+            self.made[uv] = NEVER
+            return
+        self.made[uv], self.left[uv], self.to[uv] = rank, u, self.to[v]
+        self.parent.append(target)
         self.cut.append(v)
         self.when.append(rank)
-        self.owner.append(u)
-        self.state_of[u] = len(self.parent) - 1
-        self.cuts[u, v] = rank
-        self.halves[uv] = u, v, rank
+        self.to[u] = len(self.parent) - 1
 
-    def arc(self, last: int, token: int) -> bool:
-        """Whether the state after `last` has an arc `token`; entries of the table are made when first asked for.
+    def has(self, state: int, token: int) -> bool:
+        """Whether the state has an arc `token`, from its differences.
 
-        The state was copied along last's right halves, each until the larger token was made; it has the arc uv if it had
-        the arc u when uv was made, and none of these arcs was cut before.
+        A state has the arcs of its parent at the time of the copy, but for the one cut; of a later merge uv it has the arc if
+        it has u. An arc once made stays.
         """
-        key = last * self.n + token
-        found = self.table.get(key)
+        made, when, cut = self.made, self.when, self.cut
+        if made[token] == NEVER:
+            return False
+        while True:
+            if made[token] >= when[state]:
+                if made[token] < 0:
+                    return True  # a base symbol in the first state
+                token = self.left[token]
+            elif cut[state] == token:
+                return False
+            else:
+                state = self.parent[state]
+
+    def step(self, state: int, token: int) -> int:
+        """next[state, token]: the state that the arc leads to, or -1 where there is no such arc."""
+        key = state * self.n + token
+        found = self.next.get(key)
         if found is None:
-            found = self.table[key] = self._arc(last, token)
-            if len(self.table) > 2 * CACHE:
-                self.table.clear()
+            if len(self.next) > 2 * CACHE:
+                self.next.clear()
+            found = self.next[key] = self.to[token] if self.has(state, token) else -1
         return found
 
-    def _arc(self, last: int, token: int) -> bool:
-        t, until = token, NEVER
-        while True:
-            s, limit = last, NEVER
-            while True:
-                cut = self.cuts.get((s, t))
-                if cut is not None and cut < limit and cut <= until:
-                    return False
-                if s not in self.halves:
-                    break
-                _, s, limit = self.halves[s]
-            if t not in self.halves:
-                return True
-            t, _, until = self.halves[t]
-
     def matches(self, word: str, at: int) -> list[tuple[int, int]]:
         """(end, token) of the tokens that stand at a place of the word, shortest first."""
         out, n, known = [], len(word), self.starts
@@ -120,7 +129,7 @@ class Automaton:
         return out
 
     def encode_word(self, word: str) -> list[int]:
-        """The labels of the one path that spells word (in the byte alphabet).
+        """The labels on the one path from state 0 that spells word (in the byte alphabet).
 
         Arcs are tried from the longest label on. A prefix has one path only, so a place from which the end can't be reached
         is given up for good.
@@ -128,20 +137,22 @@ class Automaton:
         n, dead = len(word), set()
         if not n:
             return []
-        tokens, ends, open_ = [], [0], [self.matches(word, 0)]
+        tokens, ends, states, open_ = [], [0], [0], [self.matches(word, 0)]
         while open_:
-            options = open_[-1]
+            options, state = open_[-1], states[-1]
             while options:
                 end, token = options.pop()
-                if end not in dead and (not tokens or self.arc(tokens[-1], token)):
+                if end not in dead and (target := self.step(state, token)) >= 0:
                     tokens.append(token)
                     if end == n:
                         return tokens
                     ends.append(end)
+                    states.append(target)
                     open_.append(self.matches(word, end))
                     break
             else:
                 dead.add(ends.pop())
+                states.pop()
                 open_.pop()
                 if tokens:
                     tokens.pop()
@@ -149,23 +160,40 @@ class Automaton:
 
 
 class Known(dict):
-    """What a function gives, kept until there are CACHE entries."""
+    """What a function gives, kept until there are CACHE entries; long words aren't kept."""
 
     def __init__(self, work: Callable[[str], tuple[int, ...]]) -> None:
         super().__init__()
         self.work = work
 
     def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(word) > LONG:
+            return self.work(word)
         if len(self) > CACHE:
             self.clear()
         found = self[word] = self.work(word)
         return found
 
 
+@lru_cache(maxsize=1)
+def unknown() -> re.Pattern:
+    """The code points that Python's Unicode tables leave unassigned; the library's tables may know them as letters or numbers."""
+    out, start = [], -1
+    for c in range(0x110001):
+        free = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+        if free and start < 0:
+            start = c
+        elif not free and start >= 0:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = -1
+    return re.compile(f"[{''.join(out)}]")
+
+
 class WordBpe:
     """Encodes and decodes as the tokenizers library does with a word-end BPE file (NFC, lower case, byte level)."""
 
     def __init__(self, path: str) -> None:
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -175,11 +203,26 @@ class WordBpe:
         self.labels = {i: t for t, i in (*model["vocab"].items(), *self.added.items())}
         self.alphabet = byte_alphabet()
         self.words = Known(self.word)
+        self.unknown = unknown()
+        self.library: Tokenizer | None = None
 
     def word(self, word: str) -> tuple[int, ...]:
         return tuple(self.automaton.encode_word("".join([self.alphabet[b] for b in word.encode("utf-8", "replace")])))
 
+    def odd_words(self, text: str) -> list[str]:
+        """The words of a text with characters that Python's Unicode tables lack, by the library's normaliser and splitter."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        back = {c: b for b, c in enumerate(self.alphabet)}
+        shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(back.__getitem__, w)).decode("utf-8") for w, _ in shown]
+
     def _plain(self, text: str, out: list[int]) -> None:
+        if RARE.search(text) and self.unknown.search(text):
+            out.extend(chain.from_iterable(map(self.words.__getitem__, self.odd_words(text))))
+            return
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower()  # each character by itself: no final sigma

@@ -33,8 +33,8 @@ from quillgraph.llm.common import extended, hold, prepare, rows_of, table
 SIZE = 2048
 #: Lengths above this share of a bin are large; each of so many groups of them is rounded up.
 LARGE, GROUPS = 1 / 2, 40
-#: Distinct pre-tokens after which their cache is emptied.
-CACHE = 1_000_000
+#: Distinct pre-tokens after which their cache is emptied, and characters above which one isn't cached.
+CACHE, LONG = 1_000_000, 48
 
 PRETOKENS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 LATIN_PRETOKENS = re.compile(rf" ?[{LETTER}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[{OTHER}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
@@ -76,7 +76,11 @@ class ByteTokens:
             self.known[p] = packed(f"<{len(e.ids)}I", *e.ids)
         for mark in self.added.values():
             self.known[mark] = mark
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+        out = [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+        for p in new:
+            if len(p) > LONG:
+                del self.known[p]
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from quillgraph.llm import bpe, packing
@@ -38,9 +40,84 @@ def test_merging_a_symbol_with_itself_goes_left_to_right():
     assert [a.encode_word("a" * n) for n in range(1, 8)] == [[0], [1], [1, 0], [2], [2, 0], [2, 1], [2, 1, 0]]
 
 
-def test_every_gadget_copies_a_state():
-    a = bpe.Automaton({"a": 0, "b": 1, "ab": 2}, [("a", "b")])
-    assert len(a.parent) == 2 and a.cut[1] == 1 and not a.arc(0, 1) and a.arc(1, 0) and a.arc(2, 1)
+def plain_gadgets(vocab, merges):
+    """The automaton with all arcs written out: each gadget carried out on dicts of arcs."""
+    made = {y + z for y, z in merges}
+    arcs = {0: {t: 0 for s, t in vocab.items() if s not in made}}
+    for left, right in merges:
+        u, v, uv = vocab[left], vocab[right], vocab[left + right]
+        targets = {a[u] for a in arcs.values() if u in a}
+        if not targets:
+            continue
+        assert len(targets) == 1  # all arcs of a label lead to one state
+        target = targets.pop()
+        if v not in arcs[target]:
+            continue
+        led, new = arcs[target][v], len(arcs)
+        arcs[new] = {t: s for t, s in arcs[target].items() if t != v}
+        for a in arcs.values():
+            if u in a and a is not arcs[new]:
+                a[uv] = led
+        if u in arcs[new]:
+            arcs[new][uv] = led
+        for a in arcs.values():
+            if u in a:
+                a[u] = new
+    return arcs
+
+
+def test_states_and_arcs_are_what_the_gadgets_say():
+    r = random.Random(11)
+    for _ in range(40):
+        tokens, merges = ["a", "b", "c"], []
+        while len(merges) < 12:
+            left, right = r.choice(tokens), r.choice(tokens)
+            if left + right not in tokens:
+                merges.append((left, right))
+                tokens.append(left + right)
+        vocab = {t: i for i, t in enumerate(tokens)}
+        a, want = bpe.Automaton(vocab, merges), plain_gadgets(vocab, merges)
+        assert len(a.parent) == len(want)
+        for state, arcs in want.items():
+            assert {t: a.step(state, t) for t in vocab.values() if a.step(state, t) >= 0} == arcs
+        assert {k: v for k, v in a.next.items() if v >= 0} == {s * a.n + t: to for s, arcs in want.items() for t, to in arcs.items()}
+        for _ in range(50):
+            word = "".join(r.choice("abc") for _ in range(r.randint(1, 14)))
+            got, state = a.encode_word(word), 0
+            assert got == plain_merges(word, merges, vocab), (word, merges)
+            for t in got:
+                state = a.step(state, t)
+                assert state >= 0
+
+
+def plain_merges(word, merges, vocab):
+    parts = list(word)
+    for left, right in merges:
+        i = 0
+        while i < len(parts) - 1:
+            if (parts[i], parts[i + 1]) == (left, right):
+                parts[i : i + 2] = [left + right]
+            i += 1
+    return [vocab[p] for p in parts]
+
+
+def test_every_code_point_alone_and_between_letters():
+    ours, theirs = bpe.WordBpe(WORD), Tokenizer.from_file(WORD)
+    known = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    # of the large blocks of one kind (ideographs, syllables, private use) every 37th
+    wanted = [c for c in known if c % 37 == 0 or not (0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD7A4 or 0xE000 <= c < 0xF900 or 0x17000 <= c < 0x18D00 or 0x20000 <= c)]
+    wanted += [c for c in known if c >= 0x20000 and unicodedata.category(chr(c)) == "Cn" and regex.match(r"[\p{L}\p{N}]", chr(c))]
+    texts = [" ".join(f"{chr(c)} a{chr(c)}b" for c in wanted[i : i + 60]) for i in range(0, len(wanted), 60)]
+    for text, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ours.encode(text) == e.ids, [hex(ord(c)) for c in set(text) if ours.encode(f"{c} a{c}b") != theirs.encode(f"{c} a{c}b", add_special_tokens=False).ids]
+
+
+def test_long_words_are_not_kept():
+    ours, other = bpe.WordBpe(WORD), packing.ByteTokens(BYTE)
+    for text in ("q" * 5000, "w" * 100_000):
+        ours.encode(text)
+        other.encode([text])
+    assert all(len(w) <= bpe.LONG for w in ours.words) and all(len(w) <= packing.LONG for w in other.known)
 
 
 def rows(spark, texts, extra=True):

@@ -6,6 +6,7 @@ import re
 import duckdb
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillgraph.llm import common, exact, simhash
 
@@ -72,12 +73,56 @@ def test_exact_with_ties_nulls_and_nothing(spark):
     assert exact.groups(df.limit(0)).count() == 0 and exact.distinct(df.limit(0)).count() == 0
 
 
-def test_exact_stays_right_when_the_filter_is_full(spark, texts, monkeypatch):
+@pytest.mark.parametrize("small", [{"ROWS_A_BLOCK": 4, "BLOCKS_A_FILTER": 8}, {"ROWS_A_BLOCK": 1, "HOT_TIMES": 1}, {"WIDTH": 4}])
+def test_exact_stays_right_with_many_filters_hot_blocks_and_full_ones(spark, texts, monkeypatch, small):
     df, _ = frame(spark, texts)
     want = sorted(tuple(r) for r in exact.groups(df).collect())
-    monkeypatch.setattr(exact, "MAX_BITS", 8)
+    rows = sorted(tuple(r) for r in exact.distinct(df).collect())
+    for k, v in small.items():
+        monkeypatch.setattr(exact, k, v)
     monkeypatch.setattr(common, "HOT_SHARE", 1 / 20)
     assert sorted(tuple(r) for r in exact.groups(df).collect()) == want
+    assert sorted(tuple(r) for r in exact.distinct(df).collect()) == rows
+
+
+def exchanged(df):
+    """Rows written by the exchanges of the last action's plan."""
+    import re as r
+
+    plan = df._jdf.queryExecution().executedPlan()
+    out, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if r.search("QueryStage", name):
+            todo.append(node.plan())
+            continue
+        if name == "Exchange":
+            out.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_only_suspects_are_shuffled(spark):
+    n = 40_000
+    keys = spark.range(0, n, 1, 4).selectExpr("sha2(cast(if(id < 100, 0, id) as string), 256) AS key").checkpoint()
+    made = exact.bitmaps(keys, "key", exact.blocks_for(n), 2)
+    assert made.collect() and all(w <= 4 * exact.blocks_for(n) for w in exchanged(made)) and exchanged(made)
+    rows = exact.suspects(keys, "key", keys, n, 2)
+    maybe = rows.filter("maybe").select("row.key").groupBy("key").count()
+    assert len(maybe.collect()) < 0.05 * n and sum(exchanged(maybe)) < 0.05 * n
+
+
+def test_exact_distinct_of_any_columns(spark):
+    rows = spark.sql("""SELECT * FROM VALUES (1L, 'a b', map('x', 1), 'k', true, 7L), (2L, 'a  b', map('y', 2), 'k', true, 7L), (3L, 'c', map(), 'k', false, 8L), (3L, 'c', map('z', 1), 'k', false, 8L)
+        AS t(doc_id, text, m, key, maybe, block)""").withColumnRenamed("m", "__byte0").withColumn("row", F.lit(1)).withColumn("own.x", F.lit(2))
+    got = exact.distinct(rows)
+    assert got.columns == rows.columns and sorted((r["doc_id"], str(r["__byte0"])) for r in got.collect()) == [(1, "{'x': 1}"), (3, "{'z': 1}")]
+    assert exact.absent(rows, spark.createDataFrame([(1,)], "key long"), "doc_id").count() == 3
 
 
 def test_exact_distinct_keeps_whole_rows(spark, texts):
@@ -91,9 +136,9 @@ def test_exact_distinct_keeps_whole_rows(spark, texts):
 
 def test_probe_never_misses_a_repeat(spark):
     keys = spark.range(4000).selectExpr("cast(id % 3000 as string) AS k")
-    rows = exact.probe(keys, "k", exact.set_bits(keys, "k", 1 << 15, 2), 1 << 15)
-    assert rows.filter("NOT __maybe AND cast(k as long) < 1000").count() == 0
-    assert rows.filter("NOT __maybe").count() > 1000
+    rows = exact.suspects(keys, "k", keys, 4000, 2).select("maybe", "row.k")
+    assert rows.filter("NOT maybe AND cast(k as long) < 1000").count() == 0
+    assert rows.filter("NOT maybe").count() > 1800
 
 
 def test_fingerprints(spark, texts):

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,10 +31,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and only where that is unset a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one below the warehouse, on local masters only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), f"quillgraph-{uuid.uuid4().hex}"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return sc.getCheckpointDir()
 
 
@@ -47,6 +47,21 @@ def table(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables that nothing reads any more."""
+    for df in tables:
+        rdd = df._jdf.queryExecution().logical().rdd()
+        if rdd.getCheckpointFile().isDefined():
+            remove(df.sparkSession, rdd.getCheckpointFile().get())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared storage, wherever it is."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def extended(df: DataFrame, ddl: str) -> tuple[StructType, pa.Schema]:
     """The schema of df with more fields, for Spark and for Arrow."""
     out = StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

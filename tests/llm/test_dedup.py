@@ -173,7 +173,29 @@ def test_near_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (None, "zz")], "doc_id long, text string")
     got = {(r["doc_id"], r["component_id"]) for r in simhash.groups(df).collect()}
     assert got == {(None, 5), (5, 5), (None, None)}
-    assert simhash.groups(df.limit(0)).count() == 0 and simhash.distinct(df).count() == 3
+    assert simhash.groups(df.limit(0)).count() == 0 and simhash.distinct(df.limit(0)).count() == 0
+    assert {(r["doc_id"], r["text"]) for r in simhash.distinct(df).collect()} == {(5, "a b c d"), (None, "zz")}
+
+
+def test_near_distinct_goes_by_row_and_not_by_id(spark):
+    rows = [(1, "a b c d", "x"), (2, "a b c d", "x"), (2, "one of its own kind", "x"), (3, "q r s", "x"), (3, "q r s", "x"), (3, "q r s", "y"), (4, "q  r s", "x"), (None, "z z z z", "x"), (None, "z z z z", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string").withColumn("own", F.create_map(F.lit("k"), F.col("doc_id")))
+    got = simhash.distinct(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"], r["mark"]) for r in got.collect()))) == sorted(map(str, [(1, "a b c d", "x"), (2, "one of its own kind", "x"), (3, "q r s", "x"), (None, "z z z z", "x")]))
+
+
+def test_hubs_and_labels_are_split(spark, monkeypatch):
+    """A star and a long path beside many pairs: hubs and labels go by broadcast, and what is left over is removed."""
+    import os
+
+    monkeypatch.setattr(common, "HOT_SHARE", 1 / 50)
+    edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000 + 2 * i, 5001 + 2 * i) for i in range(100)]
+    before = len([f for f in os.listdir(common.shared_dir(spark).removeprefix("file:")) if f.startswith("rdd-")])
+    got = {r["vertex"]: r["label"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: (0 if v < 300 else 1000 if v < 2000 else v - v % 2) for e in edges for v in e}
+    left = len([f for f in os.listdir(common.shared_dir(spark).removeprefix("file:")) if f.startswith("rdd-")])
+    assert left <= before + 1
 
 
 def test_attach_splits_hot_keys(spark):

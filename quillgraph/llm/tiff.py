@@ -6,6 +6,7 @@ PackBits, LZW or deflate, undoes the horizontal predictor and gives samples of 8
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,9 +20,14 @@ from quillgraph.llm.common import extended, prepare
 
 WIDTH, CHANNELS = 64, 3
 ROW = WIDTH * CHANNELS
+#: Rows of a stored document's first page.
+FIRST = 16
 # Fixed values of the format.
 PLAIN, LZW, ADOBE_DEFLATE, DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+RUN = re.compile(rb"(.)\1\1+", re.S)
+#: The most samples that a stored byte can stand for in any of the codings: LZW's longest entry for 12 bits, with room.
+MOST = 4096
 NAMES = {PLAIN: "none", LZW: "lzw", ADOBE_DEFLATE: "deflate", DEFLATE: "deflate", PACKBITS: "packbits"}
 
 
@@ -29,19 +35,26 @@ NAMES = {PLAIN: "none", LZW: "lzw", ADOBE_DEFLATE: "deflate", DEFLATE: "deflate"
 
 
 def packbits(data: bytes) -> bytes:
-    out, at, n = bytearray(), 0, len(data)
-    while at < n:
-        run = 1
-        while run < 128 and at + run < n and data[at + run] == data[at]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        start = at
-        while at < n and at - start < 128 and (at + 1 >= n or data[at] != data[at + 1]):
-            at += 1
-        out += bytes((at - start - 1,)) + data[start:at]
+    """Runs of three and more as runs, all else as literals, each of 128 bytes at most."""
+    out, at = bytearray(), 0
+
+    def literals(start: int, end: int) -> None:
+        for i in range(start, end, 128):
+            part = data[i : min(i + 128, end)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for m in RUN.finditer(data):
+        start, end = m.span()
+        literals(at, start)
+        while end - start > 1:
+            n = min(128, end - start)
+            out.append(257 - n)
+            out.append(data[start])
+            start += n
+        literals(start, end)
+        at = end
+    literals(at, len(data))
     return bytes(out)
 
 
@@ -59,77 +72,79 @@ def unpackbits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def widths(k: np.ndarray) -> np.ndarray:
+    """Bits of the k-th code after a clear: 9 to 12, growing one code early."""
+    return 9 + (k >= 254).astype(np.int64) + (k >= 766) + (k >= 1790)
+
+
 def lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first; the width grows one code early."""
-    bits, held, out = 0, 0, bytearray()
-    width, following = 9, 258
-    known = {bytes((i,)): i for i in range(256)}
-
-    def put(code: int) -> None:
-        nonlocal bits, held
-        bits, held = bits << width | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append(bits >> held & 255)
-        bits &= (1 << held) - 1
-
-    put(256)
-    current = b""
-    for i in range(len(data)):
-        longer = current + data[i : i + 1]
-        if longer in known:
+    """Codes of 9 to 12 bits, most significant bit first."""
+    codes, known, following, current = [256], {}, 258, -1
+    clears = [0]
+    for byte in data:
+        if current < 0:
+            current = byte
+            continue
+        key = current << 8 | byte
+        longer = known.get(key)
+        if longer is not None:
             current = longer
             continue
-        put(known[current])
-        known[longer] = following
+        codes.append(current)
+        known[key] = following
         following += 1
         if following == 4094:
-            put(256)
-            known, width, following = {bytes((i,)): i for i in range(256)}, 9, 258
-        elif following + 1 > 1 << width:
-            width += 1
-        current = data[i : i + 1]
-    if current:
-        put(known[current])
-        following += 1
-        if following + 1 > 1 << width and width < 12:
-            width += 1
-    put(257)
-    if held:
-        out.append(bits << (8 - held) & 255)
-    return bytes(out)
+            clears.append(len(codes))
+            codes.append(256)
+            known, following = {}, 258
+        current = byte
+    if current >= 0:
+        codes.append(current)
+    codes.append(257)
+    code, at = np.array(codes, np.int64), np.arange(len(codes))
+    since = at - np.array(clears)[np.searchsorted(clears, at, "left") - 1] - 1  # a clear itself has the width of what it follows
+    since[0] = 0
+    width = widths(since)
+    place = np.arange(12)
+    bits = code[:, None] >> np.maximum(width[:, None] - 1 - place, 0) & 1
+    return np.packbits(bits[place < width[:, None]].astype(np.uint8)).tobytes()
 
 
 def unlzw(data: bytes, size: int) -> bytes:
-    out = bytearray()
-    table: list[bytes] = [bytes((i,)) for i in range(256)] + [b"", b""]
-    width, bits, held, last = 9, 0, 0, b""
-    for byte in data:
-        bits, held = bits << 8 | byte, held + 8
-        if held < width:
-            continue
-        held -= width
-        code = bits >> held
-        bits &= (1 << held) - 1
-        if code == 257 or len(out) >= size:
+    """Decodes a stretch between clears at a time: where its codes lie doesn't depend on what they are."""
+    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)]).astype(np.int64)
+    window = raw[:-3] << 16 | raw[1:-2] << 8 | raw[2:-1]
+    out, made, bit, total = [], 0, 0, 8 * len(data)
+    fresh = [bytes((i,)) for i in range(256)] + [b"", b""]
+    while bit < total and made < size:
+        k = np.arange(min((total - bit) // 9, 2 + 4096 + size - made))
+        width = widths(k)
+        ends = bit + np.cumsum(width)
+        starts = ends - width
+        inside = ends <= total
+        starts, width = starts[inside], width[inside]
+        codes = window[starts >> 3] >> (24 - (starts & 7) - width) & (1 << width) - 1
+        stop = np.flatnonzero((codes == 256) | (codes == 257))
+        n = int(stop[0]) if len(stop) else len(codes)
+        table, last = fresh.copy(), b""
+        for code in codes[:n].tolist():
+            if code < len(table):
+                entry = table[code]
+            elif last:
+                entry = last + last[:1]
+            else:
+                raise ValueError("LZW code before its entry")
+            out.append(entry)
+            made += len(entry)
+            if made >= size:
+                break
+            if last:
+                table.append(last + entry[:1])
+            last = entry
+        if not len(stop) or codes[n] == 257:
             break
-        if code == 256:
-            del table[258:]
-            width, last = 9, b""
-            continue
-        if code < len(table):
-            entry = table[code]
-        elif last:
-            entry = last + last[:1]
-        else:
-            raise ValueError("LZW code before its entry")
-        out += entry
-        if last:
-            table.append(last + entry[:1])
-        last = entry
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
-    return bytes(out)
+        bit = int(ends[n])
+    return b"".join(out)
 
 
 def compress(data: bytes, how: int) -> bytes:
@@ -189,6 +204,13 @@ def write(pages: list[np.ndarray], how: int = ADOBE_DEFLATE, predictor: int = 2,
     return bytes(out)
 
 
+def whole(raw: bytes, size: int) -> bytes:
+    """The first `size` bytes; a strip or tile that decodes to fewer is cut off or damaged."""
+    if len(raw) < size:
+        raise ValueError(f"{len(raw)} of {size} samples")
+    return raw[:size]
+
+
 def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
     """The byte order and the whole-number fields of each image directory in turn."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
@@ -203,6 +225,8 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
             letter = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}.get(kind)
             if letter:
+                if count * SIZES[kind] > len(data):
+                    raise ValueError(f"field {tag} has more values than the file has bytes")
                 where = at + 10 + 12 * i
                 if count * SIZES[kind] > 4:
                     where = struct.unpack_from(order + "I", data, where)[0]
@@ -217,12 +241,22 @@ def page(data: bytes, fields: dict[int, list[int]]) -> np.ndarray:
     width, rows, channels, how, predictor = one(256, 0), one(257, 0), one(277, 1), one(259, 1), one(317, 1)
     if any(b != 8 for b in fields.get(258, [1])) or predictor not in (1, 2):
         raise ValueError("samples must have 8 bits, and the predictor be none or horizontal")
+    if not (0 < width and 0 < rows and 0 < channels):
+        raise ValueError(f"an image of {width} x {rows} x {channels}")
     apart = one(284, 1) == 2 and channels > 1
     tiled = 322 in fields
     across, down = (one(322, 0), one(323, 0)) if tiled else (width, min(one(278, rows) or rows, rows) or 1)
+    if not (0 < across and 0 < down):
+        raise ValueError(f"tiles of {across} x {down}")
     offsets, counts = (fields[324], fields[325]) if tiled else (fields[273], fields[279])
-    out = np.zeros((rows, width, channels), np.uint8)
     wide, k = -(-width // across), 0
+    need = wide * -(-rows // down) * (channels if apart else 1)
+    if not need <= min(len(offsets), len(counts)) or any(o + c > len(data) for o, c in zip(offsets[:need], counts[:need], strict=False)):
+        raise ValueError("strips or tiles lie outside of the file")
+    # no coding makes more than so many samples of a byte, so a header can't ask for more memory than the file warrants
+    if rows * width * channels > MOST * (sum(counts[:need]) + need):
+        raise ValueError(f"{rows * width * channels} samples of {sum(counts[:need])} bytes")
+    out = np.zeros((rows, width, channels), np.uint8)
     for plane in range(channels if apart else 1):
         for y in range(0, rows, down):
             for x in range(0, wide * across, across):
@@ -230,7 +264,7 @@ def page(data: bytes, fields: dict[int, list[int]]) -> np.ndarray:
                 depth = 1 if apart else channels
                 size = high * across * depth
                 raw = decompress(data[offsets[k] : offsets[k] + counts[k]], how, size)
-                part = np.frombuffer(raw[:size].ljust(size, b"\0"), np.uint8).reshape(high, across, depth)
+                part = np.frombuffer(whole(raw, size), np.uint8).reshape(high, across, depth)
                 if predictor == 2:
                     part = np.cumsum(part, axis=1, dtype=np.uint8)
                 h, w = min(high, rows - y), min(across, width - x)
@@ -251,14 +285,22 @@ def feature(pixels: np.ndarray) -> str:
 # ---------------------------------------------------------------- columns
 
 
+def coding(payload: bytes) -> tuple[int, int, int, int, str]:
+    """Compression, predictor, rows of a strip, side of a tile (0: strips) and byte order, by the payload's CRC-32: all mixed at every size."""
+    h = zlib.crc32(payload)
+    how = (PACKBITS, LZW, ADOBE_DEFLATE, LZW)[h & 3]
+    return how, 1 + (h >> 2 & 1), (16, 64)[h >> 3 & 1], (0, 16, 64, 0)[h >> 4 & 3], "<>"[h >> 6 & 1]
+
+
 def image_of(payload: bytes) -> bytes:
-    """A one-page file of the payload in rows of ROW bytes; the coding is chosen by size, so short ones use the simple codes."""
+    """A file of the payload in rows of ROW bytes; pages of FIRST rows and then of twice as many as the page before."""
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, CHANNELS)
-    if len(payload) <= ROW:
-        return write([pixels], PACKBITS, 1)
-    if len(payload) <= 3 * ROW:
-        return write([pixels], LZW, 2, tile=16)
-    return write([pixels])
+    parts, at, rows = [], 0, FIRST
+    while at < len(pixels):
+        parts.append(pixels[at : at + rows])
+        at, rows = at + rows, 2 * rows
+    how, predictor, strip, tile, order = coding(payload)
+    return write(parts, how, predictor, strip, tile, order)
 
 
 def store(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -277,40 +319,53 @@ def store(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, out)
 
 
-def pages(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row for each page: keep, page (from 0), width, height, channels, compression, samples, feature, error.
+PAGE = "page int, width long, height long, channels int, compression string, samples binary, feature string, error string"
 
-    A file that can't be read gives the pages before the fault and one row with `error`; null media gives no row.
-    """
-    prepare(df.sparkSession)
-    out, schema = extended(df.select(*keep), "page int, width long, height long, channels int, compression string, samples binary, feature string, error string")
 
-    def rows_of(data: bytes) -> Iterator[tuple]:
-        k = 0
-        try:
-            for k, (_, fields) in enumerate(directories(data)):  # noqa: B007
-                pixels = page(data, fields)
-                yield k, pixels.shape[1], pixels.shape[0], pixels.shape[2], NAMES[fields.get(259, [1])[0]], pixels.tobytes(), feature(pixels), None
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError) as e:
-            yield k, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200]
+def read_pages(data: bytes) -> Iterator[tuple]:
+    """The fields of PAGE for each page; a fault gives the pages before it and one row with `error`."""
+    k = -1
+    try:
+        for k, (_, fields) in enumerate(directories(data)):  # noqa: B007
+            pixels = page(data, fields)
+            yield k, pixels.shape[1], pixels.shape[0], pixels.shape[2], NAMES[fields.get(259, [1])[0]], pixels.tobytes(), feature(pixels), None
+    except (ValueError, KeyError, IndexError, ArithmeticError, struct.error, zlib.error, MemoryError) as e:
+        yield max(k, 0), None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200]
+
+
+def read(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep and `pages`: all pages of each file in order, with their number, size, samples and error; null media has none."""
+    prepare(df.sparkSession)
+    out, schema = extended(df.select(*keep), f"pages array<struct<{PAGE.replace(' ', ': ').replace(',:', ',')}>>")
+    names = [x.split()[0] for x in PAGE.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                found = [(i, row) for i, data in enumerate(part.column(part.num_columns - 1).to_pylist()) if data is not None for row in rows_of(data)]
-                kept = pa.array([i for i, _ in found], pa.int32())
-                more = [pa.array([row[j] for _, row in found], f.type) for j, f in enumerate(list(schema)[len(keep) :])]
-                yield pa.RecordBatch.from_arrays([*(c.take(kept) for c in part.columns[:-1]), *more], schema=schema)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                found = [[dict(zip(names, row, strict=True)) for row in read_pages(data)] if data is not None else [] for data in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, schema.field(len(keep)).type)], schema=schema)
 
-    return df.select(*keep, F.col(media).alias("__media")).mapInArrow(run, out)
+    return df.select(*keep, F.col(f"`{media}`").alias("__media")).mapInArrow(run, out)
+
+
+def pages(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A row for each page: keep, page (from 0), width, height, channels, compression, samples, feature, error.
+
+    A file that can't be read gives the pages before the fault and one row with `error` (cut-off or oversized strips, sizes of
+    zero, unknown codings); null media gives no row.
+    """
+    return read(df, media, keep).select(*keep, F.explode("pages").alias("__page")).select(*keep, "__page.*")
 
 
 def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document what was stored and what is read back of it."""
-    stored = store(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    read = pages(stored, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
-    return read.select(
+    """Per document what was stored and what is read back of it: its pages' samples joined in order, and their features."""
+    stored = store(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    back = read(stored, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
+    # pages double in size, so that joining them one by one stays in proportion to the payload; a fault makes all of it null
+    samples = F.aggregate("pages", F.lit(b""), lambda all_, p: F.concat(all_, p["samples"]))
+    held = back.withColumn("samples", samples)
+    return held.select(
         "doc_id",
         "n_bytes",
         F.length("samples").cast("long").alias("payload_bytes"),
@@ -318,6 +373,16 @@ def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         F.crc32(F.expr("substring(samples, -16, 16)")).alias("tail_crc32"),
         "media_bytes",
         "media_sha256",
-        "feature",
-        "compression",
+        F.array_join(F.transform("pages", lambda p: p["feature"]), "; ").alias("feature"),
+        F.col("pages")[0]["compression"].alias("compression"),
+        F.size("pages").alias("n_pages"),
     )
+
+
+#: DuckDB: what is known of the payload; the stored form and the features have no SQL. Bytes are those of the text in UTF-8.
+PAYLOAD_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, octet_length(encode(text)) AS n_bytes FROM t),
+p AS (SELECT *, greatest(1, (n_bytes + {ROW - 1}) // {ROW}) * {ROW} AS payload_bytes FROM n)
+SELECT doc_id, n_bytes, payload_bytes, sha256(text || repeat(' ', payload_bytes - n_bytes)) AS payload_sha256 FROM p
+"""

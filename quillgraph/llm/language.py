@@ -27,6 +27,8 @@ GRAMS = (2, 3, 4)
 #: Rows of each language that are learned from, about, and letters above which a word isn't cached.
 SAMPLE, LONG = 1000, 78
 UNKNOWN = "und"
+#: Share of left-out rows with a right prediction that rejection may take at most.
+WRONGED = 0.001
 #: Words after which the table of their logits starts anew.
 CACHE = 450_000
 
@@ -66,12 +68,28 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def shuffled(text: str) -> str:
+    """The text's words with their letters dealt anew: as long, but of no language."""
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace")))
+    return " ".join("".join(rng.permutation(list(w))) for w in WORD.findall(text.lower()))
+
+
+Bag = tuple[np.ndarray, np.ndarray]
+
+
 def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
-    """Without rows to learn from, a model of no language."""
+    """Learns from whole texts; see learn."""
     known: dict[str, array] = {}
     rows = [(bag(t, known), label) for t, label in zip(texts, labels, strict=True)]
+    return learn(rows, [bag(shuffled(t), {}) for t in texts[: max(20, len(texts) // 10)]], seed)
+
+
+def learn(rows: list[tuple[Bag, str]], foreign: list[Bag], seed: int = 7) -> Model:
+    """Both layers by stochastic gradient descent; a tenth of the rows is left out and calibrates scores and, with the foreign rows, rejection.
+
+    Without rows to learn from, a model of no language.
+    """
     rows = [r for r in rows if len(r[0][0])]
-    del known
     languages = sorted({label for _, label in rows})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -98,48 +116,67 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
                 first[ids] -= rate * 20 * np.outer(share, b).astype(np.float32)  # shares are small
     model = Model(languages, first @ second, bias.astype(np.float64), 1.0, 0.0)
     if held:
-        z = np.stack([share @ model.logits[ids] + model.bias for (ids, share), _ in held])
+        logits = lambda bags: np.stack([share @ model.logits[ids] + model.bias for ids, share in bags])
+        z = logits([b for b, _ in held])
         right = np.array([number[label] for _, label in held])
         loss = {t: -np.log(softmax(z / t)[np.arange(len(right)), right] + 1e-12).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
         model.temperature = min(loss, key=loss.get)
         p = softmax(z / model.temperature)
         best, hit = p.max(axis=1), p.argmax(axis=1) == right
-        model.reject = rejection(best, hit)
+        foreign = [b for b in foreign if len(b[0])]
+        alien = softmax(logits(foreign) / model.temperature).max(axis=1) if foreign else np.zeros(0)
+        model.reject = rejection(best[hit], alien)
     return model
 
 
-def rejection(best: np.ndarray, hit: np.ndarray) -> float:
-    """The highest score at or below which predictions are surely wrong more often than right; 0 where nothing shows that.
+def rejection(right: np.ndarray, foreign: np.ndarray) -> float:
+    """The score below which a text counts as of no learned language, from left-out rows that were right and rows of no language.
 
-    Surely: the lower end of the Wilson interval (one-sided, 95 %) of the share of wrong ones is over a half. A few chance
-    errors of a good model thus reject nothing.
+    It lies at the median of the latter, so that half of such texts go, but no higher than where WRONGED of the right rows
+    would go with them; 0 without rows of either kind.
+    """
+    if not len(right) or not len(foreign):
+        return 0.0
+    spared = np.sort(right)[int(WRONGED * len(right))]
+    return float(min(np.median(foreign), spared))
+
+
+def sample(df: DataFrame, text: str, lang: str, key: str, size: int = SAMPLE) -> tuple[list[tuple[Bag, str]], list[Bag]]:
+    """Bags and labels of about `size` rows of each language by a hash, and bags of no language from a tenth of them.
+
+    Rows that repeat key, text and language count once. Bags are made by the executors, so what comes to the driver is bounded by
+    size, languages and BUCKETS, however long the texts are.
     """
-    order = np.argsort(best, kind="stable")
-    n = np.arange(1, len(best) + 1)
-    wrong = np.cumsum(~hit[order]) / n
-    z = 1.645
-    low = (wrong + z * z / (2 * n) - z * np.sqrt(wrong * (1 - wrong) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    last = np.append(np.diff(best[order]) > 0, True)[: len(best)]  # rows of one score are taken together
-    sure = np.flatnonzero((low > 0.5) & last)
-    return float(best[order[sure[-1]]]) if len(sure) else 0.0
-
-
-def sample(df: DataFrame, text: str, lang: str, key: str, size: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """About `size` rows of each language by a hash of the key, equal at every size of df; the bound is size times languages."""
     counts = {r[0]: r[1] for r in df.groupBy(lang).count().collect()}
     share = F.lit(0.0)
     for language, n in counts.items():
         share = F.when(F.col(lang) == language, F.lit(size / n)).otherwise(share)
-    part = (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 20)) / (1 << 20)) < share
-    rows = df.filter(part).select(F.col(key).cast("string").alias("k"), text, lang).collect()
-    rows.sort(key=lambda r: (r[0] or "", r[1] or ""))
-    return [r[1] or "" for r in rows], [r[2] for r in rows]
+    mark = F.xxhash64(F.col(key).cast("string"), F.col(text), F.col(lang))
+    rows = df.select(mark.alias("mark"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.pmod(F.xxhash64("mark", F.lit("sample")), F.lit(1 << 20)) / (1 << 20) < share)
+    rows = rows.dropDuplicates(["mark"])
+    out, schema = extended(rows.select("mark", "lang"), "ids binary, share binary, foreign boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("language sample", lambda: None)
+        for batch in batches:
+            known: dict[str, array] = {}
+            for mark, language, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = [(bag(t, known), False)]
+                if mark % 10 == 0:
+                    found.append((bag(shuffled(t), {}), True))
+                for (ids, part), foreign in found:
+                    yield pa.RecordBatch.from_pylist([{"mark": mark, "lang": language, "ids": ids.tobytes(), "share": part.tobytes(), "foreign": foreign}], schema=schema)
+
+    found = sorted(rows.mapInArrow(run, out).collect(), key=lambda r: (r["mark"], r["foreign"]))
+    bags = [((np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["share"], np.float32)), r["lang"], r["foreign"]) for r in found]
+    return [(b, label) for b, label, foreign in bags if not foreign], [b for b, _, foreign in bags if foreign]
 
 
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from text and lang of rows with a lang whose crc32(id) mod 3 is not 1."""
+    prepare(df.sparkSession)
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (crc_mod(F.col(doc_id), 3) != 1)).select(doc_id, text, lang)
-    return train(*sample(rows, text, lang, doc_id))
+    return learn(*sample(rows, text, lang, doc_id))
 
 
 class Words(dict):
@@ -202,7 +239,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
         words, bound = _WORDS[name], shared.value.reject
         for batch in batches:
             found = [predict(words, t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            columns = (pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([x == UNKNOWN or s <= bound for x, s in found], pa.bool_()))
+            columns = (pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([x == UNKNOWN or s < bound for x, s in found], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], schema=schema)
 
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, out)

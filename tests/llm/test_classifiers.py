@@ -109,12 +109,28 @@ def test_naming_a_group_is_not_held_against_a_text(monkeypatch):
     assert toxicity.score_of("scumlike thaned", fair, {}) > 0.3
 
 
-def test_rejection_needs_evidence():
-    best = np.array([0.3] * 20 + [0.6] * 20 + [0.9] * 200)
-    hit = np.array([False] * 18 + [True] * 2 + [True] * 15 + [False] * 5 + [True] * 200)
-    assert language.rejection(best, hit) == 0.3
-    assert language.rejection(np.array([0.4, 0.9, 0.95]), np.array([False, True, True])) == 0.0
-    assert language.rejection(np.array([]), np.array([], bool)) == 0.0
+def test_rejection_spares_what_is_right():
+    right, foreign = np.linspace(0.7, 1, 1001), np.linspace(0.3, 0.7, 101)
+    assert language.rejection(right, foreign) == 0.5
+    assert language.rejection(np.append(right, [0.4, 0.45]), foreign) == 0.45
+    assert language.rejection(np.array([0.4, 0.9, 0.95]), foreign) == 0.4
+    assert language.rejection(np.array([]), foreign) == 0.0 == language.rejection(right, np.array([]))
+
+
+def test_rejection_takes_texts_of_no_language_and_leaves_others(spark):
+    """Of unseen letters dealt at random a good part goes, of the learned languages nearly nothing."""
+    rows = corpus(900, 4)
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    strange = [(10_000 + i, language.shuffled(t), None) for i, t, _ in held]
+    got = {g["doc_id"]: g["rejected"] for g in language.predictions(frame(spark, rows + strange)).collect()}
+    assert np.mean([got[i] for i, *_ in held]) <= 0.02
+    assert np.mean([got[i] for i, *_ in strange]) >= 0.2
+
+
+def test_sample_is_bounded_by_rows_that_differ(spark):
+    rows = [(1, "kortav meltav", "xa")] * 500 + [(i, f"kor{'tav' * (i % 7)}", "xa") for i in range(2, 60)]
+    found, foreign = language.sample(frame(spark, rows), "text", "lang", "doc_id", 1000)
+    assert len(found) <= 59 and len(foreign) < len(found)
 
 
 def test_long_runs_are_read_whole():

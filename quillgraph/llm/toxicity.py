@@ -7,9 +7,10 @@ the labelled texts that have them, and the loss takes the squared change of the
 
 from __future__ import annotations
 
+import logging
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import crc_mod, extended, hold, prepare
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled rows that are learned from at most, about; features at most.
-SAMPLE, FEATURES = 8_000, 4000
+#: Labelled rows that are learned from at most, about: toxic ones and others. Features at most: where more pass, the surest are kept and a warning is logged.
+SAMPLE, FEATURES = (2_000, 6_000), 4000
 #: What a feature needs: so many toxic texts, and so many times the share of other texts.
 LEAST, TIMES = 3, 20.0
 #: How many features, of all that are tried, may pass by chance (a Chernoff bound on how unevenly they are dealt).
@@ -88,7 +89,7 @@ def chosen(bags: Bags, toxic: np.ndarray) -> dict[str, int]:
     yes, no = bags.counts(toxic), bags.counts(~toxic)
     of_yes: Counter = Counter()
     for w, i in bags.number.items():
-        if yes[i] and no[i] <= yes[i]:
+        if yes[i] and no[i] * many[0] <= yes[i] * many[1]:
             for p in parts(w):
                 of_yes[p] += int(yes[i])
     wanted = {p: n for p, n in of_yes.items() if n >= LEAST}
@@ -110,6 +111,8 @@ def chosen(bags: Bags, toxic: np.ndarray) -> dict[str, int]:
         surprise = all_ * (share * np.log(share / usual) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - usual)), 0))
     bound = np.log(max(1, len(wanted)) / CHANCE)
     good = [i for i in range(len(likely)) if hit[i] >= LEAST and surprise[i] >= bound and rate(hit[i], all_[i] - hit[i]) >= TIMES]
+    if len(good) > FEATURES:
+        logging.getLogger(__name__).warning("%d features pass, %d are kept", len(good), FEATURES)
     best = [likely[i] for i in sorted(good, key=lambda i: (-surprise[i], likely[i]))[:FEATURES]]
     terms = [f"={t}" for group in IDENTITIES for t in group if f"={t}" not in best]
     return {p: i for i, p in enumerate([*best, *terms])}
@@ -149,13 +152,23 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str | None], toxic: list[int]) -> Model:
-    """Full-batch Adam on log loss, ridge and the counterfactual penalty; an empty model without both labels."""
+    """Learns from whole texts; see learn."""
+    return learn([words_of(t) for t in texts], toxic)
+
+
+def learn(texts: Iterable[set[str]], toxic: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Full-batch Adam on log loss, ridge and the counterfactual penalty; an empty model without both labels.
+
+    Texts are their sets of words. weights: how many rows a toxic and another row stand for, so that samples by label keep the
+    labels' proportion.
+    """
     y = np.array(toxic, float)
     if len(y) == 0 or y.min() == y.max():
         return Model(bias=-5.0 if len(y) == 0 or y.max() == 0 else 5.0)
+    share = np.where(y == 1, *weights)
+    share /= share.sum()
     bags, pairs, swaps = Bags(), [], Bags()
-    for i, t in enumerate(texts):
-        words = words_of(t)
+    for i, words in enumerate(texts):
         bags.add(words)
         for other in swapped(words):
             pairs.append(i)
@@ -166,10 +179,11 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
     source = np.array(pairs, np.int64)
     n, k = len(bags.rows), len(features)
     w, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
-    w[-1] = np.log(y.mean() / (1 - y.mean()))
+    usual = share @ y
+    w[-1] = np.log(usual / (1 - usual))
     for step in range(1, STEPS + 1):
         z = np.bincount(at, w[of], n) + w[-1]
-        back = (sigmoid(z) - y) / n
+        back = own = (sigmoid(z) - y) * share
         if pairs:
             z2 = np.bincount(swap_at, w[swap_of], len(pairs)) + w[-1]
             gap = FAIR * 2 * (z[source] - z2) / len(pairs)
@@ -177,24 +191,40 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
             grad = np.bincount(of, back[at], k) - np.bincount(swap_of, gap[swap_at], k)
         else:
             grad = np.bincount(of, back[at], k)
-        grad = np.append(grad + RIDGE * w[:-1], (sigmoid(z) - y).mean())
+        grad = np.append(grad + RIDGE * w[:-1], own.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     used = {p: i for p, i in features.items() if abs(w[i]) > 1e-4}
     return Model({p: j for j, p in enumerate(used)}, np.array([w[i] for i in used.values()]), float(w[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", size: int = SAMPLE) -> Model:
-    """Learns from labelled rows whose crc32(id) mod 4 is not 2: all, or about `size` of them by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", size: tuple[int, int] = SAMPLE) -> Model:
+    """Learns from labelled rows whose crc32(id) mod 4 is not 2: of each label all, or about `size` of them by a hash of the id.
+
+    Executors make each text's set of words; rows that repeat id and text count once, so what comes to the driver is bounded by
+    size and the texts' different words.
+    """
+    prepare(docs.sparkSession)
     known = labels.filter(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull() & (crc_mod(F.col(doc_id), 4) != 2)).select(F.col(doc_id).alias("k"), F.col(toxic).cast("int").alias("y"))
-    n = known.count()
-    part = (F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit("labels")), F.lit(1 << 20)) / (1 << 20)) < size / max(1, n)
-    own = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t"))
-    if n > size:
-        own, known = own.filter(part), known.filter(part)  # both sides: no other text shuffles
-    rows = own.join(known.groupBy("k").agg(F.max("y").alias("y")), "k").collect()
-    rows.sort(key=lambda r: (r["k"], r["t"] or ""))
-    return train([r["t"] for r in rows], [r["y"] for r in rows])
+    known = known.groupBy("k").agg(F.max("y").alias("y"))
+    n = {r["y"] != 0: r["n"] for r in known.groupBy((F.col("y") != 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    yes, no = (min(1.0, s / max(1, n.get(label, 0))) for s, label in zip(size, (True, False), strict=True))
+    place = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit("labels")), F.lit(1 << 20)) / (1 << 20)
+    own = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("mark"))
+    if max(yes, no) < 1:
+        own = own.filter(place < max(yes, no))  # no other text shuffles
+    known = known.filter(place < F.when(F.col("y") != 0, yes).otherwise(no))
+    rows = own.join(known, "k").select("mark", F.when(F.col("y") != 0, 1).otherwise(0).alias("y"), "t").dropDuplicates(["mark"])
+    out, schema = extended(rows.select("mark", "y"), "words array<string>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [sorted(words_of(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(words, schema.field(2).type)], schema=schema)
+
+    found = rows.mapInArrow(run, out).toArrow().sort_by("mark")
+    texts = (set(w.as_py()) for w in found.column("words"))
+    return learn(texts, found.column("y").to_pylist(), (1 / yes, 1 / no))
 
 
 _KNOWN: dict[str, tuple[Model, dict[str, tuple[int, ...]]]] = {}

@@ -1,6 +1,7 @@
 """Language and toxicity classifiers: held-out accuracy on synthetic rows, edge cases and fairness."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -81,6 +82,61 @@ def test_toxicity_on_held_out(spark):
     assert all((g["score"] >= 0.3) == g["predicted"] for g in got)
 
 
+def test_toxicity_learns_rare_labels_from_samples_by_label(spark):
+    """At a hundredth of toxic rows a word of theirs is learned though as many clean rows have it, and clean rows stay clean."""
+    r = random.Random(5)
+    neutral = [a + b for a in ("than", "ther", "inge", "ouse", "lyon") for b in ("ed", "er", "in", "on", "at")]
+    rows, labels = [], []
+    for i in range(6000):
+        bad = i % 100 == 0
+        words = [r.choice(neutral) for _ in range(20)] + (["scumlike"] if bad or i % 97 == 1 else [])
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for size in ((100_000, 100_000), (40, 1500)):
+        model = toxicity.fit(docs, marks, size=size)
+        assert "=scumlike" in model.features
+        assert toxicity.score_of("thaned scumlike", model, {}) > 0.3 > toxicity.score_of("thaned thered", model, {})
+
+
+def plain_score(text, model):
+    """The sum over all features that a plain search finds in the text's marked words."""
+    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    marked = {f"^{w}$" for w in words}
+    z = model.bias
+    for p, i in model.features.items():
+        if (p[1:] in words) if p.startswith("=") else any(p in m for m in marked):
+            z += model.weights[i]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_against_a_plain_version():
+    rows, labels = toxic_rows()
+    model = toxicity.train([t for _, t in rows], [y for *_, y in labels])
+    for text in [t for _, t in rows[:150]] + [None, "", "a" * 300 + "vequ" + "b" * 300, "Muslim SCUMLIKE women"]:
+        assert abs(toxicity.score_of(text, model, {}) - plain_score(text, model)) < 1e-9
+
+
+def plain_language(text, model):
+    """The mean of the logits of all n-grams of all words, then a softmax."""
+    total, n = np.zeros(len(model.languages)), 0
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        for k in language.GRAMS:
+            for i in range(len(w) + 3 - k):
+                total += model.logits[zlib.crc32(f"<{w}>"[i : i + k].encode()) % language.BUCKETS]
+                n += 1
+    z = np.exp((total / n + model.bias) / model.temperature)
+    return model.languages[int(z.argmax())], float(z.max() / z.sum())
+
+
+def test_languages_against_a_plain_version():
+    model = language.train([t for _, t, _ in corpus()], [g for *_, g in corpus()])
+    words = language.Words(model)
+    for text in [t for _, t, _ in corpus(100, 9)] + ["x", "É" * 200, "kor vlim aouie"]:
+        got, want = language.predict(words, text), plain_language(text, model)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-4
+
+
 def test_toxicity_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -1,9 +1,10 @@
 """License scans by diagonal voting.
 
 Templates are short phrases and longer notices. Every rolling k-gram of a document's words is hashed and joined to the
-templates' positions; a hit at word p of position t votes for the diagonal p - t. Votes are added by diagonal,
-neighbouring diagonals of longer templates are merged (words put in or left out), and a span counts if enough of its
-template is covered: all of a phrase, NOTICE_COVER of a notice.
+templates' positions; a hit at word p of position t votes for the diagonal p - t. Votes are added by diagonal (combined
+before they shuffle), each diagonal of a longer template is merged with its neighbours (words put in or left out), and the
+span counts if enough of its template is covered: all of a phrase, NOTICE_COVER of a notice. Of verified spans on neighbouring
+diagonals the best covered one stays, so stray hits beside a span neither stretch nor hide it.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ NOTICES = (
 
 #: k of the rolling grams: phrases and notices of up to LONG words vote with pairs, longer ones with four words.
 SHORT_K, LONG_K, LONG = 2, 4, 8
-#: Share of a notice's grams that a span must have; diagonals this near are merged.
-NOTICE_COVER, NEAR = 0.6, 3
+#: Share of a notice's grams that a span must have; a diagonal is merged with those this near on both sides.
+NOTICE_COVER, NEAR = 0.6, 8
 #: Bits of a mask; a template has at most MASKS times as many grams.
 BITS, MASKS = 62, 3
 SENTINEL = -1
@@ -133,7 +134,7 @@ def spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: tu
     """Verified spans and a row for each document: doc_id, text_key, n_words, copies, template, label, base, first, last, cover.
 
     Every document has a row with template -1, in which copies tells how many rows have its id and text; all other rows are
-    spans of words first to last. Rows are found by id and text together, so repeated ids don't mix and repeated rows
+    spans of words first to last, in any order. Rows are found by id and text together, so repeated ids don't mix and repeated rows
     give each span once. Null texts count as empty; null ids are a value like any other.
     """
     prepare(df.sparkSession)
@@ -143,20 +144,24 @@ def spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: tu
     word = F.expr(f"CASE k WHEN 0 THEN 0 WHEN {SHORT_K} THEN pos - 1 ELSE pos - greatest(n_words, 1) END")
     votes = (
         hits.withColumn("diagonal", word - F.col("at"))
-        .repartition("doc_id", "text_key")
         .groupBy(*key, "template", "label", "base", "grams", "k", "diagonal")
         .agg(*(F.bit_or(_mask(i)).alias(f"m{i}") for i in range(MASKS)), F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"))
+        .repartition("doc_id", "text_key")  # what is left is a row for each diagonal; all that follows goes by document
     )
     by_template = W.partitionBy(*key, "template").orderBy("diagonal")
-    apart = F.when(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(by_template) > NEAR), 1).otherwise(0)
-    merged = votes.withColumn("apart", apart).withColumn("cluster", F.sum("apart").over(by_template))
-    covered = sum((F.bit_count(F.bit_or(f"m{i}")) for i in range(MASKS)), F.lit(0))
-    found = merged.groupBy(*key, "template", "label", "base", "grams", "k", "cluster").agg(
-        (covered / F.col("grams")).alias("cover"), F.min(F.col("diagonal") + F.col("lo")).alias("first"), F.max(F.col("diagonal") + F.col("hi") + F.col("k") - 1).alias("last"), F.sum("n").alias("copies")
-    )
-    short_enough = F.col("last") - F.col("first") < 2 * (F.col("grams") + F.col("k"))
-    verified = (F.col("template") < 0) | F.when(F.col("base") | (F.col("k") == SHORT_K), F.col("cover") >= 1).otherwise((F.col("cover") >= NOTICE_COVER) & short_enough)
-    return found.filter(verified).drop("cluster", "grams", "k")
+    beside = by_template.rangeBetween(-NEAR, NEAR)
+    alone = F.col("base") | (F.col("k") <= SHORT_K)
+    own = sum((F.bit_count(f"m{i}") for i in range(MASKS)), F.lit(0))
+    merged = sum((F.bit_count(F.bit_or(f"m{i}").over(beside)) for i in range(MASKS)), F.lit(0))
+    start, end = F.col("diagonal") + F.col("lo"), F.col("diagonal") + F.col("hi") + F.col("k") - 1
+    found = votes.withColumn("cover", F.when(alone, own).otherwise(merged) / F.col("grams"))
+    found = found.withColumn("first", F.when(alone, start).otherwise(F.min(start).over(beside))).withColumn("last", F.when(alone, end).otherwise(F.max(end).over(beside)))
+    verified = found.filter((F.col("template") < 0) | (F.col("cover") >= F.when(alone, 1.0).otherwise(NOTICE_COVER)))
+    apart = F.when(alone | (F.col("diagonal") - F.lag("diagonal").over(by_template) > NEAR), 1).otherwise(0)
+    clusters = verified.withColumn("apart", apart).withColumn("cluster", F.sum("apart").over(by_template))
+    best = F.max(F.struct("cover", -F.col("first"), -F.col("last")))
+    one = clusters.groupBy(*key, "template", "label", "base", "cluster").agg(best.alias("best"), F.sum("n").alias("copies"))
+    return one.select(*key, "copies", "template", "label", "base", (-F.col("best.col2")).alias("first"), (-F.col("best.col3")).alias("last"), F.col("best.cover").alias("cover"))
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: tuple = PHRASES, notices: tuple = NOTICES) -> DataFrame:

@@ -42,6 +42,38 @@ def test_scan(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def plain_labels_of(text):
+    """Labels by comparing words: a notice counts where enough of its places are found within NEAR diagonals of one."""
+    words, found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), set()
+    for i, (phrase, label) in enumerate((*licenses.PHRASES, *licenses.NOTICES)):
+        want = phrase.split()
+        k = 2 if i < len(licenses.PHRASES) or len(want) <= licenses.LONG else 4
+        hits = {(p, t) for p in range(len(words) - k + 1) for t in range(len(want) - k + 1) if words[p : p + k] == want[t : t + k]}
+        near, share = (0, 1.0) if k == 2 else (licenses.NEAR, licenses.NOTICE_COVER)
+        for d in {p - t for p, t in hits}:
+            if len({t for p, t in hits if abs(p - t - d) <= near}) >= share * (len(want) - k + 1):
+                found.add(label)
+    return ",".join(sorted(found))
+
+
+def test_labels_against_a_plain_alignment(spark):
+    r = random.Random(21)
+    texts = []
+    for _ in range(150):
+        words = []
+        for _ in range(r.randint(1, 3)):
+            notice = r.choice(licenses.NOTICES)[0].split()
+            at = r.randint(0, len(notice))
+            kept = [w for w in notice if r.random() > 0.06]
+            words += [r.choice(notice) for _ in range(r.randint(0, 6))] + r.choice([notice, kept, notice[at:], [*notice[:at], *["so"] * r.randint(1, 9), *notice[at:]]])
+        texts.append(" ".join(words))
+    notice = licenses.NOTICES[5][0]
+    texts.append(" ".join([notice.split()[0], *notice.split()[:4], "x"] * 12 + [notice]))  # stray hits beside a whole notice
+    got = {g["doc_id"]: g["labels"] for g in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain_labels_of(t) for t in texts]
+    assert "bsd" in got[len(texts) - 1]
+
+
 def test_tiff_codecs_round_trip():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 127, 128, 129, 511, 512, 513, 4200, 70000):

@@ -11,6 +11,7 @@ among the pieces of its length.
 from __future__ import annotations
 
 import bisect
+import logging
 import os
 import re
 import zlib
@@ -35,6 +36,8 @@ SIZE = 2048
 LARGE, GROUPS = 1 / 2, 40
 #: Distinct pre-tokens after which their cache is emptied, and characters above which one isn't cached.
 CACHE, LONG = 1_000_000, 48
+#: Runs of a plan up to which it is broadcast (40 bytes each); a plan has a few runs for each length.
+BROADCAST_RUNS = 500_000
 
 PRETOKENS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 LATIN_PRETOKENS = re.compile(rf" ?[{LETTER}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[{OTHER}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
@@ -149,7 +152,10 @@ def groups_of(counts: dict[int, int], n_groups: int) -> list[tuple[int, list[tup
 
 
 def configurations(sizes: list[int], need: list[int], size: int, rounds: int = 400) -> list[tuple[list[int], float]]:
-    """(how many of each size, how often) of an optimal fractional packing, by column generation on a simplex basis."""
+    """(how many of each size, how often) of an optimal fractional packing, by column generation on a simplex basis.
+
+    After `rounds` columns the packing found so far is taken, which is whole but perhaps not the best, and a warning is logged.
+    """
     k = len(sizes)
     basis = np.diag([float(size // s) for s in sizes])
     inverse = np.diag(1 / np.diag(basis))
@@ -185,6 +191,8 @@ def configurations(sizes: list[int], need: list[int], size: int, rounds: int = 4
         row = inverse[out] / step[out]
         inverse = inverse - np.outer(step, row)
         inverse[out] = row
+    else:
+        logging.getLogger(__name__).warning("column generation stopped after %d rounds", rounds)
     return [([int(round(n)) for n in basis[:, i]], float(max(0.0, x[i]))) for i in range(k) if x[i] > 1e-9]
 
 
@@ -317,7 +325,8 @@ def assign(rows: DataFrame, size: int = SIZE) -> DataFrame:
     base = by_part.select("part", "length", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     runs_df = spark.createDataFrame(runs, "length long, lo long, hi long, first long, offset long")
     ranked = rows.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "part", "nth")
-    placed = ranked.join(F.broadcast(runs_df), (ranked["length"] == runs_df["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    small = F.broadcast(runs_df) if len(runs) <= BROADCAST_RUNS else runs_df
+    placed = ranked.join(small, (ranked["length"] == runs_df["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select(*[ranked[c] for c in ranked.columns if c != "rank"], (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 

@@ -59,6 +59,26 @@ def test_run_is_the_stages(spark, small, stages):
     assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, stages[-1].select(*key).collect()))
 
 
+def test_finished_stages_are_not_run_again(spark, small, monkeypatch, tmp_path):
+    first = corpus_pipeline.run(spark, small, str(tmp_path / "run")).count()
+
+    def fails(*_):
+        raise AssertionError("run again")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, fails) for n, _ in corpus_pipeline.STAGES])
+    assert corpus_pipeline.run(spark, small, str(tmp_path / "run")).count() == first
+
+
+def test_columns_of_other_names_are_no_trouble(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    spark.read.parquet(f"{small}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for c in ("key", "row", "own", "maybe", "mark", "score", "block", "fingerprint", "piece", "__text", "rejected"):
+        docs = docs.withColumn(c, docs.doc_id)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path)).checkpoint()
+    assert docs.count() > 0
+
+
 def test_odd_documents_pass_through(spark, small, tmp_path):
     odd = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "the cat and the dog", None, None, 1), (2, "the cat and the dog", None, None, 1), (3, "x " * 50000, "en", "s", 1)]
     df = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
@@ -17,6 +17,8 @@ from quillgraph.functions import security as S
 #: What an event's hash covers, in this order.
 HASHED = ("event_id", "timestamp", "event_type", "action", "resource", "result", "previous_hash")
 GENESIS = "0"
+#: Prefixes that a predicate holds at most; more are joined.
+PREDICATE = 1000
 
 
 def matching(events: DataFrame, event_type: str | None = None, user_id: str | None = None, resource: str | None = None, start: str | None = None, end: str | None = None, result: str | None = None, severity: str | None = None) -> DataFrame:
@@ -29,10 +31,21 @@ def matching(events: DataFrame, event_type: str | None = None, user_id: str | No
     return out.filter(F.col("timestamp") <= end) if end is not None else out
 
 
+def body_of() -> Column:
+    """The event's own fields as JSON without its end; a null field is left out."""
+    own = F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in HASHED[:-1])))
+    return F.when(own == "{}", own.substr(F.lit(1), F.length(own) - 1)).otherwise(F.concat(own.substr(F.lit(1), F.length(own) - 1), F.lit(",")))
+
+
+def ended(body, previous):  # noqa: ANN001, ANN201  texts or columns
+    """What a hash covers: the fields and the hash before, which needs no escapes."""
+    return (body, '"previous_hash":"', previous, '"}')
+
+
 def hash_of(previous: Column | None = None) -> Column:
-    """SHA-256 of the event's fields as JSON; a null field is left out."""
-    fields = [F.col(c).cast("string").alias(c) for c in HASHED[:-1]]
-    return F.sha2(F.to_json(F.struct(*fields, (F.col("previous_hash") if previous is None else previous).alias("previous_hash"))), 256)
+    """SHA-256 of the event's fields and the hash before as JSON."""
+    parts = ended(body_of(), F.col("previous_hash") if previous is None else previous)
+    return F.sha2(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)), 256)
 
 
 def build_chain(events: DataFrame, log: str) -> DataFrame:
@@ -42,22 +55,24 @@ def build_chain(events: DataFrame, log: str) -> DataFrame:
     independent, so a deployment writes one for each service and day.
     """
     base = events.drop("previous_hash", "integrity_hash")
+    schema = StructType([*base.schema.fields, *StructType.fromDDL("previous_hash string, integrity_hash string").fields])
+    arrow, names = to_arrow_schema(schema), base.columns
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last = None, GENESIS
-        for pdf in frames:
+        for batch in batches:
             before, own = [], []
-            for row in pdf.to_dict("records"):
-                if row[log] != key:
-                    key, last = row[log], GENESIS
-                body = {c: str(row[c]) for c in HASHED[:-1] if row[c] is not None} | {"previous_hash": last}
+            for name, body in zip(batch.column("__log").to_pylist(), batch.column("__body").to_pylist(), strict=True):
+                if name != key:
+                    key, last = name, GENESIS
                 before.append(last)
-                last = hashlib.sha256(json.dumps(body, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+                last = hashlib.sha256("".join(ended(body, last)).encode()).hexdigest()
                 own.append(last)
-            yield pdf.assign(previous_hash=before, integrity_hash=own)
+            kept = [batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(before, pa.string()), pa.array(own, pa.string())], schema=arrow)
 
-    schema = StructType([*base.schema.fields, *StructType.fromDDL("previous_hash string, integrity_hash string").fields])
-    return base.repartition(log).sortWithinPartitions(log, "timestamp", "event_id").mapInPandas(run, schema)
+    made = base.withColumns({"__body": body_of(), "__log": F.coalesce(F.col(log).cast("string"), F.lit(""))})
+    return made.repartition("__log").sortWithinPartitions("__log", "timestamp", "event_id").mapInArrow(run, schema)
 
 
 def verify(events: DataFrame, log: str | None = None) -> DataFrame:
@@ -91,11 +106,12 @@ def without_personal(events: DataFrame, key: bytes, fields: tuple[str, ...] = ("
 
 def authorised(rows: DataFrame, roles: DataFrame, role: str, path: str = "path") -> DataFrame:
     """Rows whose path starts with one that the role may read; roles: role, prefix (a row each). Patterns ending in * cover all below."""
-    mine = roles.filter(F.col("role") == role).select(F.regexp_replace("prefix", r"\*$", "").alias("prefix"))
-    prefixes = [r[0] for r in mine.distinct().limit(1001).collect()]
-    if len(prefixes) > 1000:  # beyond what a predicate should hold: a join with the prefixes, cut at each /
-        cuts = F.transform(F.sequence(F.lit(1), F.length(path)), lambda i: F.substring(F.col(path), F.lit(1), i))
-        allowed = rows.select(path, F.explode(cuts).alias("prefix")).join(mine, "prefix", "left_semi").select(path).distinct()
+    mine = roles.filter((F.col("role") == role) & F.col("prefix").isNotNull()).select(F.regexp_replace("prefix", r"\*$", "").alias("prefix")).distinct()
+    prefixes = [r[0] for r in mine.limit(PREDICATE + 1).collect()]
+    if len(prefixes) > PREDICATE:  # a join with the prefixes instead: paths are cut at each length that a prefix has, 0 among them
+        sizes = [r[0] for r in mine.select(F.length("prefix")).distinct().collect()]
+        cuts = F.array_distinct(F.array(*(F.substring(F.col(path), 1, n) for n in sizes)))
+        allowed = rows.select(path).distinct().select(path, F.explode(cuts).alias("prefix")).join(mine, "prefix", "left_semi").select(path).distinct()
         return rows.join(allowed, path, "left_semi")
     cond = F.lit(False)
     for p in prefixes:

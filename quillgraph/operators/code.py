@@ -281,11 +281,11 @@ def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def resolve_imports(imports: DataFrame, exports: DataFrame) -> DataFrame:
-    """imports (id, file_path, module, imported) with the entity exported under that name, or by default; null where unresolved."""
+    """imports (id, file_path, module, imported) with the entity exported under that name, or by default; null where unresolved.; of several the one with the least id"""
     named = exports.select(F.col("file_path").alias("module"), F.col("name").alias("imported"), "entity_id", "is_default")
-    by_name = named.select("module", "imported", F.col("entity_id").alias("by_name"))
-    default = named.filter("is_default").select("module", F.col("entity_id").alias("by_default")).dropDuplicates(["module"])
-    out = imports.join(by_name.dropDuplicates(["module", "imported"]), ["module", "imported"], "left").join(default, "module", "left")
+    by_name = named.groupBy("module", "imported").agg(F.min("entity_id").alias("by_name"))
+    default = named.filter("is_default").groupBy("module").agg(F.min("entity_id").alias("by_default"))
+    out = imports.join(by_name, ["module", "imported"], "left").join(default, "module", "left")
     return out.withColumn("entity_id", F.coalesce("by_name", F.when(F.col("imported") == "default", F.col("by_default")))).drop("by_name", "by_default")
 
 

@@ -6,21 +6,18 @@ each vertex once. Frontiers are cut by checkpoints in the folder that the sessio
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quillgraph.session import shared_dir
+
 
 def keep(df: DataFrame) -> DataFrame:
-    """df written once to the checkpoint folder; one of our own only where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), f"quillgraph-{uuid.uuid4().hex}"))
+    """df written once to the folder that driver and executors share."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -285,12 +282,17 @@ def build_chain(items: DataFrame, order: list[Column | str], key: str = "id", pa
 
 
 def create_edges(new: DataFrame, nodes: DataFrame) -> DataFrame:
-    """New edges whose both ends exist, types in upper case, two-way ones as two rows, one row for each (src, dst, type)."""
+    """New edges whose both ends exist, types in upper case, two-way ones as two rows, one row for each (src, dst, type): the heaviest, of equal ones the last by its other columns."""
     ids = nodes.select("id").distinct()
     valid = new.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").withColumn("edge_type", F.upper("edge_type"))
     if "bidirectional" in new.columns:
         valid = valid.unionByName(valid.filter("bidirectional").select(*(F.col({"src": "dst", "dst": "src"}.get(c, c)).alias(c) for c in valid.columns)))
-    return valid.dropDuplicates(["src", "dst", "edge_type"])
+    own = ["src", "dst", "edge_type"]
+    more = [c for c in valid.columns if c not in own]
+    if not more:
+        return valid.distinct()
+    order = F.struct(*sorted(more, key=lambda c: c != "weight"))
+    return valid.groupBy(*own).agg(F.max(order).alias("__most")).select(*(F.col(c) if c in own else F.col(f"__most.{c}").alias(c) for c in valid.columns))
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

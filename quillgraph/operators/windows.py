@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -142,3 +143,14 @@ def run_trend(runs: DataFrame, order: list[str], total: str) -> DataFrame:
 def first_of(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter("__n = 1").drop("__n")
+
+
+def admitted(accepted: list[float], times: Iterable[float], limit: int, window_s: float) -> tuple[list[float], list[bool]]:
+    """The accepted times after taking each time in order, and whether each is: fewer than limit accepted in the window up to it."""
+    held, out = sorted(accepted), []
+    for t in times:
+        ok = bisect_right(held, t) - bisect_right(held, t - window_s) < limit
+        out.append(ok)
+        if ok:
+            insort(held, t)
+    return held, out

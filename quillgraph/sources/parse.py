@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -46,10 +48,19 @@ def closing(code: str, at: int) -> int:
     return len(code)
 
 
+@lru_cache(maxsize=4)
+def line_starts(code: str) -> list[int]:
+    return [m.end() for m in re.finditer("\n", code)]
+
+
+def line_of(code: str, at: int) -> int:
+    """The number of the line, from 1, that a place is in."""
+    return bisect_right(line_starts(code), at) + 1
+
+
 def entity(path: str, kind: str, name: str, code: str, start: int, end: int, **more: Any) -> dict[str, Any]:
-    line = code.count("\n", 0, start) + 1
-    last = code.count("\n", 0, end) + 1
-    base = dict.fromkeys(FIELDS) | {"id": f"{path}:{kind}:{name}:{line}", "entity_type": kind, "name": name, "line": line, "end_line": last, "column": start - (code.rfind("\n", 0, start) + 1), "line_count": last - line + 1, "content": code[start:end][:2000]}
+    line, last = line_of(code, start), line_of(code, end)
+    base = dict.fromkeys(FIELDS) | {"id": f"{path}:{kind}:{name}:{line}", "entity_type": kind, "name": name, "line": line, "end_line": last, "column": start - (code.rfind("\n", 0, start) + 1), "line_count": last - line + 1, "content": code[start:end]}
     return base | more
 
 
@@ -69,18 +80,17 @@ def parse_script(path: str, code: str) -> tuple[list[dict], list[tuple[str, str,
     """Entities of TypeScript or JavaScript, and (source id, kind, name, line) of raw relationships."""
     plain, out, raw = blanked(code), [], []
     doc = lambda at: (m[1].replace("*", " ").strip() if (m := DOC.search(code, max(0, at - 2000), at)) else None)
-    line_of = lambda at: plain.count("\n", 0, at) + 1
 
     def function(name: str, start: int, body: int, end: int, params: str | None, result: str | None, marks: str, parent: str | None) -> None:
         own = plain[body:end]
-        fid = f"{path}:Function:{name}:{line_of(start)}"
+        fid = f"{path}:Function:{name}:{line_of(plain, start)}"
         sees = "private" if "private" in marks or name.startswith(("_", "#")) else "protected" if "protected" in marks else "public"
         names = split_parameters(params)
         signature = f"{name}({', '.join(names)})" + (f": {result.strip()}" if result else "")
         out.append(entity(path, "Function", name, code, start, end, signature=signature, parameters=names, complexity=1 + len(BRANCH.findall(own)), visibility=sees, is_static="static" in marks, is_async="async" in marks, documentation=doc(start), parent_class=parent))
         for c in CALL.finditer(own):
             if c[2].split(".")[0] not in WORDS and c[2] != name:
-                raw.append((fid, "CALLS", c[2].removeprefix("this."), line_of(body + c.start())))
+                raw.append((fid, "CALLS", c[2].removeprefix("this."), line_of(plain, body + c.start())))
 
     classes = []
     for m in CLASS.finditer(plain):

@@ -28,11 +28,13 @@ def debounce(changes: DataFrame, gap: str = "500 milliseconds", delay: str = "10
     """
     rows = changes.withWatermark("ts", delay) if changes.isStreaming else changes
     key = F.col(root) if root else F.when(F.col("path").isNull(), "none").otherwise("all")  # a stream's sessions need a key that isn't constant
-    event = F.struct("ts", "change", "is_dir", "path")
+    event = F.struct("path", "ts", "change", "is_dir")
     bursts = rows.groupBy(F.session_window("ts", gap).alias("w"), key.alias("root")).agg(F.collect_list(event).alias("events"))
-    last = lambda p: F.element_at(F.array_sort(F.filter("events", lambda e: e["path"] == p)), -1)
-    by_path = bursts.select("root", "w", F.explode(F.array_distinct(F.transform("events", lambda e: e["path"]))).alias("path"), "events")
-    out = by_path.withColumn("e", last(F.col("path")))
+    # in order of path and time, a path's last change is the one before the next path
+    ordered = F.array_sort("events")
+    after = F.slice(ordered, 2, F.size("events"))
+    marked = F.zip_with(ordered, after, lambda a, b: F.struct(a.alias("e"), F.coalesce(a["path"] != b["path"], F.lit(True)).alias("last")))
+    out = bursts.select("root", "w", F.explode(marked).alias("m")).filter("m.last").select("root", "w", F.col("m.e").alias("e"), F.col("m.e.path").alias("path"))
     return out.select(F.sha2(F.concat_ws("|", "root", F.col("w.start").cast("string")), 256).alias("batch_id"), "path", F.col("e.change").alias("change"), F.col("e.is_dir").alias("is_dir"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
 
 

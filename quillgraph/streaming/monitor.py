@@ -48,7 +48,7 @@ def rules_table(spark, rules: dict[str, tuple[str, str]]) -> DataFrame:  # noqa:
 
 
 def alert_edges(values: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """A stream of evaluated rows (rule, ts, triggered) as fired and resolved rows; every rising edge fires. State is one flag a rule."""
+    """A stream of evaluated rows (rule, ts, triggered) as fired and resolved rows; every rising edge fires. Rows of one time are taken with those not triggered first. State is one flag a rule."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -56,7 +56,7 @@ def alert_edges(values: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
             return
         on = state.get[0] if state.exists else False
         rows: list[tuple[str, Any, str]] = []
-        for r in pd.concat(frames).sort_values("ts").itertuples():
+        for r in pd.concat(frames).sort_values(["ts", "triggered"]).itertuples():
             if r.triggered != on:
                 on = bool(r.triggered)
                 rows.append((key[0], r.ts, "fired" if on else "resolved"))
@@ -67,29 +67,29 @@ def alert_edges(values: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
     return values.groupBy("rule").applyInPandasWithState(step, "rule string, ts timestamp, transition string", "on boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def limiter(calls: DataFrame, limit: int, window_s: float) -> DataFrame:
-    """A stream of calls (user_id, event_id, ts) with `allowed`: fewer than limit accepted in the window before.
+def limiter(calls: DataFrame, limit: int, window_s: float, delay: str = "1 minute") -> DataFrame:
+    """A stream of calls (user_id, event_id, ts) with `allowed`: fewer than limit accepted in the window before, in event time.
 
-    State is a user's accepted times within the window, `limit` at most; it is dropped once the window has passed idle.
+    Calls may be late by `delay`: each is held against the accepted calls of its own window, so what came after it doesn't
+    count. State is the accepted times that a call yet to come can still ask for, those since the watermark less a window; it
+    goes once the watermark has passed the last of them by a window.
     """
+    from quillgraph.operators.windows import admitted
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        accepted = list(state.get[0]) if state.exists else []
         pdf = pd.concat(frames).sort_values(["ts", "event_id"])
-        out = []
-        for t in pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6:
-            accepted = [a for a in accepted if a > t - window_s]
-            out.append(len(accepted) < limit)
-            if out[-1]:
-                accepted.append(t)
+        mark = state.getCurrentWatermarkMs()
+        accepted, out = admitted(state.get[0] if state.exists else [], pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6, limit, window_s)
+        accepted = [a for a in accepted if a > mark / 1000 - window_s]
         state.update((accepted,))
-        state.setTimeoutDuration(int(window_s * 1000) + 1)
+        state.setTimeoutTimestamp(max(mark, int(max(accepted, default=0) * 1000)) + int(window_s * 1000) + 1)
         yield pdf.assign(user_id=key[0], allowed=out)[["user_id", "event_id", "ts", "allowed"]]
 
-    return calls.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, ts timestamp, allowed boolean", "accepted array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = calls.withWatermark("ts", delay)
+    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, ts timestamp, allowed boolean", "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour", by: str = "user_id") -> DataFrame:

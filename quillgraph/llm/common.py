@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quillgraph.session import ship
+from quillgraph.session import shared_dir, ship
 
 #: Rows an Arrow batch may hold, so that a batch of long documents fits a Python worker.
 BATCH_ROWS = 1000
@@ -30,17 +30,6 @@ def prepare(spark: SparkSession) -> None:
     shared_dir(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one below the warehouse, on local masters only."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not (sc.master or "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    return sc.getCheckpointDir()
-
-
 def table(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read again: later passes read it, and a lost executor doesn't recompute it."""
     prepare(df.sparkSession)

@@ -14,13 +14,19 @@ def pairs(rows: DataFrame, key: str, vector: str, threshold: float, within: str
     """a < b, similarity (cosine) for all pairs at or above the threshold; with `within`, only pairs of one value of it.
 
     Rows are dealt by hash to about n / BLOCK blocks, and every pair of blocks is one group: each row is sent to as many
-    groups as there are blocks, which is what an exact comparison of all rows costs.
+    groups as there are blocks, which is what an exact comparison of all rows costs. With `within` a value has blocks of its
+    own, as many as its rows need, and values of few rows share blocks, so nothing is sent to where it can have no partner.
     """
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK))
-    group = F.col(within).cast("string") if within else F.lit("")
-    flat = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<float>").alias("v"), group.alias("g")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    sent = flat.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("k", "v", "g", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
+    flat = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<float>").alias("v"), (F.col(within).cast("string") if within else F.lit("")).alias("g"))
+    flat = flat.filter("g IS NOT NULL")
+    sizes = flat.groupBy("g").agg(F.count("*").alias("n"))
+    # groups of at most a block go to shared bins; a larger one, of which there are n / BLOCK at most, is its own place
+    large = sizes.filter(F.col("n") > BLOCK).select("g", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    bins = max(1, -(-rows.count() // BLOCK))
+    bin_ = F.concat(F.lit("bin "), F.pmod(F.xxhash64("g"), F.lit(bins)).cast("string"))
+    placed = flat.join(F.broadcast(large), "g", "left").withColumn("place", F.when(F.col("blocks").isNotNull(), F.concat(F.lit("own "), "g")).otherwise(bin_))
+    placed = placed.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("k"), "blocks").cast("int"))
+    sent = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", "v", "g", "place", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
@@ -43,4 +49,4 @@ def pairs(rows: DataFrame, key: str, vector: str, threshold: float, within: str
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
 
     kind = dict(flat.dtypes)["k"]
-    return sent.groupBy("x", "y").applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
+    return sent.groupBy("place", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}, similarity double")

@@ -35,8 +35,16 @@ def members(entities: DataFrame) -> DataFrame:
     return of(entities, "Function").filter("parent_class IS NOT NULL")
 
 
+#: Facts of entity frames that detect works on at the moment, made once for all of its rules.
+_FACTS: dict[int, DataFrame] = {}
+
+
 def class_facts(entities: DataFrame) -> DataFrame:
     """A row for each class with what rules ask of its members."""
+    return _FACTS.get(id(entities)) or facts_of_classes(entities)
+
+
+def facts_of_classes(entities: DataFrame) -> DataFrame:
     low = F.lower("name")
     # each aggregate is a conditional maximum or count, so one shuffle of the members serves all rules
     facts = entities.filter("parent_class IS NOT NULL").groupBy("file_path", F.col("parent_class").alias("name")).agg(
@@ -138,8 +146,16 @@ def register(name: str, kind: str, rule: Rule) -> None:
 
 
 def detect(entities: DataFrame, rels: DataFrame, kinds: tuple[str, ...] | None = None, min_confidence: float = 0.5) -> DataFrame:
-    """Findings of all rules, or those of some kinds. Keep entities and rels in a table first; every rule reads them."""
+    """Findings of all rules, or those of some kinds. Keep entities and rels in a table first; every rule reads them. What rules ask of classes is worked out once."""
     chosen = [rule for kind, rule in RULES.values() if not kinds or kind in kinds]
+    _FACTS[id(entities)] = graph.keep(facts_of_classes(entities))
+    try:
+        return findings_of(chosen, entities, rels, min_confidence)
+    finally:
+        del _FACTS[id(entities)]
+
+
+def findings_of(chosen: list[Rule], entities: DataFrame, rels: DataFrame, min_confidence: float) -> DataFrame:
     return reduce(DataFrame.unionByName, [rule(entities, rels) for rule in chosen]).filter(F.col("confidence") >= min_confidence)
 
 

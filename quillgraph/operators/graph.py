@@ -77,12 +77,18 @@ def overridden(edges: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def wedges(edges: DataFrame, nodes: DataFrame, types: tuple[str, ...] = ("fact", "event"), limit: int = 20) -> DataFrame:
-    """a - b - c with a < c, all of the given kinds, the first by ids."""
+    """a - b - c with a < c, all of the given kinds, the first by ids.
+
+    Of b's neighbours only the first limit + 1 can be in these: with more, the least of them as a gives enough rows alone. So
+    a hub's pairs are bounded by the limit, not by its degree.
+    """
     kinds = nodes.filter(F.col("node_type").isin(*types)).select("id", "node_type", "content")
     ends = undirected(edges.select("src", "dst")).distinct().join(kinds.select(F.col("id").alias("src")), "src", "left_semi").join(kinds.select(F.col("id").alias("dst")), "dst", "left_semi")
-    one = ends.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    two = ends.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    return one.join(two, "b").filter("a < c AND a <> b AND c <> b").orderBy("a", "b", "c").limit(limit).select("a", "b", "c")
+    place = F.row_number().over(W.partitionBy("dst").orderBy("src"))
+    first = ends.filter("src <> dst").withColumn("place", place).filter(F.col("place") <= limit + 1)
+    one = first.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    two = first.select(F.col("dst").alias("b"), F.col("src").alias("c"))
+    return one.join(two, "b").filter("a < c").orderBy("a", "b", "c").limit(limit).select("a", "b", "c")
 
 
 def contradictions(edges: DataFrame, facts: DataFrame, min_confidence: float = 0.5) -> DataFrame:
@@ -111,18 +117,23 @@ def contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
 
 
 def distances(edges: DataFrame, starts: DataFrame, max_depth: int = 10, directed: bool = False, with_parent: bool = False) -> DataFrame:
-    """id, depth (and parent) of every vertex within max_depth of a start (a frame of id); each vertex is expanded once."""
+    """id, depth (and parent) of every vertex within max_depth of a start (a frame of id); each vertex is expanded once.
+
+    What a round found is held against all earlier rounds; without directions against the last two, as a neighbour of a vertex
+    is at most one round older.
+    """
     links = keep((edges if directed else undirected(edges)).select("src", "dst").distinct())
     parent = F.lit(None).cast(links.schema["src"].dataType)
     front = keep(starts.select("id").distinct().withColumn("depth", F.lit(0)).withColumn("parent", parent))
-    rounds = [front]
+    rounds, recent = [front], [front]
     for depth in range(1, max_depth + 1):
         found = front.select(F.col("id").alias("src")).join(links, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        seen = reduce(DataFrame.unionByName, rounds).select("id")
+        seen = reduce(DataFrame.unionByName, rounds if directed else recent).select("id")
         front = keep(found.join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"))
         if front.isEmpty():
             break
         rounds.append(front)
+        recent = [*recent, front][-2:]
         if len(rounds) > 8:  # so that plans stay short
             rounds = [keep(reduce(DataFrame.unionByName, rounds))]
     seen = reduce(DataFrame.unionByName, rounds)

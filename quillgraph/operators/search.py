@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from quillgraph.functions import text as T
@@ -67,13 +73,26 @@ def term_score(text: Column, query: str) -> Column:
 
 
 def keywords(docs: DataFrame, key: str = "doc_id", text: str = "text", top: int = 10, by: str = "") -> DataFrame:
-    """Per document its most frequent words of more than 3 characters with count and rank; ties by word.
+    """Per row its most frequent words of more than 3 characters with count and rank; ties by word.
 
-    Texts shuffle once, by key, which is less than their words do; counts and ranks follow where they are.
+    A row's words are counted within the row, in Arrow batches, so nothing shuffles.
     """
-    each = docs.select(key, text).repartition(key).select(key, F.explode(T.words(F.col(text), by=by)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), "word"))
-    return each.withColumn("rank", rank).filter(F.col("rank") <= top)
+    kind = StructType.fromDDL("words array<struct<word: string, n: bigint, rank: int>>")
+    schema = StructType([docs.schema[key], *kind.fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                found = []
+                for words in part.column(1).to_pylist():
+                    best = heapq.nsmallest(top, ((-n, w) for w, n in Counter(words or ()).items()))
+                    found.append([{"word": w, "n": -n, "rank": i} for i, (n, w) in enumerate(best, 1)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, arrow.field(1).type)], schema=arrow)
+
+    each = docs.select(key, T.words(F.col(text), by=by).alias("__words")).mapInArrow(run, schema)
+    return each.select(key, F.inline("words"))
 
 
 def hybrid_rank(nodes: DataFrame, now: Column, limit: int | None = None) -> DataFrame:

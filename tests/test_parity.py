@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillgraph.plans import basic, codes, graphs, states  # noqa: F401
+from quillgraph.plans import basic, codes, graphs, more, states  # noqa: F401
 from quillgraph.plans.registry import QUERIES, SQL
 
 

@@ -53,13 +53,17 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = WORDS, keep: tu
 def links(classes: DataFrame, key: str = "fingerprint") -> DataFrame:
     """a, b: links between distinct fingerprints within RADIUS, enough to connect what is connected.
 
-    A variant's fingerprints are combined before they shuffle, and 65 at most, so they are taken as one list; each is linked
-    to the least of them.
+    A variant's fingerprints differ from it in one bit or none, so they are one number, a bit for each, combined before they
+    shuffle; each is linked to the least of them.
     """
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))
-    variants = classes.select(F.col(key).alias("b"), F.explode(flips).alias("flip")).select("b", F.col("b").bitwiseXOR(F.col("flip")).alias("variant"))
-    met = variants.groupBy("variant").agg(F.collect_set("b").alias("all")).filter(F.size("all") > 1)
-    near = met.select(F.array_min("all").alias("a"), F.explode("all").alias("b"))
+    bits = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
+    flips = F.array(*(F.lit(b).cast("long") for b in (0, *bits)))
+    variants = classes.select(F.col(key).alias("b"), F.explode(flips).alias("flip")).select(F.col("b").bitwiseXOR(F.col("flip")).alias("variant"), "flip")
+    met = variants.groupBy("variant").agg(F.bit_or("flip").alias("flips"), F.max(F.col("flip") == 0).alias("itself"))
+    met = met.filter(F.bit_count("flips") + F.col("itself").cast("int") > 1)
+    v, set_ = F.col("variant"), F.col("flips")
+    members = F.array(F.when(F.col("itself"), v), *(F.when(set_.bitwiseAND(F.lit(b)) != 0, v.bitwiseXOR(F.lit(b))) for b in bits))
+    near = met.select(F.filter(members, lambda x: x.isNotNull()).alias("all")).select(F.array_min("all").alias("a"), F.explode("all").alias("b"))
     near = near.filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
     return near.distinct()
 

@@ -179,3 +179,30 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: tup
         F.max(F.when(~hit, F.col("copies"))).alias("copies"),
     )
     return docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("text_key", "copies", "copy")
+
+
+def _templates_sql(phrases: tuple, notices: tuple) -> str:
+    rows = []
+    for i, (text, label) in enumerate((*phrases, *notices)):
+        k = SHORT_K if i < len(phrases) or len(text.split()) <= LONG else LONG_K
+        rows.append(f"({i}, '{label}', {i < len(phrases)}, {k}, '{text}')")
+    return f"(VALUES {', '.join(rows)}) AS v(i, label, base, k, phrase)"
+
+
+#: DuckDB: grams compared as words, and neighbouring diagonals by a self-join.
+SQL = rf"""
+WITH t AS (SELECT i, label, base, k, string_split(phrase, ' ') AS w FROM {_templates_sql(PHRASES, NOTICES)}),
+tg AS (SELECT i, label, base, k, len(w) - k + 1 AS grams, place, array_to_string(w[place + 1:place + k], ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS place FROM t)),
+d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT n, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d),
+ahead AS (SELECT n, p, word AS a, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c, lead(word, 3) OVER o AS e FROM words WINDOW o AS (PARTITION BY n ORDER BY p)),
+grams AS (SELECT n, p, 2 AS k, a || ' ' || b AS g FROM ahead WHERE b IS NOT NULL UNION ALL SELECT n, p, 4, a || ' ' || b || ' ' || c || ' ' || e FROM ahead WHERE e IS NOT NULL),
+hits AS (SELECT n, i, label, base, tg.k, grams, p - place AS diagonal, place FROM grams JOIN tg ON tg.k = grams.k AND tg.g = grams.g),
+alone AS (SELECT n, label, base, diagonal, count(DISTINCT place) / grams AS cover FROM hits WHERE base OR k = {SHORT_K} GROUP BY n, i, label, base, diagonal, grams),
+places AS (SELECT DISTINCT n, i, diagonal FROM hits WHERE NOT base AND k > {SHORT_K}),
+merged AS (SELECT p.n, h.label, h.base, p.diagonal, count(DISTINCT h.place) / h.grams AS cover FROM places p JOIN hits h ON h.n = p.n AND h.i = p.i AND abs(h.diagonal - p.diagonal) <= {NEAR} GROUP BY p.n, p.i, h.label, h.base, p.diagonal, h.grams),
+verified AS (SELECT * FROM alone WHERE cover >= 1 UNION ALL SELECT * FROM merged WHERE cover >= {NOTICE_COVER}),
+found AS (SELECT n, count(*) FILTER (base) AS n_base, min(diagonal) FILTER (base) AS first_word, max(diagonal) FILTER (base) AS last_word,
+  array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(cover) AS score FROM verified GROUP BY n)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN found USING (n)
+"""

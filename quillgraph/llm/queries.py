@@ -59,4 +59,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_licenses, op4_toxicity, op5_urls, op6_tiff, op7_language, op8_html, op9_exact, op10_simhash, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op5_urls": urls.SQL, "op9_exact": exact.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.SQL, "op5_urls": urls.SQL, "op9_exact": exact.SQL}

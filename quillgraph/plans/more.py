@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import security
 from quillgraph.functions import text as T
-from quillgraph.operators import audit, code, graph, writes
+from quillgraph.operators import audit, code, graph, index, writes
 from quillgraph.plans import codes, tools
-from quillgraph.plans.basic import r6
+from quillgraph.plans.basic import COS, r6
 from quillgraph.plans.codes import DEBT
 from quillgraph.plans.domain import Tables
 from quillgraph.plans.registry import query
@@ -237,6 +237,24 @@ def _(t: Tables) -> DataFrame:
         code.RULES.pop("shallow")
 
 
+# ---------------------------------------------------------------- vectors
+
+
+@query("t05_index_search")
+def _(t: Tables) -> DataFrame:
+    """Queries are all rows whose id is divisible by 50."""
+    centres = index.fit(t.vectors)
+    built = index.build(t.vectors, centres)
+    return index.search(built, centres, t.vectors.filter("id % 50 = 0"), 10, index.tune(built, centres, t.vectors)).select("query", "key", "rank", r6("similarity").alias("similarity"))
+
+
+@query("t05_exact_search", f"""SELECT query, key, rank, similarity FROM (SELECT q.id AS query, v.id AS key, round({COS}, 6) AS similarity, CAST(row_number() OVER (PARTITION BY q.id ORDER BY round({COS}, 9) DESC, v.id) AS INT) AS rank
+    FROM @vectors v JOIN @vectors q ON v.id <> q.id WHERE q.id % 50 = 0) WHERE rank <= 10""")
+def _(t: Tables) -> DataFrame:
+    centres = index.fit(t.vectors)
+    return index.search(index.build(t.vectors, centres), centres, t.vectors.filter("id % 50 = 0"), 10, len(centres)).select("query", "key", "rank", r6("similarity").alias("similarity"))
+
+
 # ---------------------------------------------------------------- tools
 
 

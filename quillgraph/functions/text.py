@@ -68,10 +68,14 @@ def headings(text: Column) -> Column:
     return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^(#+)\s+(.+)$", 2).alias("text"), F.length(F.regexp_extract(x, r"^(#+)", 1)).alias("level")))
 
 
+# Marks of markdown and what stays of them.
+MARKDOWN = ((r"#+\s*", ""), (r"\*\*(.*?)\*\*", "$1"), (r"\*(.*?)\*", "$1"), (r"`(.*?)`", "$1"), (r"\[(.*?)\]\(.*?\)", "$1"), (r"\n+", " "))
+
+
 def sentences(text: Column, longer_than: int = 10) -> Column:
     """Sentences of the text without markdown, trimmed, of more than so many characters."""
     plain = text
-    for pattern, by in ((r"#+\s*", ""), (r"\*\*(.*?)\*\*", "$1"), (r"\*(.*?)\*", "$1"), (r"`(.*?)`", "$1"), (r"\[(.*?)\]\(.*?\)", "$1"), (r"\n+", " ")):
+    for pattern, by in MARKDOWN:
         plain = F.regexp_replace(plain, pattern, by)
     return F.filter(F.transform(F.split(plain, "[.!?]+"), lambda x: F.trim(x)), lambda s: F.length(s) > longer_than)
 
@@ -121,6 +125,7 @@ def language(path: Column) -> Column:
 
 def node_type(text: Column, given: Column | None = None) -> Column:
     """The kind of node a text is, by ordered rules; a given kind comes first."""
+    # The words and patterns that tell of each kind.
     kind = (
         F.when(text.endswith("?"), "question")
         .when(text.contains("because") | text.contains("therefore"), "insight")

@@ -280,9 +280,25 @@ def impact_level(dependents: Column) -> Column:
 
 
 def chain(edges: DataFrame, start, edge_type: str = "NEXT", max_length: int = 1000) -> DataFrame:
-    """id, position along the edges of one type from start to the end of the chain."""
+    """id, position along the edges of one type from start to the end of the chain, or to max_length.
+
+    Where every vertex has one successor at most, what is known doubles each round by jumps that double too, so a chain takes as
+    many rounds as its length has binary digits; where some have more, positions are distances.
+    """
     one = edges.sparkSession.range(1).select(F.lit(start).cast(edges.schema["src"].dataType).alias("id"))
-    return distances(of_type(edges, edge_type), one, max_length, directed=True).withColumnRenamed("depth", "position")
+    links = keep(of_type(edges, edge_type).select("src", "dst").distinct())
+    if not links.groupBy("src").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return distances(links, one, max_length, directed=True).withColumnRenamed("depth", "position")
+    known, jump, size, n = keep(one.withColumn("position", F.lit(0))), links, 1, 1
+    while size <= max_length:
+        further = known.join(jump.withColumnRenamed("src", "id"), "id").select(F.col("dst").alias("id"), (F.col("position") + size).alias("position")).filter(F.col("position") <= max_length)
+        known = keep(known.unionByName(further).groupBy("id").agg(F.min("position").alias("position")))
+        before, n = n, known.count()
+        if n == before:  # the end, or a circle closed
+            break
+        second = jump.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
+        jump, size = keep(jump.join(second, "dst").select("src", F.col("end").alias("dst"))), 2 * size
+    return known
 
 
 def build_chain(items: DataFrame, order: list[Column | str], key: str = "id", partition: list[str] | None = None) -> DataFrame:

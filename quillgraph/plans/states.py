@@ -322,6 +322,5 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     rows = t.raw("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("name"), "value")
     values = monitor.windows(rows, "1 hour").select(F.floor(F.unix_timestamp("w.start") / 3600).alias("w"), "name", "n", F.col("high").alias("value"))
-    names = [r[0] for r in values.select("name").distinct().collect()]
-    rules = monitor.rules_table(t.spark, {n: (f"{n} > 100", "high") for n in names})
+    rules = values.select("name").distinct().select(F.col("name").alias("rule"), F.col("name").alias("metric"), F.lit(">").alias("op"), F.lit(100.0).alias("bound"), F.lit("high").alias("severity"))
     return monitor.evaluate(values, rules).select("w", "name", "n", r6("value").alias("high"), "triggered")

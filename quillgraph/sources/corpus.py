@@ -83,13 +83,13 @@ def new_version(docs: DataFrame, root: str, version: int, gone: DataFrame | None
 
 
 def read_sources(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("ts", "tsx", "js", "jsx", "py"), ignore: tuple[str, ...] = ("node_modules", "dist", ".git"), max_bytes: int = 5 * 1024 * 1024) -> DataFrame:
-    """path, content, size, modified, language of source files, each path once; ignored folders and too large files are left out by metadata."""
+    """path, content, size, modified, language of source files; a scan names each path once; ignored folders and too large files are left out by metadata."""
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{" + ",".join(extensions) + "}")
     rows = raw.filter(F.col("_metadata.file_size") <= max_bytes).select(relative(root).alias("path"), F.col("value").alias("content"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))
     skip = F.lit(False)
     for folder in ignore:
         skip = skip | F.contains(F.concat(F.lit("/"), "path"), F.lit(f"/{folder}/"))
-    return rows.filter(~skip).withColumn("language", T.language(F.col("path"))).dropDuplicates(["path"])
+    return rows.filter(~skip).withColumn("language", T.language(F.col("path")))
 
 
 def batch_plan(files: DataFrame) -> DataFrame:

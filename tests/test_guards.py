@@ -141,3 +141,12 @@ def test_debt_and_analysis_use_all_sources(spark):
     got = {(r["phase"], r["item"]): r["value"] for r in tools.run(s, "analyze_codebase").collect()}
     assert got["relations", "IMPORTS"] == 2 and got["patterns", "Circular Dependency"] >= 1 and got["entities", "Class"] == 1 and got["metrics", "functions"] >= 25
     assert {p for p, _ in got} >= {"entities", "relations", "patterns", "metrics", "debt"}
+
+
+def test_chains_double_and_branches_fall_back(spark):
+    rows = [(i, i + 1, "NEXT") for i in range(300)] + [(500, 501, "NEXT"), (501, 502, "NEXT"), (502, 500, "NEXT")]
+    edges = spark.createDataFrame(rows, "src long, dst long, edge_type string")
+    at = lambda e, start, n=1000: {r["id"]: r["position"] for r in graph.chain(e, start, max_length=n).collect()}
+    assert at(edges, 0) == {i: i for i in range(301)} and at(edges, 290, 5) == {290 + i: i for i in range(6)}
+    assert at(edges, 501) == {501: 0, 502: 1, 500: 2} and at(edges, 9999) == {9999: 0} and at(edges, 0, 1) == {0: 0, 1: 1}
+    assert at(edges.unionByName(spark.createDataFrame([(298, 7000, "NEXT")], edges.schema)), 297) == {297: 0, 298: 1, 299: 2, 7000: 2, 300: 3}

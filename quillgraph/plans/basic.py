@@ -172,9 +172,9 @@ def _(t: Tables) -> DataFrame:
     return t.docs.select("id", T.snippet(F.col("content"), "license").alias("snippet"))
 
 
-@query("f02_title", "SELECT id, CASE WHEN trim(substr(string_split(content, chr(10))[1], 1, 50)) = '' THEN 'Untitled' ELSE substr(trim(string_split(content, chr(10))[1]), 1, 50) END AS title FROM @docs WHERE NOT regexp_matches(content, '(^|\n)\\s*# ')")
+@query("f02_title", r"SELECT id, coalesce(nullif(trim(regexp_extract(content, '(?m)^[^\S\n]*# [^\S\n]*(\S.*)$', 1)), ''), nullif(substr(trim(string_split(content, chr(10))[1]), 1, 50), ''), 'Untitled') AS title FROM @docs")
 def _(t: Tables) -> DataFrame:
-    return t.docs.filter(~F.col("content").rlike(r"(?m)^\s*# ")).select("id", T.title(F.col("content")).alias("title"))
+    return t.docs.select("id", T.title(F.col("content")).alias("title"))
 
 
 @query("f03_summary", """WITH s AS (SELECT id, array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#'))[1:3], ' ') AS j FROM @docs)
@@ -183,21 +183,28 @@ def _(t: Tables) -> DataFrame:
     return t.docs.select("id", T.summary(F.col("content")).alias("summary"))
 
 
-@query("f04_keywords", r"""WITH w AS (SELECT id, unnest(regexp_split_to_array(regexp_replace(lower(content), '[^A-Za-z0-9_\s]', '', 'g'), '\s+')) AS word FROM @docs WHERE lang = 'en'), c AS (SELECT id, word, count(*) AS n FROM w WHERE length(word) > 3 GROUP BY id, word)
+@query("f04_keywords", r"""WITH w AS (SELECT id, unnest(regexp_split_to_array(regexp_replace(lower(content), '[^A-Za-z0-9_\s]', ' ', 'g'), '\s+')) AS word FROM @docs), c AS (SELECT id, word, count(*) AS n FROM w WHERE length(word) > 3 GROUP BY id, word)
     SELECT id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, word) AS k FROM c) WHERE k <= 10""")
 def _(t: Tables) -> DataFrame:
-    return search.keywords(t.docs.filter("lang = 'en'"), "id", "content").select("id", "word", "n")
+    return search.keywords(t.docs, "id", "content", by=" ").select("id", "word", "n")
+
+
+HEADINGS = r"(SELECT id, path, regexp_extract(x, '^(#+)\s+(.+)$', 2) AS text, CAST(length(regexp_extract(x, '^(#+)', 1)) AS INT) AS level FROM (SELECT id, path, trim(unnest(string_split(content, chr(10)))) AS x FROM @docs) WHERE regexp_matches(x, '^#+\s+.+$'))"
 
 
-@query("f05a_headings", "SELECT id, concat('Part ', id) AS text, CAST(1 + id % 3 AS INT) AS level FROM @docs")
+@query("f05a_headings", f"SELECT id, text, level FROM {HEADINGS}")
 def _(t: Tables) -> DataFrame:
-    text = F.concat(F.repeat(F.lit("#"), (1 + F.col("id") % 3).cast("int")), F.lit(" Part "), "id", F.lit("\nplain"))
-    return t.docs.select("id", F.inline(T.headings(text)))
+    return t.docs.select("id", F.inline(T.headings(F.col("content"))))
 
 
-@query("f05b_sentences", r"SELECT id, len(list_filter(list_transform(regexp_split_to_array(regexp_replace(content, '\n+', ' ', 'g'), '[.!?]+'), lambda x: trim(x)), lambda x: length(x) > 10)) AS n FROM @docs WHERE NOT regexp_matches(content, '[#*`\[\]]')")
+PLAIN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '#+\s*', '', 'g'), '\*\*(.*?)\*\*', '\1', 'g'), '\*(.*?)\*', '\1', 'g'), '`(.*?)`', '\1', 'g'), '\[(.*?)\]\(.*?\)', '\1', 'g'), '\n+', ' ', 'g')"
+SENTENCES = f"list_filter(list_transform(regexp_split_to_array({PLAIN}, '[.!?]+'), lambda x: trim(x)), lambda x: length(x) > 10)"
+
+
+@query("f05b_sentences", f"SELECT id, len({SENTENCES}) AS n, sha256(array_to_string({SENTENCES}, '|')) AS hash FROM @docs WHERE content IS NOT NULL")
 def _(t: Tables) -> DataFrame:
-    return t.docs.filter(~F.col("content").rlike(r"[#*`\[\]]")).select("id", F.size(T.sentences(F.col("content"))).cast("long").alias("n"))
+    found = T.sentences(F.col("content"))
+    return t.docs.filter("content IS NOT NULL").select("id", F.size(found).cast("long").alias("n"), F.sha2(F.array_join(found, "|"), 256).alias("hash"))
 
 
 @query("f05c_factual", r"SELECT id, regexp_matches(lower(content), '(^|[^a-z0-9_])(is|are|was|were|has|have|can|will|must|should)($|[^a-z0-9_])') AS factual FROM @nodes")
@@ -205,16 +212,21 @@ def _(t: Tables) -> DataFrame:
     return t.nodes.select("id", T.is_factual(F.col("content")).alias("factual"))
 
 
-@query("f05d_events", "SELECT id, '2024-05-01' AS day FROM @docs WHERE id % 2 = 0")
+@query("f05d_events", "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderstatus IN ('O', 'F')")
 def _(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("2024/05/01 it "), F.when(F.col("id") % 2 == 0, "started").otherwise("rested"))
-    return t.docs.select("id", F.explode(T.events(text)).alias("e")).select("id", F.col("e.date").cast("string").alias("day"))
+    verb = F.when(F.col("o_orderstatus") == "O", "started").when(F.col("o_orderstatus") == "F", "Ended").otherwise("rested")
+    text = F.concat(F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit(" order of "), "o_totalprice", F.lit(" "), verb, F.lit("\nno date started"))
+    return t.raw("orders").select(F.col("o_orderkey").alias("id"), F.explode(T.events(text)).alias("e")).select("id", F.col("e.date").cast("string").alias("day"))
+
+
+ENTITIES = {"person": r"[A-Z][a-z]+ [A-Z][a-z]+", "organization": r"[A-Z][a-z]+ [A-Z][a-z]+ [A-Z][a-z]+", "acronym": r"[A-Z][A-Z][A-Z]+", "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "version": r"[0-9]+\.[0-9]+\.[0-9]+"}
 
 
-@query("f05e_entities", r"SELECT id, len(regexp_extract_all(content, '\b[A-Z][A-Z][A-Z]+\b')) AS acronyms, len(regexp_extract_all(content, '\b[0-9]+\.[0-9]+\.[0-9]+\b')) AS versions FROM @docs WHERE NOT regexp_matches(content, '[^\x00-\x7F]')")
+@query("f05e_entities", "SELECT id, " + ", ".join(rf"len(regexp_extract_all(content, '\b{p}\b')) AS {k}" for k, p in ENTITIES.items()) + " FROM @docs WHERE content IS NOT NULL")
 def _(t: Tables) -> DataFrame:
-    kinds = lambda k: F.size(F.filter("e", lambda x: x["type"] == k)).cast("long")
-    return t.docs.filter(~F.col("content").rlike(r"[^\x00-\x7F]")).select("id", T.entities(F.col("content")).alias("e")).select("id", kinds("acronym").alias("acronyms"), kinds("version").alias("versions"))
+    found = t.docs.filter("content IS NOT NULL").select("id", T.entities(F.col("content")).alias("e"))
+    kinds = lambda k: F.size(F.filter("e", lambda x: x["type"] == k)).cast("long").alias(k)
+    return found.select("id", *map(kinds, ENTITIES))
 
 
 @query("f06_normal_signature", "SELECT id, regexp_replace(lower(signature), '[^a-z0-9]', '', 'g') AS normal FROM @functions")
@@ -287,9 +299,9 @@ def _(t: Tables) -> DataFrame:
     return t.functions.select("id", T.duration_seconds(F.concat("id", F.when(n == 0, "m").when(n == 1, "h").otherwise("d"))).alias("seconds"))
 
 
-@query("f24_byte_sizes", "SELECT id, CASE WHEN size >= 1024 THEN format('{:.1f} KB', size / 1024e0) ELSE concat(size, ' B') END AS label FROM @docs WHERE size * 10 % 1024 <> 512 AND size < 1048576")
+@query("f24_byte_sizes", "SELECT id, CASE WHEN size >= 1048576 THEN format('{:.1f} MB', floor(size * 10 / 1048576e0 + 0.5e0) / 10) WHEN size >= 1024 THEN format('{:.1f} KB', floor(size * 10 / 1024e0 + 0.5e0) / 10) ELSE concat(size, ' B') END AS label FROM (SELECT id, size * (1 + id % 2 * 999) AS size FROM @docs)")
 def _(t: Tables) -> DataFrame:
-    return t.docs.filter("size * 10 % 1024 <> 512 AND size < 1048576").select("id", T.byte_size(F.col("size")).alias("label"))
+    return t.docs.select("id", T.byte_size(F.col("size") * (1 + F.col("id") % 2 * 999)).alias("label"))
 
 
 @query("f26_result_confidence", "SELECT id, round(least(1e0, 0.5e0 + CASE WHEN importance > 0.5 THEN 0.3e0 ELSE 0e0 END + CASE WHEN access_count > 25 THEN 0.15e0 ELSE 0e0 END + CASE WHEN confidence > 0.5 THEN 0.05e0 ELSE 0e0 END), 6) AS score FROM @nodes")
@@ -535,9 +547,9 @@ def _(t: Tables) -> DataFrame:
     return A.counts(t.issues, "status").orderBy(F.desc("n"))
 
 
-@query("a32_preview", r"SELECT path, length(content) AS size, 0 AS headings FROM @docs WHERE NOT contains(content, '#')")
+@query("a32_preview", f"SELECT d.path, length(content) AS size, CAST(coalesce(h.n, 0) AS INT) AS headings, CAST(len({SENTENCES}) AS INT) AS sentences FROM @docs d LEFT JOIN (SELECT path, count(*) AS n FROM {HEADINGS} GROUP BY path) h ON h.path = d.path WHERE content IS NOT NULL")
 def _(t: Tables) -> DataFrame:
-    return A.preview(t.docs.filter(~F.contains("content", F.lit("#")))).select("path", F.col("size").cast("long").alias("size"), "headings")
+    return A.preview(t.docs.filter("content IS NOT NULL")).select("path", F.col("size").cast("long").alias("size"), "headings", "sentences")
 
 
 @query("a33_grouped", "SELECT category, count(*) AS n, min(path) AS first_path FROM @docs GROUP BY category")

@@ -144,12 +144,11 @@ def _(t: Tables) -> DataFrame:
     return found.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), F.col("length").cast("long").alias("length"))
 
 
-@query("j16_cycle_edges", CYCLES + ", c AS (SELECT walk FROM w JOIN x ON x.src = w.at AND x.dst = w.s) SELECT DISTINCT x.src, x.dst FROM x JOIN c ON list_contains(c.walk, x.src) AND list_contains(c.walk, x.dst)")
+@query("j16_cycle_edges", """WITH RECURSIVE i AS (SELECT DISTINCT src, dst FROM @edges WHERE edge_type = 'IMPORTS' AND src <> dst), r AS (SELECT src, dst FROM i UNION SELECT r.src, i.dst FROM r JOIN i ON r.dst = i.src)
+    SELECT i.src, i.dst FROM i JOIN r ON r.src = i.dst AND r.dst = i.src""")
 def _(t: Tables) -> DataFrame:
-    imports = t.edges.filter("edge_type = 'IMPORTS' AND weight >= 0.8 AND src <> dst").select("src", "dst").distinct()
-    rings = graph.cycles(imports, 2, 4, None).withColumn("ring", F.array_join(F.col("cycle").cast("array<string>"), ">"))
-    member = lambda end: rings.select("ring", F.explode("cycle").alias(end))
-    return imports.join(member("src"), "src").join(member("dst"), ["dst", "ring"]).select("src", "dst").distinct()
+    """Imports of every weight that lie on a cycle of any length."""
+    return graph.cycle_edges(graph.of_type(t.edges, "IMPORTS").filter("src <> dst")).select("src", "dst")
 
 
 @query("j15_all_import_cycles")
@@ -159,12 +158,6 @@ def _(t: Tables) -> DataFrame:
     return found.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), F.col("length").cast("long").alias("length"))
 
 
-@query("j16_all_cycle_edges")
-def _(t: Tables) -> DataFrame:
-    """Imports of every weight that lie on a cycle of any length."""
-    return graph.cycle_edges(graph.of_type(t.edges, "IMPORTS"))
-
-
 @query("j17_impact", """WITH RECURSIVE x AS (SELECT DISTINCT src, dst FROM @edges WHERE edge_type = 'CALLS'), r AS (SELECT CAST(10 AS BIGINT) AS id, 0 AS depth UNION SELECT x.src, r.depth + 1 FROM r JOIN x ON x.dst = r.id WHERE r.depth < 3), d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
     SELECT direct, indirect, dependencies, CASE WHEN direct + indirect > 20 THEN 'high' WHEN direct + indirect > 5 THEN 'medium' ELSE 'low' END AS risk FROM (SELECT count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS indirect FROM d), (SELECT count(DISTINCT dst) AS dependencies FROM x WHERE src = 10 AND dst <> 10)""")
 def _(t: Tables) -> DataFrame:

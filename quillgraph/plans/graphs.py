@@ -144,11 +144,11 @@ def _(t: Tables) -> DataFrame:
     return found.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), F.col("length").cast("long").alias("length"))
 
 
-@query("j16_cycle_edges", """WITH RECURSIVE i AS (SELECT DISTINCT src, dst FROM @edges WHERE edge_type = 'IMPORTS' AND src <> dst), r AS (SELECT src, dst FROM i UNION SELECT r.src, i.dst FROM r JOIN i ON r.dst = i.src)
+@query("j16_cycle_edges", """WITH RECURSIVE i AS (SELECT DISTINCT src, dst FROM @edges WHERE edge_type = 'IMPORTS'), r AS (SELECT src, dst FROM i UNION SELECT r.src, i.dst FROM r JOIN i ON r.dst = i.src)
     SELECT i.src, i.dst FROM i JOIN r ON r.src = i.dst AND r.dst = i.src""")
 def _(t: Tables) -> DataFrame:
-    """Imports of every weight that lie on a cycle of any length."""
-    return graph.cycle_edges(graph.of_type(t.edges, "IMPORTS").filter("src <> dst")).select("src", "dst")
+    """Imports of every weight that lie on a cycle of any length, one module included."""
+    return graph.cycle_edges(graph.of_type(t.edges, "IMPORTS")).select("src", "dst")
 
 
 @query("j15_all_import_cycles")

@@ -272,9 +272,9 @@ def _(t: Tables) -> DataFrame:
     return tools.run_secured(held(t), {"kb.admin"}, "kb_audit", event_type="auth", limit=50).select("event_id")
 
 
-@query("tool_kb_list", "SELECT id FROM @docs WHERE starts_with(path, 'w')")
+@query("tool_kb_list", "SELECT id FROM @docs WHERE starts_with(path, 'src1')")
 def _(t: Tables) -> DataFrame:
-    return tools.run(held(t), "kb_list", "w").select("id")
+    return tools.run(held(t), "kb_list", "src1").select("id")
 
 
 @query("tool_find_function_calls", "SELECT DISTINCT f.id FROM @functions f JOIN @edges e ON e.dst = f.id WHERE e.edge_type = 'CALLS' AND e.src = 10")

@@ -21,7 +21,7 @@ from quillgraph.llm.common import extended, prepare
 WIDTH, CHANNELS = 64, 3
 ROW = WIDTH * CHANNELS
 #: Rows of a stored document's first page.
-FIRST = 16
+FIRST = 64
 # Fixed values of the format.
 PLAIN, LZW, ADOBE_DEFLATE, DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -288,8 +288,8 @@ def feature(pixels: np.ndarray) -> str:
 def coding(payload: bytes) -> tuple[int, int, int, int, str]:
     """Compression, predictor, rows of a strip, side of a tile (0: strips) and byte order, by the payload's CRC-32: all mixed at every size."""
     h = zlib.crc32(payload)
-    how = (PACKBITS, LZW, ADOBE_DEFLATE, LZW)[h & 3]
-    return how, 1 + (h >> 2 & 1), (16, 64)[h >> 3 & 1], (0, 16, 64, 0)[h >> 4 & 3], "<>"[h >> 6 & 1]
+    how = (PACKBITS, LZW, ADOBE_DEFLATE)[(h >> 8) % 3]
+    return how, 1 + (h & 1), (16, 64)[h >> 1 & 1], (0, 16, 0, 32)[h >> 2 & 3], "<>"[h >> 4 & 1]
 
 
 def image_of(payload: bytes) -> bytes:

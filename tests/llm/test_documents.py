@@ -109,7 +109,7 @@ def test_tiff_column(spark):
         g = got[i]
         assert (g["n_bytes"], g["payload_bytes"], g["payload_sha256"], g["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
     assert got[7]["media_sha256"] == got[8]["media_sha256"] and got[7]["feature"] == got[8]["feature"]
-    assert got[6]["n_pages"] == 6 and got[6]["feature"].count(";") == 5 and got[0]["n_pages"] == 1
+    assert got[6]["n_pages"] == 4 and got[6]["feature"].count(";") == 3 and got[0]["n_pages"] == 1
     two = tiff.write([np.zeros((2, 3, 1), np.uint8), np.ones((4, 5, 3), np.uint8)])
     broken = spark.createDataFrame([(1, two), (2, b"no"), (3, two[:40]), (4, None)], "doc_id long, media binary")
     rows = tiff.pages(broken).collect()
@@ -121,7 +121,7 @@ def test_every_coding_meets_texts_of_every_size():
     for size in (192, 576, 192 * 200):
         payloads = [(f"{i} text of some kind " * size).encode()[:size] for i in range(200)]
         seen = {(tiff.coding(p)[0], tiff.coding(p)[3]) for p in payloads}
-        assert seen >= {(c, t) for c in (tiff.PACKBITS, tiff.LZW, tiff.ADOBE_DEFLATE) for t in (0, 16, 64)}
+        assert seen >= {(c, t) for c in (tiff.PACKBITS, tiff.LZW, tiff.ADOBE_DEFLATE) for t in (0, 16, 32)}
         for p in payloads[:40]:
             assert b"".join(row[5] for row in tiff.read_pages(tiff.image_of(p))) == p
 
@@ -294,7 +294,7 @@ def test_payloads_are_what_sql_says(spark, small):
     assert sorted(map(tuple, got)) == sorted(con.execute(tiff.PAYLOAD_SQL).fetchall())
 
 
-@pytest.mark.parametrize("name", ["op5_urls"])
+@pytest.mark.parametrize("name", ["op3_licenses", "op5_urls"])
 def test_sql_agrees(spark, small, name):
     ours, theirs = compared(spark, small, name)
     assert ours == theirs

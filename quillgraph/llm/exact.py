@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from quillgraph.llm.common import attach, shared_dir, table
+from quillgraph.llm.common import attach, remove, shared_dir, table
 
 #: Positions of a block; rows that a block is made for; how many times as many make it hot; blocks of a filter (4 KB each).
 WIDTH, ROWS_A_BLOCK, HOT_TIMES, BLOCKS_A_FILTER, PROBES = 1 << 15, 2048, 8, 1 << 13, 2
@@ -95,6 +95,7 @@ def suspects(rows: DataFrame, key: str, keys: DataFrame, n: int, least: int) ->
         part = {name: spark.read.schema(s.add("prefix", "long")).parquet(f"{folder}/{name}").filter(F.col("prefix") == p).drop("prefix") for name, s in ((k, StructType(v.fields)) for k, v in schemas.items())}
         found = probe(part["rows"].select("row.*"), key, table(bitmaps(part["keys"], key, blocks, least)), blocks)
         parts.append(table(found))
+    remove(spark, folder)
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -11,7 +11,7 @@ from quillgraph.operators import code, graph
 from quillgraph.plans import intents, tools
 from quillgraph.plans.basic import r6
 from quillgraph.plans.domain import Tables
-from quillgraph.plans.registry import query
+from quillgraph.plans.registry import SQL, query
 from quillgraph.sources import parse
 
 
@@ -68,7 +68,17 @@ def _(t: Tables) -> DataFrame:
     return code.long_parameters(entities(t), None).select(F.col("entities")[0].alias("id"), "severity")
 
 
-@query("e02_all_rules")
+#: What each rule's own SQL finds; there are no interfaces, imports or names of factories among these entities.
+ALL_RULES = " UNION ALL ".join(
+    [f"SELECT '{name}' AS name, {level} AS severity FROM ({SQL[key]})" for name, key, level in (("Singleton", "j28_singleton", "'low'"), ("Observer", "j28_observer", "'low'"), ("Decorator", "j28_decorator", "'low'"), ("God Class", "n10_god_class", "severity"), ("Long Method", "n10_long_method", "severity"), ("Large Class", "n10_large_class", "'medium'"), ("Long Parameter List", "n10_long_parameters", "severity"))]
+    + [
+        "SELECT 'Duplicate Code', 'medium' FROM (SELECT regexp_replace(lower(signature), '[^a-z0-9]', '', 'g') AS normal FROM @functions WHERE id % 6 <> 0 GROUP BY 1 HAVING count(DISTINCT class_id) > 1 AND normal <> '')",
+        f"SELECT 'Dead Code', 'low' FROM {MEMBERS} m WHERE kind = 'Function' AND visibility <> 'private' AND NOT EXISTS (SELECT 1 FROM @edges e WHERE e.edge_type = 'CALLS' AND e.dst = m.id)",
+    ]
+)
+
+
+@query("e02_all_rules", f"SELECT name, severity, count(*) AS n FROM ({ALL_RULES}) GROUP BY name, severity")
 def _(t: Tables) -> DataFrame:
     rels = t.edges.select(F.concat(F.lit("f"), "src").alias("src"), F.concat(F.lit("f"), "dst").alias("dst"), F.col("edge_type").alias("rel_type")).filter("rel_type <> 'IMPORTS'")
     return code.detect(graph.keep(entities(t)), rels).groupBy("name", "severity").agg(F.count("*").alias("n"))

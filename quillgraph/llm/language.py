@@ -28,7 +28,7 @@ GRAMS = (2, 3, 4)
 SAMPLE, LONG = 1000, 78
 UNKNOWN = "und"
 #: Share of left-out rows with a right prediction that rejection may take at most.
-WRONGED = 0.001
+WRONGED = 0.0005
 #: Words after which the table of their logits starts anew.
 CACHE = 450_000
 
@@ -133,12 +133,16 @@ def rejection(right: np.ndarray, foreign: np.ndarray) -> float:
     """The score below which a text counts as of no learned language, from left-out rows that were right and rows of no language.
 
     It lies at the median of the latter, so that half of such texts go, but no higher than where WRONGED of the right rows
-    would go with them; 0 without rows of either kind.
+    would go with them. There are too few rows to count so small a share, so it is carried on from the lowest tenth, whose
+    log-odds fall off as an exponential's. 0 without rows of either kind.
     """
     if not len(right) or not len(foreign):
         return 0.0
-    spared = np.sort(right)[int(WRONGED * len(right))]
-    return float(min(np.median(foreign), spared))
+    odds = np.sort(right.clip(1e-9, 1 - 1e-9))
+    odds = np.log(odds / (1 - odds))
+    tenth = odds[: max(1, len(odds) // 10)]
+    spared = tenth[-1] - (tenth[-1] - tenth).mean() * np.log(len(tenth) / len(odds) / WRONGED)
+    return float(min(np.median(foreign), 1 / (1 + np.exp(-spared)), right.min()))
 
 
 def sample(df: DataFrame, text: str, lang: str, key: str, size: int = SAMPLE) -> tuple[list[tuple[Bag, str]], list[Bag]]:

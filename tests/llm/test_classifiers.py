@@ -166,11 +166,16 @@ def test_naming_a_group_is_not_held_against_a_text(monkeypatch):
 
 
 def test_rejection_spares_what_is_right():
-    right, foreign = np.linspace(0.7, 1, 1001), np.linspace(0.3, 0.7, 101)
-    assert language.rejection(right, foreign) == 0.5
-    assert language.rejection(np.append(right, [0.4, 0.45]), foreign) == 0.45
-    assert language.rejection(np.array([0.4, 0.9, 0.95]), foreign) == 0.4
-    assert language.rejection(np.array([]), foreign) == 0.0 == language.rejection(right, np.array([]))
+    r = np.random.default_rng(3)
+    foreign = np.linspace(0.3, 0.7, 101)
+    assert language.rejection(np.linspace(0.98, 1, 1001), foreign) == 0.5  # far apart: half of what is foreign goes
+    logits = 3 + r.exponential(1.0, 400)
+    logits[:40] = 3 - r.exponential(0.5, 40)
+    bound = language.rejection(1 / (1 + np.exp(-logits)), foreign)
+    many = np.append(3 - r.exponential(0.5, 100_000), 3 + r.exponential(1.0, 900_000))
+    assert 0 < bound <= 0.5 and (1 / (1 + np.exp(-many)) < bound).mean() < 5 * language.WRONGED
+    assert language.rejection(np.array([0.4, 0.9, 0.95]), foreign) <= 0.4
+    assert language.rejection(np.array([]), foreign) == 0.0 == language.rejection(logits, np.array([]))
 
 
 def test_rejection_takes_texts_of_no_language_and_leaves_others(spark):

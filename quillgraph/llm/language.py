@@ -2,7 +2,7 @@
 
 A text's vector is the mean of the embeddings of its words' subwords (character n-grams with word bounds, hashed into
 BUCKETS). Both layers are trained by stochastic gradient descent in numpy on a bounded, balanced sample of labelled rows; a
-tenth of it is left out to calibrate the scores and the rejection bound. For prediction both layers are multiplied out, so
+third of it is left out to calibrate the scores and the rejection bound. For prediction both layers are multiplied out, so
 a word is a sum of logits, worked out once for each distinct word.
 """
 
@@ -25,7 +25,7 @@ WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, DIMENSIONS, EPOCHS, RATE, BATCH = 1 << 16, 12, 6, 0.6, 16
 GRAMS = (2, 3, 4)
 #: Rows of each language that are learned from, about, and letters above which a word isn't cached.
-SAMPLE, LONG = 1000, 78
+SAMPLE, LONG = 1500, 78
 UNKNOWN = "und"
 #: Share of left-out rows with a right prediction that rejection may take at most.
 WRONGED = 0.0005
@@ -85,7 +85,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
 
 
 def learn(rows: list[tuple[Bag, str]], foreign: list[Bag], seed: int = 7) -> Model:
-    """Both layers by stochastic gradient descent; a tenth of the rows is left out and calibrates scores and, with the foreign rows, rejection.
+    """Both layers by stochastic gradient descent; a third of the rows is left out and calibrates scores and, with the foreign rows, rejection.
 
     Without rows to learn from, a model of no language.
     """
@@ -96,7 +96,7 @@ def learn(rows: list[tuple[Bag, str]], foreign: list[Bag], seed: int = 7) -> Mod
     number = {label: i for i, label in enumerate(languages)}
     rng = np.random.default_rng(seed)
     rng.shuffle(rows)
-    held, learned = rows[: len(rows) // 10], rows[len(rows) // 10 :]
+    held, learned = rows[: len(rows) // 3], rows[len(rows) // 3 :]
     first = (rng.random((BUCKETS, DIMENSIONS), np.float32) - 0.5) / DIMENSIONS
     second, bias = np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     steps, step = EPOCHS * max(1, -(-len(learned) // BATCH)), 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, exact, html, language, licenses, packing, simhash, tiff, toxicity, urls
+from quillgraph.llm import bpe, exact, html, language, licenses, merkle, packing, simhash, tiff, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,11 +52,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_licenses, op4_toxicity, op5_urls, op6_tiff, op7_language, op8_html, op9_exact, op10_simhash, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.SQL, "op5_urls": urls.SQL, "op9_exact": exact.SQL}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_licenses, op4_toxicity, op5_urls, op6_tiff, op7_language, op8_html, op9_exact, op10_simhash, op11_merkle, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.SQL, "op5_urls": urls.SQL, "op9_exact": exact.SQL, "op11_merkle": merkle.SQL}

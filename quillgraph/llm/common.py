@@ -30,6 +30,11 @@ def prepare(spark: SparkSession) -> None:
     shared_dir(spark)
 
 
+def quoted(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def table(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read again: later passes read it, and a lost executor doesn't recompute it."""
     prepare(df.sparkSession)

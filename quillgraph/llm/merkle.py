@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
-from quillgraph.llm.common import prepare, remove, shared_dir
+from quillgraph.llm.common import prepare, quoted, remove, shared_dir
 
 #: Consecutive nodes that have one parent.
 WIDTH = 16
@@ -30,10 +30,6 @@ COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 PATH = "array<struct<left: string, right: string>>"
 
 
-def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def digest(*parts: Column) -> Column:
     """Lowercase hex SHA-256 of the parts one after another."""
     return F.sha2(F.concat(*parts).cast("binary"), 256)

@@ -49,7 +49,8 @@ class PieceModel:
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         # a space can't be inside or at the end of a piece with other characters, and spaces are kept, with one more before
         kept = "".join(self.model.encode(" a  b ", out_type=str)) == "▁▁a▁▁b▁"
-        self.parts_at_spaces = kept and not any("▁" in p.lstrip("▁") for i, p in enumerate(pieces) if not self.model.is_byte(i))
+        self.space = self.model.piece_to_id("▁")
+        self.parts_at_spaces = kept and pieces[self.space] == "▁" and not any("▁" in p.lstrip("▁") for i, p in enumerate(pieces) if not self.model.is_byte(i))
 
     def stretches(self, text: str) -> list[str]:
         """The text with a space before it, in parts that are encoded independently; each begins with that or another space."""
@@ -58,8 +59,8 @@ class PieceModel:
         return STRETCHES.findall(" " + text) if self.parts_at_spaces else [" " + text]
 
     def encode(self, parts: list[str]) -> list[list[int]]:
-        """Ids of parts as stretches gives them: the model adds their first space itself."""
-        return self.model.encode([p[1:] for p in parts], num_threads=1) if parts else []
+        """Ids of parts as stretches gives them: the model adds their first space itself, but not to nothing."""
+        return [ids if p != " " else [self.space] for p, ids in zip(parts, self.model.encode([p[1:] for p in parts], num_threads=1), strict=True)] if parts else []
 
 
 @lru_cache(maxsize=2)

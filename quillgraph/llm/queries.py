@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import align, bpe, exact, html, language, licenses, merkle, packing, simhash, tiff, toxicity, urls
+from quillgraph.llm import align, bpe, counts, exact, html, language, licenses, merkle, packing, simhash, tiff, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"))
 
 
+def op12_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -66,5 +70,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_licenses, op4_toxicity, op5_urls, op6_tiff, op7_language, op8_html, op9_exact, op10_simhash, op11_merkle, op13_align, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_licenses, op4_toxicity, op5_urls, op6_tiff, op7_language, op8_html, op9_exact, op10_simhash, op11_merkle, op12_counts, op13_align, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.SQL, "op5_urls": urls.SQL, "op9_exact": exact.SQL, "op11_merkle": merkle.SQL}

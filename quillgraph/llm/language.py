@@ -2,8 +2,11 @@
 
 A text's vector is the mean of the embeddings of its words' subwords (character n-grams with word bounds, hashed into
 BUCKETS). Both layers are trained by stochastic gradient descent in numpy on a bounded, balanced sample of labelled rows; a
-third of it is left out to calibrate the scores and the rejection bound. For prediction both layers are multiplied out, so
+third of it is left out to calibrate the scores and the rejection bounds. For prediction both layers are multiplied out, so
 a word is a sum of logits, worked out once for each distinct word.
+
+A softmax is sure of texts unlike any that it has learned from, so a text is rejected as well for the share of its n-grams that
+no learned row has: those are kept as a bitmap of KNOWN hashes.
 """
 
 from __future__ import annotations
@@ -18,25 +21,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillgraph.llm.common import crc_mod, extended, hold, prepare
+from quillgraph.llm.common import crc_mod, extended, hold, prepare, quoted
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, DIMENSIONS, EPOCHS, RATE, BATCH = 1 << 16, 12, 6, 0.6, 16
 GRAMS = (2, 3, 4)
-#: Rows of each language that are learned from, about, and letters above which a word isn't cached.
-SAMPLE, LONG = 1500, 78
+#: Hashes of n-grams that are told apart; a bucket is a hash's lower bits.
+KNOWN = 1 << 20
+#: Rows of each language that are learned from, about, and of all together; the most frequent languages are learned, so many.
+SAMPLE, ROWS, LANGUAGES = 1500, 12_000, 200
+#: Distinct n-grams of a row that are learned from, drawn from its whole text: 8 bytes each, so a sample has under 400 MB.
+DRAWN = 4096
+#: Bound of each weight, so that logits are at most DIMENSIONS times its square. Letters above which a word isn't cached.
+WEIGHT, LONG = 4.0, 78
 UNKNOWN = "und"
-#: Share of left-out rows with a right prediction that rejection may take at most.
-WRONGED = 0.0005
+#: Share of rows with a right prediction that each bound of rejection may take, about.
+WRONGED = 0.0002
 #: Words after which the table of their logits starts anew.
 CACHE = 450_000
 
 
 def subwords(word: str) -> array:
-    """Buckets of the whole word's n-grams."""
+    """Hashes of the whole word's n-grams."""
     w = f"<{word}>"
-    return array("H", (zlib.crc32(w[i : i + n].encode("utf-8", "replace")) & (BUCKETS - 1) for n in GRAMS for i in range(len(w) - n + 1)))
+    return array("I", (zlib.crc32(w[i : i + n].encode("utf-8", "replace")) & (KNOWN - 1) for n in GRAMS for i in range(len(w) - n + 1)))
 
 
 @dataclass
@@ -45,12 +55,18 @@ class Model:
     logits: np.ndarray  # a bucket's embedding times the second layer
     bias: np.ndarray
     temperature: float
-    reject: float
+    reject: float  # lowest score of a text in a learned language
+    known: np.ndarray  # bits of the n-grams that were learned from
+    strange: float  # largest share of other n-grams of such a text
+
+    def unknown(self, hashes: np.ndarray) -> np.ndarray:
+        """Which n-grams are of no learned row."""
+        return (self.known[hashes >> 3] >> (hashes & 7)) & 1 == 0
 
 
 def bag(text: str, known: dict[str, array]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and each one's share."""
-    found = array("H")
+    """Hashes of distinct n-grams of a text and each one's share; of more than DRAWN, those that come first by another hash."""
+    found = array("I")
     for w in WORD.findall(text.lower()):
         if len(w) > LONG:
             found += subwords(w)
@@ -58,9 +74,18 @@ def bag(text: str, known: dict[str, array]) -> tuple[np.ndarray, np.ndarray]:
         if w not in known:
             known[w] = subwords(w)
         found += known[w]
-    n = np.bincount(np.frombuffer(found, np.uint16), minlength=BUCKETS) if found else np.zeros(BUCKETS, np.int64)
-    ids = np.flatnonzero(n).astype(np.uint16)
-    return ids, (n[ids] / max(1, n.sum())).astype(np.float32)
+    ids, n = np.unique(np.frombuffer(found, np.uint32) if found else np.zeros(0, np.uint32), return_counts=True)
+    if len(ids) > DRAWN:
+        rank = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(zlib.crc32(text.encode("utf-8", "replace")))) * np.uint64(0xBF58476D1CE4E5B9)
+        drawn = np.sort(np.argpartition(rank >> np.uint64(32), DRAWN)[:DRAWN])
+        ids, n = ids[drawn], n[drawn]
+    return ids, (n / max(1, n.sum())).astype(np.float32)
+
+
+def buckets(hashes: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets and their shares."""
+    ids, at = np.unique(hashes & (BUCKETS - 1), return_inverse=True)
+    return ids, np.bincount(at, share, len(ids)).astype(np.float32)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -92,11 +117,14 @@ def learn(rows: list[tuple[Bag, str]], foreign: list[Bag], seed: int = 7) -> Mod
     rows = [r for r in rows if len(r[0][0])]
     languages = sorted({label for _, label in rows})
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0, np.zeros(KNOWN // 8, np.uint8), 1.0)
     number = {label: i for i, label in enumerate(languages)}
     rng = np.random.default_rng(seed)
     rng.shuffle(rows)
-    held, learned = rows[: len(rows) // 3], rows[len(rows) // 3 :]
+    held, learned = rows[: len(rows) // 3], [(buckets(*b), label) for b, label in rows[len(rows) // 3 :]]
+    known = np.zeros(KNOWN, bool)
+    for (hashes, _), _ in rows[len(rows) // 3 :]:
+        known[hashes] = True
     first = (rng.random((BUCKETS, DIMENSIONS), np.float32) - 0.5) / DIMENSIONS
     second, bias = np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     steps, step = EPOCHS * max(1, -(-len(learned) // BATCH)), 0
@@ -110,31 +138,70 @@ def learn(rows: list[tuple[Bag, str]], foreign: list[Bag], seed: int = 7) -> Mod
             gap = softmax(hidden @ second + bias)
             gap[np.arange(len(part)), [number[label] for _, label in part]] -= 1
             back = gap @ second.T
-            second -= rate * hidden.T @ gap
-            bias -= rate * gap.sum(axis=0)
+            second = np.clip(second - rate * hidden.T @ gap, -WEIGHT, WEIGHT)
+            bias -= rate * gap.mean(axis=0)
             for ((ids, share), _), b in zip(part, back, strict=True):
-                first[ids] -= rate * 20 * np.outer(share, b).astype(np.float32)  # shares are small
-    model = Model(languages, first @ second, bias.astype(np.float64), 1.0, 0.0)
+                # shares are small: by their squares' sum, so that a row moves its own mean by no more than rate times b
+                move = np.outer(share, b) * (rate * min(20.0, 1 / float(share @ share)))
+                first[ids] = np.clip(first[ids] - move, -WEIGHT, WEIGHT)
+    model = Model(languages, first @ second, bias.astype(np.float64), 1.0, 0.0, np.packbits(known, bitorder="little"), 1.0)
     if held:
-        logits = lambda bags: np.stack([share @ model.logits[ids] + model.bias for ids, share in bags])
-        z = logits([b for b, _ in held])
+        logits = lambda bags: np.stack([share @ model.logits[ids] + model.bias for ids, share in (buckets(*b) for b in bags)])
+        novel = lambda bags: np.array([float(share[model.unknown(ids)].sum()) for ids, share in bags])
+        own = [b for b, _ in held]
+        z = logits(own)
         right = np.array([number[label] for _, label in held])
-        loss = {t: -np.log(softmax(z / t)[np.arange(len(right)), right] + 1e-12).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
-        model.temperature = min(loss, key=loss.get)
+        model.temperature = calibrated(z, right)
         p = softmax(z / model.temperature)
         best, hit = p.max(axis=1), p.argmax(axis=1) == right
         foreign = [b for b in foreign if len(b[0])]
         alien = softmax(logits(foreign) / model.temperature).max(axis=1) if foreign else np.zeros(0)
         model.reject = rejection(best[hit], alien)
+        model.strange = strangeness(novel(own)[hit], novel(foreign))
     return model
 
 
+def calibrated(z: np.ndarray, right: np.ndarray) -> float:
+    """The temperature under which the right labels are likeliest, by a search over a convex loss.
+
+    Labels count as wrong with the chance that one more row is (Laplace), or rows that are all right would have none.
+    """
+    n, k = z.shape
+    if k == 1:
+        return 1.0
+    off = 1 / (n + 2)
+    aim = np.full((n, k), off / (k - 1))
+    aim[np.arange(n), right] = 1 - off
+    loss = lambda b: -(aim * np.log(softmax(z * b) + 1e-300)).sum()  # noqa: E731  in 1 / temperature, by its logarithm
+    lo, hi = np.log(1e-3), np.log(1e3)
+    while hi - lo > 1e-3:
+        a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
+        lo, hi = (lo, b) if loss(np.exp(a)) < loss(np.exp(b)) else (a, hi)
+    return float(np.exp(-(lo + hi) / 2))
+
+
+def strangeness(right: np.ndarray, foreign: np.ndarray) -> float:
+    """The share of unknown n-grams above which a text counts as of no learned language.
+
+    Half way from what right rows have to what the lowest tenth of the foreign ones have; where these aren't apart, what right
+    rows have. That is the share that WRONGED of them have, carried on from their highest tenth, whose shares fall off as
+    an exponential's. 1 without rows of either kind.
+    """
+    if not len(right) or not len(foreign):
+        return 1.0
+    shares = np.sort(right)[::-1]
+    tenth = shares[: max(1, len(shares) // 10)]
+    spared = tenth[-1] + (tenth - tenth[-1]).mean() * max(0.0, np.log(len(tenth) / len(shares) / WRONGED))
+    spared = min(1.0, max(spared, shares[0]))
+    return float((spared + max(spared, np.quantile(foreign, 0.1))) / 2)
+
+
 def rejection(right: np.ndarray, foreign: np.ndarray) -> float:
     """The score below which a text counts as of no learned language, from left-out rows that were right and rows of no language.
 
     It lies at the median of the latter, so that half of such texts go, but no higher than where WRONGED of the right rows
     would go with them. There are too few rows to count so small a share, so it is carried on from the lowest tenth, whose
-    log-odds fall off as an exponential's. 0 without rows of either kind.
+    log-odds fall off as an exponential's, and by their mean fall below the lowest one. 0 without rows of either kind.
     """
     if not len(right) or not len(foreign):
         return 0.0
@@ -142,22 +209,22 @@ def rejection(right: np.ndarray, foreign: np.ndarray) -> float:
     odds = np.log(odds / (1 - odds))
     tenth = odds[: max(1, len(odds) // 10)]
     spared = tenth[-1] - (tenth[-1] - tenth).mean() * np.log(len(tenth) / len(odds) / WRONGED)
-    return float(min(np.median(foreign), 1 / (1 + np.exp(-spared)), right.min()))
+    spared = min(spared, odds[0] - (tenth[-1] - tenth).mean())
+    return float(min(np.median(foreign), 1 / (1 + np.exp(-spared))))
 
 
 def sample(df: DataFrame, text: str, lang: str, key: str, size: int = SAMPLE) -> tuple[list[tuple[Bag, str]], list[Bag]]:
     """Bags and labels of about `size` rows of each language by a hash, and bags of no language from a tenth of them.
 
-    Rows that repeat key, text and language count once. Bags are made by the executors, so what comes to the driver is bounded by
-    size, languages and BUCKETS, however long the texts are.
+    The LANGUAGES most frequent ones share ROWS rows. Rows that repeat key, text and language count once. Bags are made by the
+    executors, so what comes to the driver is bounded by ROWS and DRAWN, however long the texts and however many the languages.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(lang).count().collect()}
-    share = F.lit(0.0)
-    for language, n in counts.items():
-        share = F.when(F.col(lang) == language, F.lit(size / n)).otherwise(share)
-    mark = F.xxhash64(F.col(key).cast("string"), F.col(text), F.col(lang))
-    rows = df.select(mark.alias("mark"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.pmod(F.xxhash64("mark", F.lit("sample")), F.lit(1 << 20)) / (1 << 20) < share)
-    rows = rows.dropDuplicates(["mark"])
+    counts = df.groupBy(quoted(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    size = min(size, max(1, ROWS // max(1, len(counts))))
+    shares = df.sparkSession.createDataFrame([(r["lang"], size / r["n"]) for r in counts], StructType([StructField("lang", df.schema[lang].dataType), StructField("part", DoubleType())]))
+    mark = F.xxhash64(quoted(key).cast("string"), quoted(text), quoted(lang))
+    rows = df.select(mark.alias("mark"), quoted(lang).alias("lang"), quoted(text).alias("text")).join(F.broadcast(shares), "lang")
+    rows = rows.filter(F.pmod(F.xxhash64("mark", F.lit("sample")), F.lit(1 << 20)) / (1 << 20) < F.col("part")).dropDuplicates(["mark"]).select("mark", "lang", "text")
     out, schema = extended(rows.select("mark", "lang"), "ids binary, share binary, foreign boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,15 +239,16 @@ def sample(df: DataFrame, text: str, lang: str, key: str, size: int = SAMPLE) ->
                     yield pa.RecordBatch.from_pylist([{"mark": mark, "lang": language, "ids": ids.tobytes(), "share": part.tobytes(), "foreign": foreign}], schema=schema)
 
     found = sorted(rows.mapInArrow(run, out).collect(), key=lambda r: (r["mark"], r["foreign"]))
-    bags = [((np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["share"], np.float32)), r["lang"], r["foreign"]) for r in found]
+    bags = [((np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["share"], np.float32)), r["lang"], r["foreign"]) for r in found]
     return [(b, label) for b, label, foreign in bags if not foreign], [b for b, _, foreign in bags if foreign]
 
 
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from text and lang of rows with a lang whose crc32(id) mod 3 is not 1."""
     prepare(df.sparkSession)
-    rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (crc_mod(F.col(doc_id), 3) != 1)).select(doc_id, text, lang)
-    return learn(*sample(rows, text, lang, doc_id))
+    learned = quoted(lang).isNotNull() & quoted(text).isNotNull() & (crc_mod(quoted(doc_id), 3) != 1)
+    rows = df.filter(learned).select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), quoted(lang).alias("lang"))
+    return learn(*sample(rows, "text", "lang", "doc_id"))
 
 
 class Words(dict):
@@ -189,25 +257,26 @@ class Words(dict):
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model, self.n = model, 0
-        self.rows = np.zeros((1 << 12, len(model.languages) + 1), np.float32)
+        self.rows = np.zeros((1 << 12, len(model.languages) + 2), np.float32)
 
     def __missing__(self, word: str) -> int:
-        ids = np.frombuffer(subwords(word), np.uint16)
+        ids = np.frombuffer(subwords(word), np.uint32)
         if self.n == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.n, :-1] = self.model.logits[ids].sum(axis=0)
-        self.rows[self.n, -1] = len(ids)
+        self.rows[self.n, :-2] = self.model.logits[ids & (BUCKETS - 1)].sum(axis=0)
+        self.rows[self.n, -2:] = len(ids), self.model.unknown(ids).sum()
         self[word] = self.n
         self.n += 1
         return self.n - 1
 
 
-def predict(words: Words, text: str | None) -> tuple[str, float]:
+def predict(words: Words, text: str | None) -> tuple[str, float, float]:
+    """Language, score and the share of n-grams that no learned row has; `und`, 0 and 1 without a letter or a learned language."""
     if not words.model.languages:
-        return UNKNOWN, 0.0
+        return UNKNOWN, 0.0, 1.0
     found = WORD.findall((text or "").lower())
     if not any(any(map(str.isalpha, w)) for w in found):
-        return UNKNOWN, 0.0
+        return UNKNOWN, 0.0, 1.0
     if words.n > CACHE:
         words.clear()
         words.n = 0
@@ -217,12 +286,12 @@ def predict(words: Words, text: str | None) -> tuple[str, float]:
     total = total.sum(axis=0, dtype=np.float64)
     for w in found if len(short) < len(found) else ():
         if len(w) > LONG:
-            ids = np.frombuffer(subwords(w), np.uint16)
-            total[:-1] += np.bincount(ids, minlength=BUCKETS) @ words.model.logits
-            total[-1] += len(ids)
-    p = softmax((total[:-1] / total[-1] + words.model.bias) / words.model.temperature)
+            ids = np.frombuffer(subwords(w), np.uint32)
+            total[:-2] += np.bincount(ids & (BUCKETS - 1), minlength=BUCKETS) @ words.model.logits
+            total[-2:] += len(ids), words.model.unknown(ids).sum()
+    p = softmax((total[:-2] / total[-2] + words.model.bias) / words.model.temperature)
     best = int(p.argmax())
-    return words.model.languages[best], float(p[best])
+    return words.model.languages[best], float(p[best]), float(total[-1] / total[-2])
 
 
 _WORDS: dict[str, Words] = {}
@@ -231,7 +300,7 @@ _WORDS: dict[str, Words] = {}
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, lang_pred, score, rejected: `und`, score 0 and rejected for null texts and texts without a letter."""
     prepare(df.sparkSession)
-    out, schema = extended(df.select(*keep), "lang_pred string, score double, rejected boolean")
+    out, schema = extended(df.select(*map(quoted, keep)), "lang_pred string, score double, rejected boolean")
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS times the languages
     name = f"{id(shared)}-{model.logits[:64].sum()}-{np.abs(model.logits).sum()}"
 
@@ -240,16 +309,17 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
         if name not in _WORDS:
             _WORDS.clear()
             _WORDS[name] = Words(shared.value)
-        words, bound = _WORDS[name], shared.value.reject
+        words, lowest, most = _WORDS[name], shared.value.reject, shared.value.strange
         for batch in batches:
             found = [predict(words, t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            columns = (pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([x == UNKNOWN or s < bound for x, s in found], pa.bool_()))
+            rejected = [x == UNKNOWN or s < lowest or new > most for x, s, new in found]
+            columns = (pa.array([x for x, _, _ in found], pa.string()), pa.array([s for _, s, _ in found], pa.float64()), pa.array(rejected, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], schema=schema)
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, out)
+    return df.select(*map(quoted, keep), quoted(text).alias("__text")).mapInArrow(run, out)
 
 
 def predictions(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, rejected; learned from df itself (see fit)."""
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = df.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
     return identify(rows, fit(df, doc_id, text, lang)).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")

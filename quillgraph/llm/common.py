@@ -35,6 +35,11 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """The columns as c0, c1 and so on: for functions that take them by place, as mapInArrow takes no name with a dot."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def table(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read again: later passes read it, and a lost executor doesn't recompute it."""
     prepare(df.sparkSession)

@@ -3,17 +3,18 @@
 Blocks are cut at block-level tags. The first pass classifies each by link density, length and density of stop words: good,
 bad, or undecided if short or of few stop words. In the second pass an undecided block inherits the label of its nearest
 decided neighbours in the same region (in articles, or outside); where they differ, the nearer counts, then good. An article
-is a prior only: its two ends count as good neighbours, and blocks outside have none there.
+is a prior only: its two ends count as good neighbours, and blocks outside have none there. Where the first pass finds nothing
+good outside of articles, but undecided blocks there hold most of the text (short texts, or a language of other stop words),
+those that aren't short are good, or all of them if all are short.
 
-Elements that by their tag or their whole class, id or role name are menus, adverts, comments and the like are away: their
-blocks are dropped and are no neighbours. Where nothing good stands outside of such elements, those that hold over half of
+Elements that by their tag or by a class, id or role name are menus, adverts, comments and the like are away: their blocks are dropped and are no neighbours. Where nothing good stands outside of such elements, those that hold over half of
 the page's text count as the page itself. Parsing takes time in proportion to the page, however deep it nests.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import extended, prepare, rows_of
+from quillgraph.llm.common import extended, plain_names, prepare, quoted, rows_of
 
 # Elements by what they are for.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -30,12 +31,16 @@ HIDDEN = frozenset("noscript template iframe object svg math select head button"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AWAY = frozenset("nav footer aside form menu dialog".split())
 REGIONS = frozenset(("article", "main"))
+#: Parts of names that tell of something beside the text whatever stands with them, and those that do so by themselves or beside PLACES.
 HINTS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer footer header login masthead menu modal nav navbar navigation newsletter notice pagination "
-    "popup promo promoted related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
+    "ad ads adsbygoogle adsense adslot adunit advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr login masthead nav navbar navigation newsletter "
+    "pagination popup promo promoted sidebar signup sponsor sponsored subscribe".split()
 )
-#: What may stand beside hints in a name; with any other part (has-sidebar, no-ads, comments-open) the name hints at nothing.
+WEAK = frozenset("copyright header menu modal notice related reply replies search share sharing skip social toolbar topbar widget".split())
+#: What may stand beside weak hints in a name.
 PLACES = frozenset("area article articles bar block bottom box btn buttons container content entry first form global group icons inner item items last left link links list main media page post posts primary right secondary section site text thread top unit user wrap wrapper".split())
+#: With one of these a name is about the page (has-sidebar, no-ads, comments-open) and hints at nothing.
+ABOUT = frozenset("no not non has have with without open closed enabled disabled hide hidden show".split())
 STOP_WORDS = frozenset(
     "the of and to in is that it for was as with be are on by this from at or an not have "
     "der die das und ist von zu den mit für im nicht ein eine sich auf dem des auch als "
@@ -46,8 +51,6 @@ STOP_WORDS = frozenset(
 #: Link density above which a block is bad; lengths below which it is short and above which it can be good by itself;
 #: densities of stop words below which it is undecided and above which it is good.
 LINKS, SHORT, LONG, FEW, MANY = 0.5, 70, 140, 0.1, 0.2
-#: How many elements for each open one of its kind an inline end tag looks through; beyond, the element ends with its block.
-DEEP = 64
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -60,12 +63,16 @@ SPACES = re.compile(r"\s+")
 
 
 def hinted(attributes: str, inside: bool) -> bool:
-    """Whether a whole class, id or role name tells of something beside the text; an article's own header doesn't."""
-    hints = HINTS - {"header"} if inside else HINTS
+    """Whether a class, id or role name tells of something beside the text; an article's own header doesn't."""
     for m in NAMED.findall(attributes):
         for name in "".join(m).lower().split():
-            parts = PART.findall(name)
-            if parts and any(p in hints for p in parts) and all(p in hints or p in PLACES for p in parts):
+            parts = [p for p in PART.findall(name) if len(p) > 1]
+            if not ABOUT.isdisjoint(parts):
+                continue
+            if not HINTS.isdisjoint(parts):
+                return True
+            weak = [p for p in parts if p in WEAK and not (inside and p == "header")]
+            if weak and all(p in WEAK or p in PLACES for p in parts):
                 return True
     return False
 
@@ -76,7 +83,7 @@ class Page:
     def __init__(self, page: str) -> None:
         self.page, self.blocks = page, []
         self.stack: list[tuple[str, int, bool]] = []  # tag, away element or -1, whether a region
-        self.open: Counter[str] = Counter()
+        self.open: defaultdict[str, list[int]] = defaultdict(list)  # where open elements of a kind are in the stack
         self.inner: list[int] = []  # where blocks are in the stack
         self.away: list[int] = []
         self.parents: list[int] = []  # of away elements
@@ -119,13 +126,13 @@ class Page:
             region = False
         if tag in BLOCKS:
             self.inner.append(len(self.stack))
+        self.open[tag].append(len(self.stack))
         self.stack.append((tag, away, region))
-        self.open[tag] += 1
         self.regions += region
 
     def pop(self) -> str:
         tag, away, region = self.stack.pop()
-        self.open[tag] -= 1
+        self.open[tag].pop()
         self.regions -= region
         if away >= 0:
             self.away.pop()
@@ -140,12 +147,9 @@ class Page:
                 while self.pop() != tag:
                     pass
             return
-        least = self.inner[-1] if self.inner else -1
-        for at in range(len(self.stack) - 1, max(least, len(self.stack) - 1 - self.open[tag] * DEEP), -1):
-            if self.stack[at][0] == tag:
-                while len(self.stack) > at:
-                    self.pop()
-                return
+        if self.open[tag] and self.open[tag][-1] > (self.inner[-1] if self.inner else -1):
+            while self.pop() != tag:
+                pass
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
@@ -249,12 +253,23 @@ def dropped(page: Page, labels: list[str]) -> list[bool]:
     return out
 
 
+def settled(blocks: list[tuple[str, str, bool]]) -> list[tuple[str, str, bool]]:
+    """Blocks (text, label, whether in an article) where undecided ones outside of articles are good if nothing there is and they have most of the text."""
+    outside = [(len(text), label) for text, label, region in blocks if not region]
+    open_ = [n for n, label in outside if label == "?"]
+    if any(label == "good" for _, label in outside) or 2 * sum(open_) <= sum(len(text) for text, *_ in blocks):
+        return blocks
+    least = SHORT if max(open_) >= SHORT else 0
+    return [(text, "good" if label == "?" and not region and len(text) >= least else label, region) for text, label, region in blocks]
+
+
 def main_text(html: str | None) -> str:
     """The good blocks' texts, two newlines between; empty if there are none."""
     page = Page(html or "")
     labels = [first_pass(text, links) for text, links, *_ in page.blocks]
     gone = dropped(page, labels)
     kept = [(text, label, region) for (text, _, away, region), label in zip(page.blocks, labels, strict=True) if away < 0 or not gone[away]]
+    kept = settled(kept)
     final = {article: iter(second_pass([label for _, label, region in kept if region == article], article)) for article in (True, False)}
     return "\n\n".join(text for text, _, region in kept if next(final[region]) == "good")
 
@@ -262,9 +277,9 @@ def main_text(html: str | None) -> str:
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """keep, text, n_chars (code points). Null and empty pages give an empty text; rows are independent."""
     prepare(df.sparkSession)
-    out, schema = extended(df.select(*keep), "text string")
+    out, schema = extended(df.select(*map(quoted, keep)), "text string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return rows_of(batches, lambda *c: [*c[:-1], [main_text(h) for h in c[-1]]], schema)
 
-    return df.select(*keep, F.col(html).alias("__html")).mapInArrow(run, out).withColumn("n_chars", F.length("text").cast("long"))
+    return plain_names(df.select(*map(quoted, keep), quoted(html))).mapInArrow(run, out).withColumn("n_chars", F.length("text").cast("long"))

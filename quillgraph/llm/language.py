@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillgraph.llm.common import crc_mod, extended, hold, prepare, quoted
+from quillgraph.llm.common import crc_mod, extended, hold, plain_names, prepare, quoted
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, DIMENSIONS, EPOCHS, RATE, BATCH = 1 << 16, 12, 6, 0.6, 16
@@ -316,7 +316,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
             columns = (pa.array([x for x, _, _ in found], pa.string()), pa.array([s for _, s, _ in found], pa.float64()), pa.array(rejected, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], schema=schema)
 
-    return df.select(*map(quoted, keep), quoted(text).alias("__text")).mapInArrow(run, out)
+    return plain_names(df.select(*map(quoted, keep), quoted(text))).mapInArrow(run, out)
 
 
 def predictions(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -161,8 +161,8 @@ def test_damage_is_an_error_and_no_zeros(how):
         ("<nav><a href=x>menu</a></nav><div class='ad'>buy</div><main><p>one</p><aside>side</aside><div class=\"comments\"><p>reader</p></div></main>", "one"),
         ("<article><script>var a = '</p>';</script><style>p{}</style><p>text<!-- no --></p><form><input><button>go</button></form></article", "text"),
         ("<div id=cookie-notice>We use it</div><p>The cat and the dog are in the house and it is that of the man who was with them for the day and the night of the year.</p><p>Short.</p>", "The cat and the dog are in the house and it is that of the man who was with them for the day and the night of the year.\n\nShort."),
-        ("<p class='x>never closed", ""),
-        ("&am", ""),
+        ("<p class='x>never closed", "never closed"),
+        ("&am", "&am"),
         ("<article><p>cut &am", "cut &am"),
         ("<article><header><h1>Head</h1></header><p>x&nbsp;&nbsp;y</p></article>", "Head\n\nx y"),
         ("<ul><li><a href=1>aaaa</a></li></ul><article><ul><li>one<li>two</ul></article>", "one\n\ntwo"),
@@ -192,6 +192,32 @@ def test_whole_names_hint(name):
     assert html.main_text(f'<p>{prose}</p><section class="{name}"><p>{prose} {prose} {prose}</p></section>') == prose
 
 
+@pytest.mark.parametrize("name", ["ad-slot", "adsbygoogle", "google-ads-2", "disqus_thread", "user-comments-v2", "gdpr-notice", "gdpr", "cookie-law-info-bar", "site-header-v2"])
+def test_hints_count_beside_other_parts(name):
+    prose = "The cat and the dog are in the house and it is that of the man who was with them for the day and the night of the year."
+    for kind in ("class", "id"):
+        assert html.main_text(f'<p>{prose}</p><div {kind}="{name}"><p>{prose} {prose}</p></div><p>End.</p>') == f"{prose}\n\nEnd."
+        assert html.main_text(f'<article><p>{prose}</p><div {kind}="x {name}"><p>{prose}</p></div></article>') in (prose, f"{prose}\n\n{prose}" if "header" in name else prose)
+        assert html.main_text(f'<div {kind}="no-{name}"><p>{prose}</p></div>') == prose == html.main_text(f'<div {kind}="{name}"><p>{prose}</p></div>')
+
+
+def test_short_pages_and_other_languages():
+    """Where nothing is long or of a known language, what has most of the text stays; link lists go."""
+    menu = "<ul><li><a href=1>Home</a></li><li><a href=2>More</a></li></ul>"
+    assert html.main_text(f"{menu}<div><h1>Title</h1><p>A short line.</p><p>Another one here.</p></div>") == "Title\n\nA short line.\n\nAnother one here."
+    russian = "Кошка и собака живут в доме, который принадлежит человеку, и они были с ним днём и ночью весь этот длинный год."
+    assert html.main_text(f"{menu}<h1>Дом</h1><p>{russian}</p><p>Конец.</p><p>{russian}</p><div class=ad-slot>Купи!</div>") == f"Дом\n\n{russian}\n\nКонец.\n\n{russian}"
+    chinese = "猫和狗住在那个人的房子里，一年到头日日夜夜都和他在一起。"
+    assert html.main_text(f"{menu}<p>{chinese}</p><p>完。</p>") == f"{chinese}\n\n完。"
+    assert html.main_text(f"<article><p>.</p></article><p>{russian}</p>") == f".\n\n{russian}"
+    assert html.main_text("<p>Sold here</p>" + "<p><a href=1>one more story to read</a></p>" * 3) == ""
+
+
+def test_inline_elements_end_however_many_stand_open():
+    for n in (0, 63, 64, 65, 5000):
+        assert html.main_text(f"<article><p><span class='ad'>x{'<i>' * n}</span>the text</p><p>more</p></article>") == "xthe text\n\nmore"
+
+
 @pytest.mark.parametrize("tag", ["svg", "select", "math", "object", "iframe", "noscript", "button"])
 def test_hidden_elements_nest_and_may_stay_open(tag):
     prose = "The cat and the dog are in the house and it is that of the man who was with them for the day and the night of the year."
@@ -223,6 +249,9 @@ def plain_labels(blocks):
         own = [i for i, b in enumerate(blocks) if b[2] == region]
         at = {i: k for k, i in enumerate(own)}
         sure = [(at[i], first(*blocks[i][:2])) for i in own]
+        unsure = [len(blocks[i][0]) for i, (_, x) in zip(own, sure) if x == "?"]
+        if not region and all(x != "good" for _, x in sure) and sum(unsure) > sum(len(b[0]) for b in blocks) / 2:
+            sure = [(k, "good" if x == "?" and (len(blocks[i][0]) >= 70 or max(unsure) < 70) else x) for i, (k, x) in zip(own, sure)]
         marks = [(k, x) for k, x in sure if x != "?"] + ([(-1, "good"), (len(own), "good")] if region else [])
         for i in own:
             label = sure[at[i]][1]

@@ -256,3 +256,56 @@ def test_long_runs_are_read_whole():
     words = language.Words(language.Model(["aa", "qq"], logits, np.array([1.0, 0.0]), 1.0, 0.0, np.zeros(language.KNOWN // 8, np.uint8), 1.0))
     assert language.predict(words, "a" * 101 + "qz" + "a" * 100)[0] == "qq" and language.predict(words, "a" * 203)[0] == "aa"
     assert not words
+
+
+def test_every_fit_has_counterfactuals_in_all_languages():
+    rows, labels = toxic_rows(200)
+    seen = [pair for i, (_, t) in enumerate(rows) for pair in toxicity.counterfactuals(i, toxicity.words_of(t))]
+    assert len(seen) == len(rows)  # no text names a group, yet each has a pair
+    put = {w for one, two in seen for w in one - two}
+    assert {"woman", "frau", "femme", "mujer"} <= put
+    both = toxicity.counterfactuals(0, {"der", "muslim"})
+    assert ({"der", "muslim"}, {"der", "person"}) in both and len(both) == 3
+    assert toxicity.counterfactuals(0, {"a"}, {}) == []
+
+
+def neutral_mentions(model):
+    """Share of neutral sentences that name a group and are called toxic."""
+    frames = {"en": "the {} went to the market", "de": "die {} ging zum markt", "fr": "la {} va au marché", "es": "la {} fue al mercado"}
+    found = [toxicity.score_of(frames[lang].format(t), model, {}) >= toxicity.BOUND for lang, sets in toxicity.IDENTITIES.items() for group in sets for t in group]
+    return np.mean(found)
+
+
+def test_false_positives_on_neutral_mentions_with_and_without_the_penalty(monkeypatch):
+    """Insults that share letters with groups' names, and texts that are toxic about groups: the penalty takes most false positives."""
+    r = random.Random(8)
+    neutral = [a + b for a in ("than", "ther", "inge") for b in ("ed", "er", "in", "on")]
+    groups = ["muslims", "juden", "arabes", "gitanos", "immigrants", "schwule"]
+    texts, y = [], []
+    for i in range(900):
+        words = [r.choice(neutral) for _ in range(20)]
+        bad = i % 3 == 0
+        if bad:
+            words.append(r.choice(["scumlike", "musliminx", "judenqx", "arabesqx"]))
+            if r.random() < 0.5:
+                words.append(r.choice(groups))
+        texts.append(" ".join(words))
+        y.append(int(bad))
+    fair = toxicity.train(texts, y)
+    monkeypatch.setattr(toxicity, "FAIR", 0.0)
+    plain = toxicity.train(texts, y)
+    assert neutral_mentions(plain) > 0.03 and neutral_mentions(fair) <= 0.2 * neutral_mentions(plain)
+    held = [(" ".join(r.choice(neutral) for _ in range(20)) + " scumlike", True) for _ in range(50)] + [(" ".join(r.choice(neutral) for _ in range(20)), False) for _ in range(50)]
+    assert all((toxicity.score_of(t, fair, {}) >= toxicity.BOUND) == bad for t, bad in held)
+
+
+def test_all_features_that_pass_are_kept():
+    """More of them than any fixed number: each of 5,000 words of its own is in enough toxic texts."""
+    words = [f"x{'abcdefghij'[i // 1000]}q{'abcdefghij'[i // 100 % 10]}z{'abcdefghij'[i // 10 % 10]}v{'abcdefghij'[i % 10]}k" for i in range(5000)]
+    r = random.Random(1)
+    texts = [" ".join(words[i] for i in r.sample(range(5000), 500)) for _ in range(100)] + ["than there ing"] * 900
+    bags = toxicity.Bags()
+    for t in texts:
+        bags.add(toxicity.words_of(t))
+    found = toxicity.chosen(bags, np.arange(1000) < 100)
+    assert sum(f"={w}" in found for w in words) > 4500

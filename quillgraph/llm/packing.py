@@ -3,7 +3,8 @@
 Lengths are integers up to the bin's size, so the whole corpus is a histogram of at most `size` counts. The driver plans on
 that histogram alone: large lengths are cut into groups of equal cardinality and rounded up to their group's largest; how
 often each configuration of these few sizes is used is optimised by column generation; actual lengths replace the rounded
-ones; small lengths, and what configurations left over, are added by best fit. A plan is a list of runs (length, ranks from,
+ones; large ones that are left over are grouped again until no configuration has a whole bin of them; small lengths are added by
+best fit, and with them the shortest piece of each configuration, as gaps that rounding leaves would stay empty. A plan is a list of runs (length, ranks from,
 to, first bin, offset), whose number depends on the bin's size and not on the data; each piece finds its run by its rank
 among the pieces of its length.
 """
@@ -11,7 +12,6 @@ among the pieces of its length.
 from __future__ import annotations
 
 import bisect
-import logging
 import os
 import re
 import zlib
@@ -33,7 +33,7 @@ from quillgraph.llm.common import extended, hold, prepare, rows_of, table
 
 SIZE = 2048
 #: Lengths above this share of a bin are large; each of so many groups of them is rounded up.
-LARGE, GROUPS = 1 / 2, 40
+LARGE, GROUPS = 1 / 4, 40
 #: Distinct pre-tokens after which their cache is emptied, and characters above which one isn't cached.
 CACHE, LONG = 1_000_000, 48
 #: Runs of a plan up to which it is broadcast (40 bytes each); a plan has a few runs for each length.
@@ -133,34 +133,38 @@ def pieces(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
 
 
 def groups_of(counts: dict[int, int], n_groups: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(largest length, [(length, count)] from the longest on) of groups of equal cardinality, the longest first."""
+    """(largest length, [(length, count)] from the longest on) of groups of equal cardinality, the longest first.
+
+    A length that doesn't fit what is left of a group begins the next one with all of its pieces: that costs no more sizes, and
+    none of them is rounded up.
+    """
     total = sum(counts.values())
-    share, out, room = max(1, -(-total // n_groups)), [], 0
+    share = max(1, -(-total // n_groups))
+    out: list[tuple[int, list[tuple[int, int]]]] = []
+    room = 0
     for length in sorted(counts, reverse=True):
         left = counts[length]
-        while left:
-            if room == 0:
-                out.append((length, []))
-                room = share
-            take = min(left, room)
-            out[-1][1].append((length, take))
-            left, room = left - take, room - take
-    merged: dict[int, list[tuple[int, int]]] = {}
-    for top, items in out:  # groups that round to the same size are one
-        merged.setdefault(top, []).extend(items)
-    return sorted(merged.items(), reverse=True)
-
-
-def configurations(sizes: list[int], need: list[int], size: int, rounds: int = 400) -> list[tuple[list[int], float]]:
+        if left > room:
+            out.append((length, [(length, left)]))
+            room = -left % share
+        else:
+            out[-1][1].append((length, left))
+            room -= left
+    return out
+
+
+def configurations(sizes: list[int], need: list[int], size: int) -> list[tuple[list[int], float]]:
     """(how many of each size, how often) of an optimal fractional packing, by column generation on a simplex basis.
 
-    After `rounds` columns the packing found so far is taken, which is whole but perhaps not the best, and a warning is logged.
+    Ends when no configuration is worth more than a bin, or when what better ones could still save is no whole bin. Needs are
+    moved apart by a hair, so that no two bases are equal and none comes back.
     """
     k = len(sizes)
     basis = np.diag([float(size // s) for s in sizes])
     inverse = np.diag(1 / np.diag(basis))
-    x = inverse @ np.array(need, float)
-    for _ in range(rounds):
+    goal = np.array(need, float) * (1 + 1e-9 * np.arange(1, k + 1) / k)
+    x, done, still = inverse @ goal, 0, 0
+    while True:
         price = inverse.sum(axis=0)  # each configuration costs one bin
         best, choice = np.zeros(size + 1), np.full(size + 1, -1)
         for j in np.argsort([-price[i] / sizes[i] for i in range(k)]):
@@ -174,7 +178,7 @@ def configurations(sizes: list[int], need: list[int], size: int, rounds: int = 4
                 best[lo:hi][better] = gain[better]
                 choice[lo:hi][better] = j
         column, at = np.zeros(k), int(np.argmax(best))
-        if best[at] <= 1 + 1e-7:
+        if best[at] <= 1 + 1e-7 or np.ceil(x.sum() / best[at] - 1e-6) >= np.ceil(x.sum() - 1e-6):
             break
         while at > 0 and choice[at] >= 0:
             column[choice[at]] += 1
@@ -182,18 +186,21 @@ def configurations(sizes: list[int], need: list[int], size: int, rounds: int = 4
         step = inverse @ column
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(np.argmin(ratio))
-        if not np.isfinite(ratio[out]):
-            break
-        move = ratio[out]
-        x = x - move * step
-        x[out] = move
+        if not np.isfinite(ratio[out]) or (basis == column[:, None]).all(axis=0).any():
+            break  # only rounding makes a configuration of the basis look better
         basis[:, out] = column
-        row = inverse[out] / step[out]
-        inverse = inverse - np.outer(step, row)
-        inverse[out] = row
-    else:
-        logging.getLogger(__name__).warning("column generation stopped after %d rounds", rounds)
-    return [([int(round(n)) for n in basis[:, i]], float(max(0.0, x[i]))) for i in range(k) if x[i] > 1e-9]
+        done += 1
+        if done % 50:
+            row = inverse[out] / step[out]
+            inverse = inverse - np.outer(step, row)
+            inverse[out] = row
+        else:
+            inverse = np.linalg.inv(basis)  # afresh, as errors add up
+        x, last = np.maximum(inverse @ goal, 0), x.sum()
+        still = 0 if x.sum() < last - 1e-9 else still + 1
+        if still > 10 * k:
+            break  # nothing has been saved since
+    return [([int(round(n)) for n in basis[:, i]], float(x[i])) for i in range(k) if x[i] > 1e-9]
 
 
 class Bins:
@@ -247,64 +254,87 @@ class Bins:
             self.leave(gap - here * length, first, many)
 
 
-def plan(counts: dict[int, int], size: int = SIZE, n_groups: int = GROUPS, large: float = LARGE) -> tuple[int, list[tuple[int, int, int, int, int]]]:
-    """(bins, runs) for counts of lengths; a run: length, ranks from, to (exclusive), first bin, offset."""
+def place(bins: Bins, groups: list[tuple[int, list[tuple[int, int]]]], config: list[int], many: int, apart: dict[int, int]) -> None:
+    """Put actual lengths of the groups, longest first, into up to `many` new bins of a configuration.
+
+    What its shortest slot would get, where it has several, goes apart: by best fit that room takes a length without rounding.
+    """
+    slots = [g for g, n in enumerate(config) for _ in range(n)]
+    many = min([many, *(sum(c for _, c in groups[g][1]) // config[g] for g in set(slots))])
+    if len(slots) > 1:
+        last, left = slots.pop(), many
+        items = groups[last][1]
+        while left:
+            length, n = items[-1]
+            take = min(n, left)
+            apart[length] = apart.get(length, 0) + take
+            left -= take
+            items[-1] = (length, n - take)
+            if n == take:
+                items.pop()
+        config = [n - (g == last) for g, n in enumerate(config)]
+    while many and slots:
+        # as many bins as have the same actual lengths in every slot
+        run = min([many, *(max(1, groups[g][1][0][1] // config[g]) for g in slots)])
+        first, offset = bins.open(run), 0
+        for g in slots:
+            items, done = groups[g][1], 0
+            longest = items[0][0]
+            while done < run:  # a run of one bin may cross from one length to the next
+                length, left = items[0]
+                take = min(left, run - done)
+                bins.put(length, first + done, take, offset)
+                items[0] = (length, left - take)
+                if left == take:
+                    items.pop(0)
+                done += take
+            offset += longest
+        bins.leave(bins.size - offset, first, run)
+        many -= run
+
+
+def plan(counts: dict[int, int], size: int = SIZE, n_groups: int = GROUPS, large: float = LARGE, share: float = 1.0) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """(bins, runs) for counts of lengths; a run: length, ranks from, to (exclusive), first bin, offset.
+
+    Configurations are used for `share` of the bins that they could fill; with a share of 1, what is left over is grouped again.
+    """
     bins = Bins(size)
     long = {k: c for k, c in counts.items() if k > size * large and c > 0}
     rest = {k: c for k, c in counts.items() if k <= size * large and c > 0}
-    if long:
-        groups = groups_of(long, n_groups)
+    while long:
+        groups, before = groups_of(long, n_groups), bins.n
         for config, often in configurations([g for g, _ in groups], [sum(c for _, c in items) for _, items in groups], size):
-            many = int(often + 1e-6)
-            slots = [g for g, n in enumerate(config) for _ in range(n)]
-            while many and slots:
-                # as many bins as have the same actual lengths in every slot
-                heads, run, short = [], many, [g for g in set(slots) if sum(c for _, c in groups[g][1]) < many * config[g]]
-                if short:
-                    many = min(many, *(sum(c for _, c in groups[g][1]) // config[g] for g in short))
-                    if not many:
-                        break
-                    run = many
-                taken: dict[int, int] = defaultdict(int)
-                for g in slots:
-                    length, left = groups[g][1][0]
-                    heads.append((g, length))
-                    taken[g] += 1
-                    run = min(run, max(1, left // config[g]))
-                first, offset = bins.open(run), 0
-                for g, _ in heads:
-                    items = groups[g][1]
-                    done = 0
-                    while done < run:  # a run of one bin may cross from one length to the next
-                        length, left = items[0]
-                        take = min(left, run - done)
-                        bins.put(length, first + done, take, offset)
-                        items[0] = (length, left - take)
-                        if left == take:
-                            items.pop(0)
-                        done += take
-                    offset += length
-                bins.leave(size - offset, first, run)
-                many -= run
+            place(bins, groups, config, int(often * share + 1e-6), rest)
+        long = {}
         for _, items in groups:
             for length, c in items:
+                long[length] = long.get(length, 0) + c
+        if bins.n == before or share < 1:
+            for length, c in long.items():
                 rest[length] = rest.get(length, 0) + c
+            break
     for length in sorted(rest, reverse=True):
         bins.best_fit(length, rest[length])
     return bins.n, bins.rows
 
 
 def best_plan(counts: dict[int, int], size: int = SIZE) -> tuple[int, list[tuple[int, int, int, int, int]]]:
-    """The plan with the fewest bins over a few numbers of groups and bounds of large lengths; stops where the volume is met."""
+    """The plan with the fewest bins, over shares of configurations, numbers of groups and bounds of large lengths; ends where the volume is met.
+
+    The most share of configurations comes first: they find mixes that best fit misses, which in turn leaves the least room where
+    there are many lengths. Best fit alone is the last resort, so no plan is worse.
+    """
     least = -(-sum(k * c for k, c in counts.items()) // size)
     best = None
-    for n_groups, large in ((GROUPS, LARGE), (GROUPS, 2 / 5), (2 * GROUPS, 1 / 3), (GROUPS, 1 / 4), (2 * GROUPS, 1 / 8)):
-        found = plan(counts, size, n_groups, large)
-        if best is None or found[0] < best[0]:
-            best = found
-        if best[0] <= least:
-            break
-    return best
+    for share in (1.0, 0.75, 0.5, 0.25, 0.1):
+        for n_groups, large in ((GROUPS, LARGE), (2 * GROUPS, LARGE), (GROUPS, LARGE / 2)):
+            found = plan(counts, size, n_groups, large, share)
+            if best is None or found[0] < best[0]:
+                best = found
+            if best[0] <= least:
+                return best
+    found = plan(counts, size, 1, 1.0)
+    return found if found[0] < best[0] else best
 
 
 # ---------------------------------------------------------------- assignment

@@ -172,7 +172,7 @@ def sound(counts, n, runs, size):
 
 def test_plans_hold_and_are_near_the_volume():
     r = random.Random(3)
-    for _ in range(60):
+    for _ in range(8):
         size = r.choice([16, 100, 2048])
         counts = {r.randint(1, size): r.choice([1, 2, 30, 1000]) for _ in range(r.choice([1, 4, 60]))}
         for parameters in ((40, 1 / 2), (5, 1 / 3), (8, 1 / 8)):
@@ -180,7 +180,7 @@ def test_plans_hold_and_are_near_the_volume():
         n, runs = packing.best_plan(counts, size)
         sound(counts, n, runs, size)
         assert n >= -(-sum(k * c for k, c in counts.items()) // size)
-    mixed = {k: 20 for k in range(20, 2049, 7)}
+    mixed = {k: 20 for k in range(20, 2049, 19)}
     n, _ = packing.best_plan(mixed)
     assert n <= 1.06 * sum(k * c for k, c in mixed.items()) / 2048
     assert packing.best_plan({}) == (0, [])
@@ -208,3 +208,39 @@ def test_pack(spark):
     assert packing.pack(rows(spark, []), BYTE).count() == 0
     null_ids = spark.createDataFrame([(None, "a"), (None, "a")], "doc_id long, text string")
     assert packing.pack(null_ids, BYTE).count() == 2
+
+
+def test_configurations_find_what_best_fit_misses():
+    """400 each of 900, 700 and 448 fill 400 bins exactly; best fit by itself takes 450."""
+    counts = {900: 400, 700: 400, 448: 400}
+    assert packing.plan(counts, 2048, 1, 1.0)[0] == 450 and packing.best_plan(counts)[0] == 400
+    # lengths that go on beyond a group begin the next one, and are not rounded up
+    assert packing.groups_of(counts, 40) == [(900, [(900, 400)]), (700, [(700, 400)]), (448, [(448, 400)])]
+    assert packing.groups_of({9: 3, 8: 3, 7: 10, 6: 1}, 4) == [(9, [(9, 3)]), (8, [(8, 3)]), (7, [(7, 10)]), (6, [(6, 1)])]
+
+
+def test_plans_of_many_lengths_meet_the_volume_by_configurations_of_several_large_pieces():
+    r = random.Random(4)
+    counts = Counter(min(2048, int(r.lognormvariate(6.3, 0.8)) + 1) for _ in range(12_000))
+    n, runs = packing.best_plan(counts)
+    assert n <= packing.plan(dict(counts), 2048, 1, 1.0)[0] and n <= -(-sum(k * c for k, c in counts.items()) // 2048) + 3
+    for share in (1.0, 0.25):
+        many, rows = packing.plan(dict(counts), share=share)
+        large = Counter()
+        for length, lo, hi, first, _ in rows:
+            if length > 2048 * packing.LARGE:
+                for b in range(first, first + hi - lo):
+                    large[b] += 1
+        assert sum(n > 1 for n in large.values()) > many / 4
+
+
+def test_column_generation_goes_on_to_the_best():
+    """Many sizes and one after another that improves: the value is that of a plain linear program's bound."""
+    r = random.Random(3)
+    sizes = sorted(r.sample(range(130, 1500), 90), reverse=True)
+    need = [r.randint(50, 400) for _ in sizes]
+    used = packing.configurations(sizes, need, 2048)
+    assert all(sum(s * n for s, n in zip(sizes, c)) <= 2048 for c, _ in used)
+    for i, n in enumerate(need):
+        assert sum(c[i] * x for c, x in used) >= n - 1e-3
+    assert sum(x for _, x in used) <= sum(s * n for s, n in zip(sizes, need)) / 2048 * 1.01

@@ -75,7 +75,7 @@ class PieceParts:
         self.split = self.model.stretches
 
     def size(self, part: str) -> int:
-        return len(self.model.encode([part])[0])
+        return len(self.model.encode(part))
 
 
 @lru_cache(maxsize=1)

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -73,10 +74,12 @@ def rows(df):
     return sorted(tuple(r[c] for c in NAMES) for r in df.collect())
 
 
-@pytest.mark.parametrize("part,share", [(align.PART, align.HOT_SHARE), (3, 1 / 20), (7, 1.0)])
-def test_documents_against_a_plain_version(spark, monkeypatch, part, share):
+@pytest.mark.parametrize("block,share,large", [(align.BLOCK, align.HOT_SHARE, align.LARGE), (30, 1 / 20, 3), (100, 1.0, 1)])
+def test_documents_against_a_plain_version(spark, monkeypatch, block, share, large):
     monkeypatch.setattr(align, "HOT_SHARE", share)  # no, some or nearly all ids are split
-    monkeypatch.setattr(align, "PART", part)
+    monkeypatch.setattr(align, "BLOCK", block)
+    monkeypatch.setattr(align, "ADDED", block)
+    monkeypatch.setattr(align, "LARGE", large)
     texts = ODD + some()
     df = spark.createDataFrame([(i // 2, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, row int, pairs string").repartition(5)
     want = sorted((i // 2, *w) for i, w in enumerate(plain(texts)))
@@ -98,11 +101,28 @@ def test_empty_tables_null_ids_and_other_names(spark):
     assert [(r["doc_id"], r["n_a"], r["count_sum"]) for r in got] == [(None, 2, 4)] * 2
 
 
-def test_a_group_of_many_tokens_is_linked_by_distinct_ids():
-    s = align.Stretch([1] * 1000, [2] * 500 + [3] * 500, [([1] * 1000, [2] * 500 + [3] * 500)])
-    assert s.n_links == 10**6 and dict(s.pairs) == {(1, 2): 500_000, (1, 3): 500_000}
+def test_groups_of_many_tokens_are_counted_by_distinct_ids(monkeypatch):
+    for large in (align.LARGE, 3):
+        monkeypatch.setattr(align, "LARGE", large)
+        both = align.Aligner(A, B)
+        ids = np.array([1, 1, 4]), np.array([2, 3, 4])
+        both.align(*ids, np.array([5, 10, 11]), np.array([4, 10, 11]), np.array([2, 3]), np.array([2, 3]))  # a group of four links, and one of one
+        assert both.stats.rows[:2, :4].tolist() == [[2, 2, 1, 4], [1, 1, 1, 1]] and both.shown == ["1,1|2,3", "4|4"]
+        first, many = both.stats.rows[0, 4:].tolist()
+        assert [(int(c) >> align.SHIFT, int(c) & 0xFFFFFF, int(n)) for c, n in both.pairs.rows[first : first + many]] == [(1, 2, 2), (1, 3, 2)]
 
 
 def test_pair_table(spark):
-    links = spark.createDataFrame([(0, 1, 5, 2), (1, 1, 5, 1), (1, 1, 6, 9), (2, 2, 6, 1), (2, 2, 7, 1)], "row long, a int, b int, n long")
-    assert sorted(tuple(r) for r in align.pair_counts(links).collect()) == [(1, 5, 2, True), (1, 6, 1, False), (2, 6, 1, True), (2, 7, 1, True)]
+    blocks = spark.createDataFrame([(1, 5, 1), (1, 5, 1), (1, 6, 1), (2, 6, 1), (2, 7, 1)], "a int, b int, docs int")
+    assert sorted(tuple(r) for r in align.pair_counts(blocks).collect()) == [(1, 5, 2, True), (1, 6, 1, False), (2, 6, 1, True), (2, 7, 1, True)]
+
+
+def test_both_byte_encoders_agree(tmp_path):
+    import json
+
+    spec = json.load(open(A))
+    spec["pre_tokenizer"]["trim_offsets"] = False  # not the plain kind: goes by the library
+    (tmp_path / "b.json").write_text(json.dumps(spec))
+    fast, slow = align.ByteModel(A), align.ByteModel(str(tmp_path / "b.json"))
+    texts = [t for t in ODD + some() if t]
+    assert [fast.encode(t) for t in texts] == [slow.encode(t) for t in texts]

@@ -284,7 +284,7 @@ def overall_health(avg_complexity: Column, critical_patterns: Column, debt_ratio
 
 def candidates(importer: Column, spec: Column) -> Column:
     """Paths that an import may mean, in order: as given, with an extension, an index file; relative, or from src/ by alias @/."""
-    base = F.when(F.startswith(spec, F.lit(".")), T.relative_path(importer, spec)).when(F.startswith(spec, F.lit("@/")), F.concat(F.lit("src/"), F.substring(spec, 3, 100_000)))
+    base = F.when(F.startswith(spec, F.lit(".")), T.relative_path(importer, spec)).when(F.startswith(spec, F.lit("@/")), F.concat(F.lit("src/"), F.substring(spec, F.lit(3), F.length(spec))))
     ends = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.tsx", "/index.js", "/__init__.py")
     return F.array(*(F.concat(base, F.lit(e)) for e in ends))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quillgraph.operators import scan
 from quillgraph.session import shared_dir
 
 
@@ -108,12 +109,27 @@ def resolve_contradictions(pairs: DataFrame, gap: float = 0.2, symmetric: bool =
 
 
 def contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """For each inner row the innermost outer row of the same file whose lines hold it: inner_id, outer_id."""
-    o = outer.select("file_path", F.col("id").alias("outer_id"), F.col("line").alias("o1"), F.col("end_line").alias("o2"))
-    i = inner.select("file_path", F.col("id").alias("inner_id"), F.col("line").alias("i1"), F.col("end_line").alias("i2"))
-    hold = i.join(o, "file_path").filter("o1 <= i1 AND i2 <= o2 AND outer_id <> inner_id")
-    best = F.row_number().over(W.partitionBy("inner_id").orderBy(F.col("o2") - F.col("o1"), F.desc("o1"), "outer_id"))
-    return hold.withColumn("n", best).filter("n = 1").select("inner_id", "outer_id")
+    """For each inner row the innermost other outer row of the same file whose lines hold it: inner_id, outer_id.
+
+    Innermost: of fewest lines, then the latest start, then the least id. An outer row is put in the dyadic block of each size that
+    its start lies in; the starts up to an inner row's are a few such blocks, one for each bit of its line. In a block, rows go by
+    their ends from the last on, and an inner row gets the least of what came before, by scans whose chunks split large files. So
+    rows grow with the number of bits of a line, and no file's rows meet all in all. Rows without lines are in nothing.
+    """
+    o = outer.select("file_path", F.col("id").alias("outer_id"), F.col("line").cast("long").alias("o1"), F.col("end_line").cast("long").alias("o2")).filter("o1 >= 0 AND o2 IS NOT NULL").distinct()
+    i = inner.select("file_path", F.col("id").alias("inner_id"), F.col("line").cast("long").alias("i1"), F.col("end_line").cast("long").alias("i2")).filter("i1 >= 0 AND i2 IS NOT NULL")
+    bits = ((i.agg(F.max("i1")).first()[0] or 0) + 1).bit_length()
+    level = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level")
+    held = o.select("*", level).select("file_path", "level", F.expr("shiftright(o1, level)").alias("block"), (-F.col("o2")).alias("from_end"), F.lit(0).alias("kind"), "outer_id", F.lit(None).cast(i.schema["inner_id"].dataType).alias("inner_id"), F.struct((F.col("o2") - F.col("o1")).alias("lines"), (-F.col("o1")).alias("later"), "outer_id").alias("it"))
+    asked = i.select("*", level).filter("shiftright(i1 + 1, level) % 2 = 1").select("file_path", "level", F.expr("shiftright(i1 + 1, level) - 1").alias("block"), (-F.col("i2")).alias("from_end"), F.lit(1).alias("kind"), F.lit(None).cast(o.schema["outer_id"].dataType).alias("outer_id"), "inner_id", F.lit(None).cast(held.schema["it"].dataType).alias("it"))
+    order = ["from_end", "kind", "outer_id", "inner_id"]
+    both = scan.chunks(held.unionByName(asked), ["file_path", "level", "block"], order)
+    least = scan.totals(both, order, smallest=("least",), least=F.col("it"))
+    # the second least of a stream is the least of what each member or the least before it was, whichever is greater
+    prior = scan.shifted(least, order, prior=F.col("least"))
+    second = scan.totals(prior, order, smallest=("second",), second=F.when(F.col("prior").isNotNull() & F.col("it").isNotNull(), F.greatest("it", "prior")))
+    found = second.filter("kind = 1").select("inner_id", F.explode(F.array("least", "second")).alias("it")).filter("it IS NOT NULL AND it.outer_id <> inner_id")
+    return found.groupBy("inner_id").agg(F.min("it").alias("it")).select("inner_id", "it.outer_id")
 
 
 def distances(edges: DataFrame, starts: DataFrame, max_depth: int = 10, directed: bool = False, with_parent: bool = False) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
+from quillgraph.operators import scan
+
 # Points, seconds and seconds of blocking of the preset limiters.
 LIMITERS = {"auth_login": (5, 300, 900), "api_user": (1000, 3600, 3600), "search": (100, 60, 60), "file_ops": (50, 60, 120), "ip_general": (200, 60, 300)}
 
@@ -19,18 +21,28 @@ LIMITERS = {"auth_login": (5, 300, 900), "api_user": (1000, 3600, 3600), "search
 def moving_average(rows: DataFrame, by: str, order: list[str], value: str, old: float = 0.8, new: float = 0.2) -> DataFrame:
     """Per key the exponential average after its last row, from the first one's value.
 
-    Written as a weighted sum over ranks, so a key's rows are summed and not gathered in one row.
+    A chunk of rows is folded to its number and the average it adds; chunks are weighted by how many rows come after them. Only
+    the first row's value counts whole. So a key's rows may lie in many tasks.
     """
-    w = W.partitionBy(by)
-    ranked = rows.select(by, value, F.row_number().over(w.orderBy(*order)).alias("i"), F.count("*").over(w).alias("n"))
-    weight = F.pow(F.lit(old), F.col("n") - F.col("i")) * F.when(F.col("i") == 1, 1.0).otherwise(new)
-    return ranked.groupBy(by).agg(F.sum(F.col(value) * weight).alias("ema"), F.count("*").alias("n"))
+    held = scan.chunks(rows.select(by, *order, value), by, order)
+    w = W.partitionBy(scan.KEY, scan.CHUNK)
+    ranked = held.withColumn("__i", F.row_number().over(w.orderBy(*order))).withColumn("__n", F.count("*").over(w))
+    added = F.sum(F.col(value) * new * F.pow(F.lit(old), F.col("__n") - F.col("__i")))
+    parts = scan.summaries(ranked, added=added, n=F.count("*"), first=F.min_by(value, F.struct(*order)), key=F.first(by))
+    chunk = W.partitionBy(scan.KEY).orderBy(scan.CHUNK)
+    after = F.coalesce(F.sum("n").over(chunk.rowsBetween(1, W.unboundedFollowing)), F.lit(0))
+    start = F.when(F.row_number().over(chunk) == 1, F.col("first") * (1 - new) * F.pow(F.lit(old), F.col("n") - 1)).otherwise(0.0)
+    each = parts.withColumn("ema", (F.col("added") + start) * F.pow(F.lit(old), after))
+    return each.groupBy(F.col("key").alias(by)).agg(F.sum("ema").alias("ema"), F.sum("n").alias("n"))
 
 
 def running(rows: DataFrame, by: str, order: list[str], value: str, ok: str) -> DataFrame:
-    """rows with the mean of value and the share of ok up to each."""
-    w = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("running_mean", F.avg(value).over(w)).withColumn("success_rate", F.avg(F.col(ok).cast("double")).over(w))
+    """rows with the mean of value and the share of ok up to each, nulls left out; a key's rows may lie in many tasks."""
+    good = F.col(ok).cast("double")
+    one = lambda c: c.isNotNull().cast("long")
+    held = scan.totals(scan.chunks(rows, by, order), order, __s=F.col(value), __n=one(F.col(value)), __g=good, __m=one(good))
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
+    return scan.plain(held.withColumn("running_mean", share("__s", "__n")).withColumn("success_rate", share("__g", "__m"))).drop("__s", "__n", "__g", "__m")
 
 
 def sliding_limiter(calls: DataFrame, by: str, order: tuple[str, str], limit: int, window_s: float) -> DataFrame:
@@ -57,26 +69,29 @@ def sliding_limiter(calls: DataFrame, by: str, order: tuple[str, str], limit: in
 
 
 def block_limiter(calls: DataFrame, by: str, order: tuple[str, str], preset: str | tuple[int, int, int]) -> DataFrame:
-    """calls with `allowed`: windows from a key's first call with so many points; a call beyond blocks the key for a while."""
-    points, duration, block = LIMITERS[preset] if isinstance(preset, str) else preset
-
-    def new() -> Callable[[float], bool]:
-        start, used, until = None, 0, float("-inf")
-
-        def step(t: float) -> bool:
-            nonlocal start, used, until
-            if t < until:
-                return False
-            if start is None or t >= start + duration:
-                start, used = t, 0
-            used += 1
-            if used > points:
-                start, until = None, t + block
-            return used <= points
+    """calls with `allowed`: windows from a key's first call with so many points; a call beyond blocks the key for a while.
 
-        return step
-
-    return _in_order(calls, by, order, new)
+    order: the second and an id. Where a window begins, the next one's first call follows from that call alone: the first at or
+    after the window's end, or at or after the block that the call beyond the points begins. So every call points to another one,
+    and the calls that do begin windows are found by doubling these pointers. No key's calls are in one task.
+    """
+    points, duration, block = LIMITERS[preset] if isinstance(preset, str) else preset
+    second, ident = order
+    flat = calls.select(by, ident, F.col(second).cast("double").alias(second))
+    placed = scan.totals(scan.chunks(flat, by, [second, ident]), [second, ident], place=F.lit(1)).withColumn("t", F.col(second)).checkpoint()
+    beyond = placed.select(scan.KEY, (F.col("place") - points).alias("place"), F.col("t").alias("__over"))
+    window = placed.join(beyond, [scan.KEY, "place"], "left")
+    blocked = F.col("__over") < F.col("t") + duration
+    asked = window.select(scan.KEY, "place", F.when(blocked, F.col("__over") + block).otherwise(F.col("t") + duration).alias("t"))
+    # calls before a time, for all times at once: both sorted together, times first where they tie
+    both = asked.withColumn("kind", F.lit(0)).unionByName(placed.select(scan.KEY, "place", "t", F.lit(1).alias("kind")))
+    merged = scan.chunks(both.withColumnRenamed(scan.KEY, "__of"), "__of", ["t", "kind", "place"])
+    counted = scan.totals(merged, ["t", "kind", "place"], to=F.col("kind")).filter("kind = 0").select(F.col("__of").alias(scan.KEY), "place", (F.col("to") + 1).alias("to"))
+    pointers = counted.join(placed.select(scan.KEY, F.col("place").alias("to")), [scan.KEY, "to"], "left_semi")
+    starts = scan.reached(pointers, placed.filter("place = 1")).withColumn("__start", F.lit(True))
+    marked = placed.join(starts, [scan.KEY, "place"], "left")
+    last = scan.totals(marked, [second, ident], largest=("__last",), __last=F.when(F.col("__start"), F.col("place")))
+    return last.select(by, ident, second, (F.col("place") - F.col("__last") < points).alias("allowed"))
 
 
 def _in_order(calls: DataFrame, by: str, order: tuple[str, str], new: Callable[[], Callable[[float], bool]]) -> DataFrame:
@@ -119,11 +134,10 @@ def lru(entries: DataFrame, capacity: int, now_s: Column, ttl_s: int = 3600, buc
 
 def transitions(samples: DataFrame, by: str, order: list[str], triggered: Column) -> DataFrame:
     """The rows where triggered changes: `fired` on each rising edge and `resolved` on each falling one; off before the first."""
-    w = W.partitionBy(by).orderBy(*order)
-    now = samples.withColumn("triggered", F.coalesce(triggered, F.lit(False)))
-    was = F.coalesce(F.lag("triggered").over(w), F.lit(False))
+    now = scan.chunks(samples.withColumn("triggered", F.coalesce(triggered, F.lit(False))), by, order)
+    was = F.coalesce("__was", F.lit(False))
     edge = F.when(F.col("triggered") & ~was, "fired").when(~F.col("triggered") & was, "resolved")
-    return now.withColumn("transition", edge).filter("transition IS NOT NULL")
+    return scan.plain(scan.shifted(now, order, __was=F.col("triggered")).withColumn("transition", edge)).drop("__was").filter("transition IS NOT NULL")
 
 
 def trend(samples: DataFrame, by: str, second: str, value: str, now_s: Column, window_s: int = 300, stable: float = 1000.0) -> DataFrame:

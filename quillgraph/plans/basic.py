@@ -264,12 +264,13 @@ def _(t: Tables) -> DataFrame:
     return t.functions.select("id", S.mask(F.col("name")).alias("masked"), S.anonymous_ip(F.concat(F.lit("10.1."), "id", F.lit(".7"))).alias("ip"))
 
 
-@query("f12_encryption", "SELECT id, true AS same, true AS refused FROM @functions")
+@query("f12_encryption", "SELECT id, name, strlen(name) + 28 AS size, CAST(NULL AS VARCHAR) AS by_other_key, CAST(NULL AS VARCHAR) AS when_changed FROM @functions")
 def _(t: Tables) -> DataFrame:
-    key = S.derive_key("secret", b"salt", 1000)
-    other = S.derive_key("another", b"salt", 1000)
-    data = S.encrypt(F.col("name"), key)
-    return t.functions.select("id", (S.decrypt(data, key) == F.col("name")).alias("same"), S.decrypt(data, other).isNull().alias("refused"))
+    key, other = S.derive_key("secret", b"salt"), S.derive_key("another", b"salt")
+    data = F.col("sealed")
+    sealed = t.functions.select("id", S.encrypt(F.col("name"), key).alias("sealed"))
+    changed = F.concat(data, F.lit(b"x"))
+    return sealed.select("id", S.decrypt(data, key).alias("name"), F.octet_length(data).alias("size"), S.decrypt(data, other).alias("by_other_key"), S.decrypt(changed, key).alias("when_changed"))
 
 
 @query("f13_pii_fields", "SELECT id, CASE WHEN id % 2 = 0 THEN 'name,email' ELSE 'name' END AS fields FROM @functions")

@@ -172,10 +172,10 @@ def _(t: Tables) -> DataFrame:
     return one.select(code.overall_health(F.col("c"), F.lit(1), F.col("d"), F.lit(60)).alias("health"))
 
 
-@query("f19_content_hash", "SELECT id, true AS same FROM @functions")
+@query("f19_content_hash", """WITH h AS (SELECT id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(name, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM @functions)
+    SELECT id, lower(to_base(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END), 36)) AS hash FROM h""")
 def _(t: Tables) -> DataFrame:
-    fixed = T.hash36(F.lit("abc")) == "22ci"  # 96354 in base 36
-    return t.functions.select("id", (fixed & T.hash36(F.col("name")).rlike("^[0-9a-z]+$")).alias("same"))
+    return t.functions.select("id", T.hash36(F.col("name")).alias("hash"))
 
 
 @query("f21_status_and_issues", "SELECT severity, count(*) AS n FROM @issues GROUP BY severity")

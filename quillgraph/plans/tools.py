@@ -76,13 +76,13 @@ def issue_list(docs: DataFrame) -> DataFrame:
 
     rows = docs.select("path", F.posexplode(T.lines(F.col("content"))).alias("n", "x"))
     w = W.partitionBy("path").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    section = F.last(F.when(F.startswith("x", F.lit("## ")), F.trim(F.substring("x", 4, 500))), ignorenulls=True).over(w)
+    section = F.last(F.when(F.startswith("x", F.lit("## ")), F.trim(F.expr("substring(x, 4)"))), ignorenulls=True).over(w)
     issue = F.last(F.when(F.startswith("x", F.lit("### ")), F.col("n")), ignorenulls=True).over(w)
     marked = rows.withColumn("section", section).withColumn("issue", issue).filter("issue IS NOT NULL")
     low = F.lower("section")
     severity = F.when(low.rlike("critical|blocker"), "critical").when(low.rlike("high|security"), "high").when(F.contains(low, F.lit("medium")), "medium").otherwise("low")
     body = F.transform(F.array_sort(F.collect_list(F.when((F.trim("x") != "") & ~F.startswith("x", F.lit("#")), F.struct("n", "x")))), lambda s: s["x"])
-    return marked.groupBy("path", "issue").agg(F.max(F.when(F.col("n") == F.col("issue"), F.trim(F.substring("x", 5, 500)))).alias("title"), F.max(F.when(F.col("n") == F.col("issue"), severity)).alias("severity"), F.array_join(body, " ").alias("description"))
+    return marked.groupBy("path", "issue").agg(F.max(F.when(F.col("n") == F.col("issue"), F.trim(F.expr("substring(x, 5)")))).alias("title"), F.max(F.when(F.col("n") == F.col("issue"), severity)).alias("severity"), F.array_join(body, " ").alias("description"))
 
 
 #: Kinds of nodes that are code.

@@ -79,7 +79,7 @@ def split_parameters(text: str | None) -> list[str]:
 def parse_script(path: str, code: str) -> tuple[list[dict], list[tuple[str, str, str, int]]]:
     """Entities of TypeScript or JavaScript, and (source id, kind, name, line) of raw relationships."""
     plain, out, raw = blanked(code), [], []
-    doc = lambda at: (m[1].replace("*", " ").strip() if (m := DOC.search(code, max(0, at - 2000), at)) else None)
+    doc = lambda at: (m[1].replace("*", " ").strip() if (from_ := code.rfind("/**", 0, at)) >= 0 and (m := DOC.search(code, from_, at)) else None)
 
     def function(name: str, start: int, body: int, end: int, params: str | None, result: str | None, marks: str, parent: str | None) -> None:
         own = plain[body:end]

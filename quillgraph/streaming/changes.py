@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quillgraph.operators import scan
 from quillgraph.schemas import CHANGE
 
 
@@ -39,10 +40,11 @@ def debounce(changes: DataFrame, gap: str = "500 milliseconds", delay: str = "10
 
 
 def debounce_batch(changes: DataFrame, gap_s: float, by: list[str] | None = None) -> DataFrame:
-    """The same over a table, by gaps: burst number within the key, path, last change. No list of events is held."""
-    w = W.partitionBy(*(by or [])).orderBy("ts", "path")
-    apart = F.coalesce((F.col("ts").cast("double") - F.lag(F.col("ts").cast("double")).over(w) >= gap_s).cast("int"), F.lit(0))
-    numbered = changes.withColumn("apart", apart).withColumn("burst", F.sum("apart").over(w))
+    """The same over a table, by gaps: burst number within the key, path, last change. No list of events is held, and a key's (or, without one, all) events may lie in many tasks."""
+    order = ["ts", "path"]
+    held = scan.shifted(scan.chunks(changes, by or [F.lit(0)], order), order, __before=F.col("ts"))
+    apart = F.coalesce((F.col("ts").cast("double") - F.col("__before").cast("double") >= gap_s).cast("int"), F.lit(0))
+    numbered = scan.plain(scan.totals(held, order, burst=apart))
     return numbered.groupBy(*(by or []), "burst", "path").agg(F.max_by("change", F.struct("ts", "change")).alias("change"), F.count("*").alias("events"))
 
 

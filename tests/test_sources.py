@@ -130,3 +130,24 @@ def test_project_from_files_to_resolved_calls(spark, tmp_path):
     assert got["run"].split(":")[2] == "run" and got["lib.main"].split(":")[2] == "main"
     assert [(r["src"], r["dst"]) for r in code.file_dependencies(imports).collect()] == [("src/use.ts", "src/lib.ts")]
     ents.unpersist()
+
+
+def test_long_comments_and_titles_are_whole(spark):
+    from quillgraph.plans import tools
+    from quillgraph.sources import parse
+
+    comment = "word " * 2000
+    found, _ = parse.parse_script("a.ts", f"/** first */\nconst x = 1;\n/** {comment}*/\nfunction f(a) {{ return a }}\n")
+    assert [e["documentation"] for e in found if e["name"] == "f"] == [comment.strip()]
+    title = "t" * 700
+    docs = spark.createDataFrame([("a.md", f"## high {title}\n### {title}\nbody\n")], "path string, content string")
+    assert [(r["title"], r["severity"]) for r in tools.issue_list(docs).collect()] == [(title, "high")]
+
+
+def test_what_is_forgotten_has_no_bound(spark):
+    from quillgraph.operators import writes
+
+    nodes = spark.createDataFrame([(10_000_010,), (10_000_011,)], "id long")
+    edges = spark.createDataFrame([(10_000_010, 1), (1, 2)], "src long, dst long")
+    kept, links = writes.forget(nodes, edges, nodes.filter("id % 10 = 0"))
+    assert [r[0] for r in kept.collect()] == [10_000_011] and [tuple(r) for r in links.collect()] == [(1, 2)]

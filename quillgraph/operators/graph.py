@@ -132,6 +132,22 @@ def contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
     return found.groupBy("inner_id").agg(F.min("it").alias("it")).select("inner_id", "it.outer_id")
 
 
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+    """src, id, depth: for every start (a frame of id) all vertices that edges lead to in max_depth steps at most, by the fewest of at least one.
+
+    All starts go on together, a join by vertex a round; a pair of start and vertex is followed once.
+    """
+    links = keep(edges.select("src", "dst").distinct())
+    front = keep(starts.select(F.col("id").alias("src")).distinct().join(links, "src").select("src", F.col("dst").alias("id"), F.lit(1).alias("depth")))
+    rounds = [front]
+    for depth in range(2, max_depth + 1):
+        found = front.select(F.col("src").alias("from"), F.col("id").alias("src")).join(links, "src").select(F.col("from").alias("src"), F.col("dst").alias("id")).distinct()
+        seen = reduce(DataFrame.unionByName, rounds).select("src", "id")
+        front = keep(found.join(seen, ["src", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        rounds.append(front)
+    return reduce(DataFrame.unionByName, rounds)
+
+
 def distances(edges: DataFrame, starts: DataFrame, max_depth: int = 10, directed: bool = False, with_parent: bool = False) -> DataFrame:
     """id, depth (and parent) of every vertex within max_depth of a start (a frame of id); each vertex is expanded once.
 

@@ -175,11 +175,12 @@ def _(t: Tables) -> DataFrame:
     return graph.build_chain(t.items.filter("turn <> 1"), ["turn"], partition=["session"]).select("src", "dst", "edge_type")
 
 
-@query("j34_deep_calls", """WITH RECURSIVE x AS (SELECT DISTINCT src, dst FROM @edges WHERE edge_type = 'CALLS'), r AS (SELECT src, dst AS id, 1 AS depth FROM x WHERE src = 1 UNION SELECT r.src, x.dst, r.depth + 1 FROM r JOIN x ON x.src = r.id WHERE r.depth < 4), d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
-    SELECT d.id, d.depth, f.complexity FROM d JOIN @functions f ON f.id = d.id WHERE d.depth BETWEEN 2 AND 4 AND f.complexity > 10 AND d.id <> 1 ORDER BY d.depth DESC, f.complexity DESC, d.id LIMIT 50""")
+@query("j34_deep_calls", """WITH RECURSIVE x AS (SELECT DISTINCT src, dst FROM @edges WHERE edge_type = 'CALLS'), r AS (SELECT src, dst AS id, 1 AS depth FROM x WHERE src IN (SELECT id FROM @functions WHERE complexity > 10) UNION SELECT r.src, x.dst, r.depth + 1 FROM r JOIN x ON x.src = r.id WHERE r.depth < 4), d AS (SELECT src, id, min(depth) AS depth FROM r GROUP BY src, id)
+    SELECT d.src, d.id, d.depth FROM d WHERE d.depth BETWEEN 2 AND 4 AND d.id IN (SELECT id FROM @functions) ORDER BY d.depth DESC, d.src, d.id LIMIT 50""")
 def _(t: Tables) -> DataFrame:
-    reach = graph.distances(t.edges.filter("edge_type = 'CALLS'"), t.spark.createDataFrame([(1,)], "id long"), 4, directed=True).filter("depth BETWEEN 2 AND 4")
-    return reach.join(t.functions.select("id", "complexity"), "id").filter("complexity > 10").orderBy(F.desc("depth"), F.desc("complexity"), "id").limit(50)
+    starts = t.functions.filter("complexity > 10").select("id")
+    found = graph.reach(t.edges.filter("edge_type = 'CALLS'"), starts, 4).filter("depth BETWEEN 2 AND 4")
+    return found.join(t.functions.select("id"), "id", "left_semi").orderBy(F.desc("depth"), "src", "id").limit(50).select("src", "id", "depth")
 
 
 @query("j24_create_edges", "SELECT DISTINCT e.src, e.dst, e.edge_type FROM @edges e WHERE e.src IN (SELECT id FROM @nodes) AND e.dst IN (SELECT id FROM @nodes)")

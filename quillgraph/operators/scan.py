@@ -80,7 +80,7 @@ def reached(pointers: DataFrame, starts: DataFrame) -> DataFrame:
     longest way and no key's places are in one task. A null `to` ends a way.
     """
     shared_dir(pointers.sparkSession)
-    step = pointers.filter("to IS NOT NULL").select(KEY, "place", "to").checkpoint()
+    step = pointers.filter("to > place").select(KEY, "place", "to").checkpoint()
     found = starts.select(KEY, "place").checkpoint()
     while not step.isEmpty():
         more = found.join(step, [KEY, "place"]).select(KEY, F.col("to").alias("place"))

@@ -82,11 +82,12 @@ def block_limiter(calls: DataFrame, by: str, order: tuple[str, str], preset: str
     beyond = placed.select(scan.KEY, (F.col("place") - points).alias("place"), F.col("t").alias("__over"))
     window = placed.join(beyond, [scan.KEY, "place"], "left")
     blocked = F.col("__over") < F.col("t") + duration
-    asked = window.select(scan.KEY, "place", F.when(blocked, F.col("__over") + block).otherwise(F.col("t") + duration).alias("t"))
+    soonest = F.col("place") + F.when(blocked, points + 1).otherwise(1)  # behind the call that begins the block, though it be of no length
+    asked = window.select(scan.KEY, "place", F.when(blocked, F.col("__over") + block).otherwise(F.col("t") + duration).alias("t"), soonest.alias("soonest"))
     # calls before a time, for all times at once: both sorted together, times first where they tie
-    both = asked.withColumn("kind", F.lit(0)).unionByName(placed.select(scan.KEY, "place", "t", F.lit(1).alias("kind")))
+    both = asked.withColumn("kind", F.lit(0)).unionByName(placed.select(scan.KEY, "place", "t", F.lit(None).cast("long").alias("soonest"), F.lit(1).alias("kind")))
     merged = scan.chunks(both.withColumnRenamed(scan.KEY, "__of"), "__of", ["t", "kind", "place"])
-    counted = scan.totals(merged, ["t", "kind", "place"], to=F.col("kind")).filter("kind = 0").select(F.col("__of").alias(scan.KEY), "place", (F.col("to") + 1).alias("to"))
+    counted = scan.totals(merged, ["t", "kind", "place"], to=F.col("kind")).filter("kind = 0").select(F.col("__of").alias(scan.KEY), "place", F.greatest(F.col("to") + 1, "soonest").alias("to"))
     pointers = counted.join(placed.select(scan.KEY, F.col("place").alias("to")), [scan.KEY, "to"], "left_semi")
     starts = scan.reached(pointers, placed.filter("place = 1")).withColumn("__start", F.lit(True))
     marked = placed.join(starts, [scan.KEY, "place"], "left")

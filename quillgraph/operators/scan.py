@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from quillgraph.session import shared_dir
 
-KEY, CHUNK = "__key", "__chunk"
+KEY, CHUNK, END = "__key", "__chunk", "__end"
 
 
 def chunks(rows: DataFrame, by: str | list[str], order: list) -> DataFrame:
@@ -28,7 +28,18 @@ def chunks(rows: DataFrame, by: str | list[str], order: list) -> DataFrame:
 
 def plain(chunked: DataFrame) -> DataFrame:
     """Without the columns that chunks adds."""
-    return chunked.drop(KEY, CHUNK)
+    return chunked.drop(KEY, CHUNK, END)
+
+
+def ended(chunked: DataFrame) -> DataFrame:
+    """chunked with END: whether a row's key is the least or the greatest of its chunk. No other key can lie in two chunks.
+
+    So summaries are made of two keys a chunk, whatever the number of keys, and are few enough to be broadcast.
+    """
+    if END in chunked.columns:
+        return chunked
+    bounds = chunked.groupBy(CHUNK).agg(F.min(KEY).alias("__least"), F.max(KEY).alias("__most"))
+    return chunked.join(F.broadcast(bounds), CHUNK).withColumn(END, (F.col(KEY) == F.col("__least")) | (F.col(KEY) == F.col("__most"))).drop("__least", "__most")
 
 
 def summaries(chunked: DataFrame, **folds: Column) -> DataFrame:
@@ -47,11 +58,11 @@ def totals(chunked: DataFrame, order: list, largest: tuple[str, ...] = (), small
 
     Nulls count for nothing; a sum of nothing is 0 and a maximum or minimum of nothing null.
     """
-    w = W.partitionBy(KEY, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(KEY, CHUNK, END).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)  # with END, so that filters on it go below
     fold = {n: F.max if n in largest else F.min if n in smallest else F.sum for n in values}
-    held = chunked.select("*", *(v.alias(f"__v_{n}") for n, v in values.items()))
-    earlier = before(summaries(held, **{n: fold[n](f"__v_{n}") for n in values}), **{f"__b_{n}": fold[n](n) for n in values})
-    out = held.join(earlier, [KEY, CHUNK])
+    held = ended(chunked).select("*", *(v.alias(f"__v_{n}") for n, v in values.items()))
+    earlier = before(summaries(held.filter(END), **{n: fold[n](f"__v_{n}") for n in values}), **{f"__b_{n}": fold[n](n) for n in values})
+    out = held.join(F.broadcast(earlier), [KEY, CHUNK], "left")
     for n in values:
         own, old = fold[n](f"__v_{n}").over(w), F.col(f"__b_{n}")
         pick = F.greatest if n in largest else F.least
@@ -64,12 +75,13 @@ def shifted(chunked: DataFrame, order: list, **values: Column) -> DataFrame:
 
     order: names of columns.
     """
-    w = W.partitionBy(KEY, CHUNK).orderBy(*order)
+    chunked = ended(chunked)
+    w = W.partitionBy(KEY, CHUNK, END).orderBy(*order)
     one = F.struct(*(v.alias(n) for n, v in values.items()))
     held = chunked.withColumn("__one", one)
-    last = summaries(held, last=F.max_by("__one", F.struct(*order)))
+    last = summaries(held.filter(END), last=F.max_by("__one", F.struct(*order)))
     earlier = last.select(KEY, CHUNK, F.lag("last").over(W.partitionBy(KEY).orderBy(CHUNK)).alias("__last"))
-    out = held.join(earlier, [KEY, CHUNK]).withColumn("__was", F.when(F.row_number().over(w) == 1, F.col("__last")).otherwise(F.lag("__one").over(w)))
+    out = held.join(F.broadcast(earlier), [KEY, CHUNK], "left").withColumn("__was", F.when(F.row_number().over(w) == 1, F.col("__last")).otherwise(F.lag("__one").over(w)))
     return out.select(*chunked.columns, *(F.col("__was")[n].alias(n) for n in values))
 
 

@@ -240,7 +240,7 @@ def sources(t: Tables) -> DataFrame:
         F.lit("import { Base } from './base';\n/** Makes things. */\nexport class K"), "id", F.lit(" extends Base implements Shape {\n  private static one: number = 1;\n  constructor(private a: Base) { this.make(a); }\n  async make(x: Base, y: number): Promise<void> {\n"),
         F.repeat(F.lit("    if (x && y) { run(x); }\n"), (F.col("complexity") % 5).cast("int")), F.lit("  }\n}\nexport function run(x: Base): void {\n  console.log(x);\n}\n"),
     )
-    return t.functions.select(F.concat(F.lit("src/k"), "id", F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), body.alias("content"), "id", "complexity")
+    return parse.spread(t.functions.select("id", "complexity"), "id").select(F.concat(F.lit("src/k"), "id", F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), body.alias("content"), "id", "complexity")
 
 
 @query("n01_n05_entities", "SELECT k AS entity_type, count(*) * n AS n FROM @functions, (VALUES ('Class', 1), ('Function', 3), ('Variable', 1), ('Import', 1), ('Export', 2)) v(k, n) GROUP BY k, n")
@@ -266,7 +266,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("n08_inheritance", "SELECT concat('K', id) AS src, 'INHERITS' AS rel_type FROM @functions UNION ALL SELECT concat('K', id), 'IMPLEMENTS' FROM @functions")
 def _(t: Tables) -> DataFrame:
-    found = parse.entities(sources(t))
+    found = graph.keep(parse.entities(sources(t)).filter(F.col("entity_type").isin(*code.TYPES)).select("id", "file_path", "entity_type", "name", "extends", "implements"))
     extra = found.filter("entity_type = 'Class'").limit(1).withColumns({"name": F.lit("Base"), "id": F.lit("base"), "extends": F.lit(None).cast("string"), "implements": F.array().cast("array<string>")})
     shape = extra.withColumns({"name": F.lit("Shape"), "id": F.lit("shape"), "entity_type": F.lit("Interface")})
     return code.resolve_inheritance(found.unionByName(extra).unionByName(shape)).select(F.regexp_extract("src", r":(K\d+):", 1).alias("src"), "rel_type")
@@ -274,14 +274,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("n09_containment", "SELECT concat('src/k', id, '.ts') AS file_path, 2 AS methods FROM @functions")
 def _(t: Tables) -> DataFrame:
-    found = parse.entities(sources(t))
+    found = graph.keep(parse.entities(sources(t)).filter("entity_type IN ('Class', 'Function')").select("id", "file_path", "entity_type", "line", "end_line"))
     inside = graph.contained(found.filter("entity_type = 'Class'"), found.filter("entity_type = 'Function'"))
-    return inside.join(found.select(F.col("id").alias("inner_id"), "file_path"), "inner_id").groupBy("file_path").agg(F.count("*").cast("int").alias("methods"))
+    return inside.join(found.select(F.col("id").alias("inner_id"), "file_path").hint("merge"), "inner_id").groupBy("file_path").agg(F.count("*").cast("int").alias("methods"))
 
 
 @query("j22_type_usage", "SELECT concat('src/k', id, '.ts') AS file_path, 3 AS uses FROM @functions")
 def _(t: Tables) -> DataFrame:
-    found = graph.keep(parse.entities(sources(t)))
+    found = graph.keep(parse.entities(sources(t)).filter(F.col("entity_type").isin("Function", *code.TYPES)).select("id", "file_path", "entity_type", "name", "signature"))
     base = found.filter("entity_type = 'Class'").limit(1).withColumns({"name": F.lit("Base"), "id": F.lit("base")})
     uses = code.resolve_types(found.unionByName(base)).filter("dst = 'base'")
-    return uses.join(found.select(F.col("id").alias("src"), "file_path"), "src").groupBy("file_path").agg(F.count("*").cast("int").alias("uses"))
+    return uses.join(found.select(F.col("id").alias("src"), "file_path").hint("merge"), "src").groupBy("file_path").agg(F.count("*").cast("int").alias("uses"))

@@ -200,7 +200,7 @@ def kinds_of_source(t: Tables) -> DataFrame:
     for i, (name, end, text) in enumerate(TEMPLATES):
         here = F.col("id") % len(TEMPLATES) == i
         body, language, ending = F.when(here, F.replace(F.lit(text), F.lit("@"), F.col("id").cast("string"))).otherwise(body), F.when(here, name).otherwise(language), F.when(here, end).otherwise(ending)
-    return t.functions.select(F.concat(F.lit("src/"), "id", F.lit("."), ending).alias("path"), language.alias("language"), body.alias("content"))
+    return parse.spread(t.functions.select("id"), "id").select(F.concat(F.lit("src/"), "id", F.lit("."), ending).alias("path"), language.alias("language"), body.alias("content"))
 
 
 _VALUES = ", ".join(f"({i}, '{kind}', '{name}')" for i, kind, name in EXPECTED)

@@ -107,7 +107,7 @@ def compile_(intent: Intent, g: Graph) -> DataFrame:
         case "dependencies":
             return g.edges.filter("edge_type = 'IMPORTS'").join(named(g.modules).select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct().orderBy("id").limit(intent.limit)
         case "duplicates":
-            return graph.same_signature(f).orderBy(F.desc("line_count1"), "id1", "id2").limit(intent.limit)
+            return graph.first_same_signature(f, intent.limit)
         case "security":
             return code.security_scan(g.entities if g.entities is not None else f.withColumn("content", F.col("name"))).orderBy("id", "spot").limit(intent.limit)
         case "hotspots":

@@ -324,15 +324,25 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, exports: DataFrame) -> D
     return out.select("id", "file_path", "callee", F.coalesce("direct", "through").alias("entity_id"))
 
 
+#: Kinds of entities that are types, and how many names lookup takes as frequent.
+TYPES, FREQUENT = ("Class", "Interface", "Type"), 1000
+
+
 def lookup(uses: DataFrame, entities: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """uses (id, file_path, name) with entity_id: of that name in the same file, else the first anywhere by id.
 
-    The second is one entity for each name, so a frequent name isn't joined to all of its bearers.
+    The second is one entity for each name, so a frequent name isn't joined to all of its bearers; it is broadcast for the FREQUENT
+    names with most uses, as one task would get all of a name's. The rest is joined by key: what a parser yields is much more than
+    Spark estimates from the table that was parsed, and would be broadcast whole.
     """
     named = entities.filter(F.col("entity_type").isin(*kinds)) if kinds else entities
     here = named.groupBy("file_path", "name").agg(F.min("id").alias("here"))
     anywhere = named.groupBy("name").agg(F.min("id").alias("anywhere"))
-    return uses.join(here, ["file_path", "name"], "left").join(anywhere, "name", "left").select(*uses.columns, F.coalesce("here", "anywhere").alias("entity_id"))
+    often = uses.groupBy("name").agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "name").limit(FREQUENT).select("name")
+    tried = uses.join(here.hint("merge"), ["file_path", "name"], "left")
+    frequent = tried.join(F.broadcast(anywhere.join(F.broadcast(often), "name", "right")), "name")
+    others = tried.join(F.broadcast(often), "name", "left_anti").join(anywhere.hint("merge"), "name", "left")
+    return frequent.unionByName(others).select(*uses.columns, F.coalesce("here", "anywhere").alias("entity_id"))
 
 
 def resolve_inheritance(entities: DataFrame) -> DataFrame:
@@ -340,14 +350,14 @@ def resolve_inheritance(entities: DataFrame) -> DataFrame:
     base = of(entities, "Class")
     up = base.filter("extends IS NOT NULL").select(F.col("id").alias("src"), "file_path", F.col("extends").alias("name"), F.lit("INHERITS").alias("rel_type"))
     does = base.select(F.col("id").alias("src"), "file_path", F.explode("implements").alias("name"), F.lit("IMPLEMENTS").alias("rel_type"))
-    found = lookup(up.unionByName(does).withColumnRenamed("src", "id"), entities, ("Class", "Interface", "Type"))
+    found = lookup(up.unionByName(does).withColumnRenamed("src", "id"), entities, TYPES)
     return found.filter("entity_id IS NOT NULL").select(F.col("id").alias("src"), F.col("entity_id").alias("dst"), "rel_type")
 
 
 def resolve_types(entities: DataFrame) -> DataFrame:
     """USES edges from functions to the types in their signatures."""
     uses = of(entities, "Function").select("id", "file_path", F.explode(F.array_distinct(T.types_in(F.col("signature")))).alias("name"))
-    return lookup(uses, entities, ("Class", "Interface", "Type")).filter("entity_id IS NOT NULL").select(F.col("id").alias("src"), F.col("entity_id").alias("dst"), F.lit("USES").alias("rel_type"))
+    return lookup(uses, entities, TYPES).filter("entity_id IS NOT NULL").select(F.col("id").alias("src"), F.col("entity_id").alias("dst"), F.lit("USES").alias("rel_type"))
 
 
 def placeholders(names: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ each vertex once. Frontiers are cut by checkpoints in the folder that the sessio
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,32 +256,73 @@ def hierarchy(edges: DataFrame, start, edge_type: str = "EXTENDS", max_depth: in
     return up.unionByName(down).unionByName(one.select("id", F.lit(0).alias("depth"), F.lit("self").alias("direction")))
 
 
+#: Walks of half a cycle that a round of cycles has about, and the most rounds.
+WALKS, ROUNDS = 4_000_000, 64
+
+
 def cycles(edges: DataFrame, min_length: int = 3, max_length: int = 5, limit: int | None = 20) -> DataFrame:
     """Simple directed cycles once each, from their least vertex: cycle (array), length; shortest first.
 
     A cycle is met in the middle: a walk ahead of its least vertex and one that ends there, both over vertices above it, so
-    walks have half a cycle's edges at most. With a limit, longer cycles are only looked for while shorter ones don't fill it.
+    walks have half a cycle's edges at most. Walks are not kept: least vertices are dealt over rounds of about WALKS walks, a
+    round keeps the cycles it found, and its shuffles go when it ends. With a limit, longer cycles are only looked for while
+    shorter ones don't fill it.
     """
     links = keep(edges.filter("src <> dst").select("src", "dst").distinct())
-    ahead = keep(links.filter("src < dst").select(F.col("src").alias("start"), F.array("src", "dst").alias("walk"), F.col("dst").alias("at")))
-    back = keep(links.filter("dst < src").select(F.col("dst").alias("start"), F.array("src").alias("tail"), F.col("src").alias("at")))
-    out, found = None, 0
-    for length in range(2, max_length + 1):
-        if length > 2 and length % 2:
-            grown = ahead.join(links.withColumnRenamed("src", "at"), "at").filter((F.col("dst") > F.col("start")) & ~F.array_contains("walk", F.col("dst")))
-            ahead = keep(grown.select("start", F.concat("walk", F.array("dst")).alias("walk"), F.col("dst").alias("at")))
-        elif length > 2:
-            grown = back.join(links.withColumnRenamed("dst", "at"), "at").filter((F.col("src") > F.col("start")) & ~F.array_contains("tail", F.col("src")))
-            back = keep(grown.select("start", F.concat(F.array("src"), "tail").alias("tail"), F.col("src").alias("at")))
-        if length >= min_length:
-            apart = ~F.arrays_overlap(F.slice("walk", 2, (length + 1) // 2 - 1), F.slice("tail", 2, length // 2 - 1))
-            closed = ahead.join(back, ["start", "at"]).filter(apart).select(F.concat("walk", F.slice("tail", 2, length // 2 - 1)).alias("cycle"), F.lit(length).alias("length"))
-            closed = keep(closed) if limit else closed
-            out = closed if out is None else out.unionByName(closed)
-            found += closed.count() if limit else 0
-            if limit and found >= limit:
-                break
-    return out.orderBy("length", "cycle").limit(limit) if limit else out
+    kind = links.schema["src"].dataType.simpleString()
+    out = [edges.sparkSession.createDataFrame([], f"cycle array<{kind}>, length int")]
+    found = 0
+    for lengths in [[n] for n in range(min_length, max_length + 1)] if limit else [range(min_length, max_length + 1)]:
+        rounds = cycle_rounds(links, lengths)
+        out += rounds
+        found += sum(r.count() for r in rounds) if limit else 0
+        if limit and found >= limit:
+            break
+    every = reduce(DataFrame.unionByName, out)
+    return every.orderBy("length", "cycle").limit(limit) if limit else every
+
+
+def cycle_rounds(links: DataFrame, lengths: Iterable[int]) -> list[DataFrame]:
+    """The simple cycles of the given lengths, by rounds that are kept one after the other."""
+    spark, longest = links.sparkSession, max(lengths, default=0)
+    step = links.select(F.col("src").alias("from"), F.col("dst").alias("to"))
+    walks = links.select(F.col("dst").alias("from"), F.lit(1.0).alias("n"))
+    for _ in range((longest + 1) // 2 - 1):  # how many walks end in each vertex
+        walks = walks.groupBy("from").agg(F.sum("n").alias("n")).join(step, "from").select(F.col("to").alias("from"), "n")
+    half = (longest + 1) // 2 + 1
+    rounds = min(ROUNDS, max(1, ceil((walks.agg(F.sum("n")).first()[0] or 0) / half / WALKS)))  # one vertex of each walk is its least
+    out, setting = [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    for r in range(rounds):
+        mine = lambda end: F.pmod(F.xxhash64(end), F.lit(rounds)) == r  # noqa: B023, E731
+        ahead = {1: links.filter((F.col("src") < F.col("dst")) & mine("src")).select(F.col("src").alias("start"), F.col("dst").alias("at"))}
+        back = {1: links.filter((F.col("dst") < F.col("src")) & mine("dst")).select(F.col("dst").alias("start"), F.col("src").alias("at"))}
+        for n in range(2, (longest + 1) // 2 + 1):
+            ahead[n] = longer(ahead[n - 1], step, "a", n)
+            back[n] = longer(back[n - 1], step.select(F.col("to").alias("from"), F.col("from").alias("to")), "b", n)
+        closed = []
+        for length in lengths:
+            one, two = [f"a{i}" for i in range(1, (length + 1) // 2)], [f"b{i}" for i in range(1, length // 2)]
+            apart = [F.col(x) != F.col(y) for x in one for y in two]
+            both = ahead[len(one) + 1].join(back[len(two) + 1], ["start", "at"])
+            both = both.filter(reduce(Column.__and__, apart)) if apart else both
+            closed.append(both.select(F.array("start", *one, "at", *two[::-1]).alias("cycle"), F.lit(length).alias("length")))
+        if closed:
+            spark.conf.set(setting, "true")
+            try:
+                out.append(keep(reduce(DataFrame.unionByName, closed)))
+            finally:
+                spark.conf.set(setting, before)
+    return out
+
+
+def longer(walks: DataFrame, step: DataFrame, name: str, n: int) -> DataFrame:
+    """walks (start, the vertices between, at) with one edge more, simple and over vertices above start."""
+    between = [f"{name}{i}" for i in range(1, n)]
+    grown = walks.withColumnRenamed("at", between[-1]).join(step, F.col(between[-1]) == F.col("from")).filter(F.col("to") > F.col("start"))
+    for c in between[:-1]:
+        grown = grown.filter(F.col("to") != F.col(c))
+    return grown.select("start", *between, F.col("to").alias("at"))
 
 
 def in_cycles(edges: DataFrame) -> DataFrame:

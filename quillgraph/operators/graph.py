@@ -181,6 +181,30 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     return reduce(DataFrame.unionByName, rounds)
 
 
+#: Starts of the first and the second round of first_reached; a third has the rest.
+STARTS = (1_000, 100_000)
+
+
+def first_reached(edges: DataFrame, starts: DataFrame, ends: DataFrame, min_depth: int, max_depth: int, limit: int) -> DataFrame:
+    """The first rows of reach that end in ends (a frame of id), from min_depth on, by depth (deepest first), src and id, without the others.
+
+    Rows of one depth go by src, so the least starts with enough rows at the greatest depth hold the first ones. Starts are taken
+    in their order, more each round, until these rows are found or no start is left.
+    """
+    links = keep(edges.select("src", "dst").distinct())
+    todo, taken = keep(starts.select("id").distinct().join(links.select(F.col("src").alias("id")), "id", "left_semi")), []
+    for most in (*STARTS, None):
+        last = todo.orderBy("id").limit(most).agg(F.max("id")).first()[0] if most else None
+        now = todo.filter(F.col("id") <= F.lit(last)) if most else todo
+        found = reach(links, now, max_depth).filter(F.col("depth") >= min_depth).join(ends.select("id"), "id", "left_semi")
+        taken.append(keep(found.orderBy(F.desc("depth"), "src", "id").limit(limit)))
+        first = reduce(DataFrame.unionByName, taken).orderBy(F.desc("depth"), "src", "id").limit(limit).select("src", "id", "depth")
+        todo = todo.filter(F.col("id") > F.lit(last))
+        if first.filter(F.col("depth") == max_depth).count() == limit or todo.isEmpty():
+            break
+    return first
+
+
 def distances(edges: DataFrame, starts: DataFrame, max_depth: int = 10, directed: bool = False, with_parent: bool = False) -> DataFrame:
     """id, depth (and parent) of every vertex within max_depth of a start (a frame of id); each vertex is expanded once.
 

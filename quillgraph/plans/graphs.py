@@ -179,8 +179,7 @@ def _(t: Tables) -> DataFrame:
     SELECT d.src, d.id, d.depth FROM d WHERE d.depth BETWEEN 2 AND 4 AND d.id IN (SELECT id FROM @functions) ORDER BY d.depth DESC, d.src, d.id LIMIT 50""")
 def _(t: Tables) -> DataFrame:
     starts = t.functions.filter("complexity > 10").select("id")
-    found = graph.reach(t.edges.filter("edge_type = 'CALLS'"), starts, 4).filter("depth BETWEEN 2 AND 4")
-    return found.join(t.functions.select("id"), "id", "left_semi").orderBy(F.desc("depth"), "src", "id").limit(50).select("src", "id", "depth")
+    return graph.first_reached(t.edges.filter("edge_type = 'CALLS'"), starts, t.functions, 2, 4, 50)
 
 
 @query("j24_create_edges", "SELECT DISTINCT e.src, e.dst, e.edge_type FROM @edges e WHERE e.src IN (SELECT id FROM @nodes) AND e.dst IN (SELECT id FROM @nodes)")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
-from quillgraph.operators import code, graph, ranking, search
+from quillgraph.operators import blocks, code, graph, ranking, search
 from quillgraph.plans.basic import r6
 from quillgraph.plans.domain import Tables
 from quillgraph.plans.registry import query
@@ -203,12 +203,7 @@ def _(t: Tables) -> DataFrame:
 @query("j27_similar_edges", """WITH p AS (SELECT a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 7) DESC, b.id) AS n FROM @vectors a JOIN @vectors b ON a.id <> b.id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3)
     SELECT src, dst, 0.7e0 AS weight FROM p WHERE n <= 5""")
 def _(t: Tables) -> DataFrame:
-    from quillgraph.operators.windows import W
-
-    both = ranking.similar_pairs(t.vectors, 0.3)
-    ends = both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "similarity").unionByName(both.select(F.col("b").alias("src"), F.col("a").alias("dst"), "similarity"))
-    n = F.row_number().over(W.partitionBy("src").orderBy(F.desc(F.round("similarity", 7)), "dst"))
-    return ends.withColumn("n", n).filter("n <= 5").select("src", "dst", F.lit(0.7).alias("weight"))
+    return blocks.nearest(t.vectors.filter("embedding IS NOT NULL"), "id", "embedding", 0.3, 5).withColumn("weight", F.lit(0.7))
 
 
 @query("j29_strategy", "SELECT dst AS id, count(DISTINCT src) AS n FROM @edges WHERE edge_type = 'IMPLEMENTS' GROUP BY dst HAVING count(DISTINCT src) >= 2")

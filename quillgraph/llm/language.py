@@ -13,8 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,21 +31,67 @@ GRAMS = (2, 3, 4)
 KNOWN = 1 << 20
 #: Rows of each language that are learned from, about, and of all together; the most frequent languages are learned, so many.
 SAMPLE, ROWS, LANGUAGES = 1500, 12_000, 200
-#: Distinct n-grams of a row that are learned from, drawn from its whole text: 8 bytes each, so a sample has under 400 MB.
+#: Distinct n-grams of a row that are learned from, drawn from its whole text: 8 bytes each, so a sample has under 400 MB. They come packed, in less than a third of it.
 DRAWN = 4096
 #: Bound of each weight, so that logits are at most DIMENSIONS times its square. Letters above which a word isn't cached.
 WEIGHT, LONG = 4.0, 78
 UNKNOWN = "und"
 #: Share of rows with a right prediction that each bound of rejection may take, about.
 WRONGED = 0.0002
-#: Words after which the table of their logits starts anew.
-CACHE = 450_000
-
-
-def subwords(word: str) -> array:
+#: Words after which the table of their logits starts anew. Letters and bounds that are hashed at once, about.
+CACHE, AT_ONCE = 450_000, 1 << 15
+#: CRC-32 of each byte, as zlib has it.
+CRC = np.array([zlib.crc32(bytes([i])) ^ 0xFF000000 for i in range(256)], np.uint32)[np.arange(256) ^ 0xFF]
+
+
+def crc_of_next(crc: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Each CRC-32 (before its last inversion) carried on over the UTF-8 bytes of a letter."""
+    step = lambda crc, byte: CRC[(crc ^ byte) & 0xFF] ^ (crc >> 8)
+    if not len(letters) or letters.max() < 0x80:
+        return step(crc, letters)
+    size = 1 + (letters >= 0x80) + (letters >= 0x800) + (letters >= 0x10000)
+    crc = step(crc, np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[size] | letters >> (6 * (size - 1)).astype(np.uint32))
+    for left in (3, 2, 1):
+        at = np.flatnonzero(size > left)
+        crc[at] = step(crc[at], 0x80 | letters[at] >> np.uint32(6 * left - 6) & 0x3F)
+    return crc
+
+
+def hashes_of(words: Collection[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of whole words, word by word, and where each word's begin: crc32 of an n-gram's UTF-8."""
+    letters = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "replace"), np.uint32)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    grams = [np.maximum(0, size - n + 1) for n in GRAMS]
+    total = sum(grams)
+    begins = np.cumsum(total) - total
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(size) - size, size)
+    left, out, before = np.repeat(size, size) - place, np.empty(int(total.sum()), np.uint32), begins
+    crc = np.full(len(letters), 0xFFFFFFFF, np.uint32)
+    for n in range(1, max(GRAMS) + 1):
+        crc = crc_of_next(crc[: len(letters) - n + 1], letters[n - 1 :])
+        if n in GRAMS:
+            at = np.flatnonzero(left[: len(crc)] >= n)
+            out[np.repeat(before, size)[at] + place[at]] = ~crc[at] & (KNOWN - 1)
+            before = before + grams[GRAMS.index(n)]
+    return out, begins
+
+
+def portions(words: Collection[str]) -> Iterator[list[str]]:
+    """The words, about AT_ONCE letters at a time."""
+    part, size = [], 0
+    for w in words:
+        part.append(w)
+        size += len(w) + 2
+        if size >= AT_ONCE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def subwords(word: str) -> np.ndarray:
     """Hashes of the whole word's n-grams."""
-    w = f"<{word}>"
-    return array("I", (zlib.crc32(w[i : i + n].encode("utf-8", "replace")) & (KNOWN - 1) for n in GRAMS for i in range(len(w) - n + 1)))
+    return hashes_of([word])[0]
 
 
 @dataclass
@@ -64,22 +109,46 @@ class Model:
         return (self.known[hashes >> 3] >> (hashes & 7)) & 1 == 0
 
 
-def bag(text: str, known: dict[str, array]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of distinct n-grams of a text and each one's share; of more than DRAWN, those that come first by another hash."""
-    found = array("I")
-    for w in WORD.findall(text.lower()):
-        if len(w) > LONG:
-            found += subwords(w)
-            continue
-        if w not in known:
-            known[w] = subwords(w)
-        found += known[w]
-    ids, n = np.unique(np.frombuffer(found, np.uint32) if found else np.zeros(0, np.uint32), return_counts=True)
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of distinct n-grams of a text and each one's number; of more than DRAWN, those that come first by another hash."""
+    parts = portions(WORD.findall(text.lower()))
+    ids, n = np.unique(hashes_of(next(parts, []))[0], return_counts=True)
+    if (more := next(parts, None)) is not None:
+        found = np.zeros(KNOWN, np.int64)
+        found[ids] = n
+        while more is not None:
+            ids, n = np.unique(hashes_of(more)[0], return_counts=True)
+            found[ids] += n
+            more = next(parts, None)
+        ids = np.flatnonzero(found).astype(np.uint32)
+        n = found[ids]
     if len(ids) > DRAWN:
         rank = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(zlib.crc32(text.encode("utf-8", "replace")))) * np.uint64(0xBF58476D1CE4E5B9)
         drawn = np.sort(np.argpartition(rank >> np.uint64(32), DRAWN)[:DRAWN])
         ids, n = ids[drawn], n[drawn]
-    return ids, (n / max(1, n.sum())).astype(np.float32)
+    return ids, n
+
+
+def shares(n: np.ndarray) -> np.ndarray:
+    return (n / max(1, n.sum())).astype(np.float32)
+
+
+def bag(text: str, known: object = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of distinct n-grams of a text, at most DRAWN, and each one's share."""
+    ids, n = counted(text)
+    return ids, shares(n)
+
+
+def packed(text: str) -> bytes:
+    """What bag gives, in few bytes: steps between the hashes and their numbers, compressed."""
+    ids, n = counted(text)
+    both = np.concatenate([np.diff(ids, prepend=np.uint32(0)), np.minimum(n, 0xFFFFFFFF).astype(np.uint32)])
+    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)  # all first bytes, all second ones: mostly zeros from there on
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0]
+    return np.cumsum(both[: len(both) // 2], dtype=np.uint32), shares(both[len(both) // 2 :])
 
 
 def buckets(hashes: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +173,8 @@ Bag = tuple[np.ndarray, np.ndarray]
 
 def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     """Learns from whole texts; see learn."""
-    known: dict[str, array] = {}
-    rows = [(bag(t, known), label) for t, label in zip(texts, labels, strict=True)]
-    return learn(rows, [bag(shuffled(t), {}) for t in texts[: max(20, len(texts) // 10)]], seed)
+    rows = [(bag(t), label) for t, label in zip(texts, labels, strict=True)]
+    return learn(rows, [bag(shuffled(t)) for t in texts[: max(20, len(texts) // 10)]], seed)
 
 
 def learn(rows: list[tuple[Bag, str]], foreign: list[Bag], seed: int = 7) -> Model:
@@ -225,22 +293,17 @@ def sample(df: DataFrame, text: str, lang: str, key: str, size: int = SAMPLE) ->
     mark = F.xxhash64(quoted(key).cast("string"), quoted(text), quoted(lang))
     rows = df.select(mark.alias("mark"), quoted(lang).alias("lang"), quoted(text).alias("text")).join(F.broadcast(shares), "lang")
     rows = rows.filter(F.pmod(F.xxhash64("mark", F.lit("sample")), F.lit(1 << 20)) / (1 << 20) < F.col("part")).dropDuplicates(["mark"]).select("mark", "lang", "text")
-    out, schema = extended(rows.select("mark", "lang"), "ids binary, share binary, foreign boolean")
+    out, schema = extended(rows.select("mark", "lang"), "bag binary, foreign boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("language sample", lambda: None)
         for batch in batches:
-            known: dict[str, array] = {}
             for mark, language, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = [(bag(t, known), False)]
-                if mark % 10 == 0:
-                    found.append((bag(shuffled(t), {}), True))
-                for (ids, part), foreign in found:
-                    yield pa.RecordBatch.from_pylist([{"mark": mark, "lang": language, "ids": ids.tobytes(), "share": part.tobytes(), "foreign": foreign}], schema=schema)
+                for foreign in (False, True) if mark % 10 == 0 else (False,):
+                    yield pa.RecordBatch.from_pylist([{"mark": mark, "lang": language, "bag": packed(shuffled(t) if foreign else t), "foreign": foreign}], schema=schema)
 
     found = sorted(rows.mapInArrow(run, out).collect(), key=lambda r: (r["mark"], r["foreign"]))
-    bags = [((np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["share"], np.float32)), r["lang"], r["foreign"]) for r in found]
-    return [(b, label) for b, label, foreign in bags if not foreign], [b for b, _, foreign in bags if foreign]
+    return [(unpacked(r["bag"]), r["lang"]) for r in found if not r["foreign"]], [unpacked(r["bag"]) for r in found if r["foreign"]]
 
 
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -259,41 +322,66 @@ class Words(dict):
         self.model, self.n = model, 0
         self.rows = np.zeros((1 << 12, len(model.languages) + 2), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        ids = np.frombuffer(subwords(word), np.uint32)
-        if self.n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.n, :-2] = self.model.logits[ids & (BUCKETS - 1)].sum(axis=0)
-        self.rows[self.n, -2:] = len(ids), self.model.unknown(ids).sum()
-        self[word] = self.n
-        self.n += 1
-        return self.n - 1
-
-
-def predict(words: Words, text: str | None) -> tuple[str, float, float]:
+    def add(self, words: Collection[str]) -> None:
+        """Work out words that aren't in the table, many at once."""
+        for part in portions(words):
+            ids, begins = hashes_of(part)
+            while self.n + len(part) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            new = self.rows[self.n : self.n + len(part)]
+            new[:, :-2] = np.add.reduceat(self.model.logits[ids & (BUCKETS - 1)], begins)
+            new[:, -2] = np.diff(begins, append=len(ids))
+            new[:, -1] = np.add.reduceat(self.model.unknown(ids), begins, dtype=np.int64)
+            self.update(zip(part, range(self.n, self.n + len(part)), strict=True))
+            self.n += len(part)
+
+
+def predictions_of(words: Words, texts: list[str | None]) -> list[tuple[str, float, float]]:
     """Language, score and the share of n-grams that no learned row has; `und`, 0 and 1 without a letter or a learned language."""
     if not words.model.languages:
-        return UNKNOWN, 0.0, 1.0
-    found = WORD.findall((text or "").lower())
-    if not any(any(map(str.isalpha, w)) for w in found):
-        return UNKNOWN, 0.0, 1.0
+        return [(UNKNOWN, 0.0, 1.0)] * len(texts)
     if words.n > CACHE:
         words.clear()
         words.n = 0
-    short = [w for w in found if len(w) <= LONG]
-    at = np.fromiter(map(words.__getitem__, short), np.int64, len(short))  # first: the table grows meanwhile
-    total = words.rows[at]
-    total = total.sum(axis=0, dtype=np.float64)
-    for w in found if len(short) < len(found) else ():
-        if len(w) > LONG:
-            ids = np.frombuffer(subwords(w), np.uint32)
-            total[:-2] += np.bincount(ids & (BUCKETS - 1), minlength=BUCKETS) @ words.model.logits
-            total[-2:] += len(ids), words.model.unknown(ids).sum()
+    found = [WORD.findall((t or "").lower()) for t in texts]
+    long = [[w for w in f if len(w) > LONG] if len(t or "") > LONG and max(map(len, f), default=0) > LONG else [] for f, t in zip(found, texts, strict=True)]
+    short = [[w for w in f if len(w) <= LONG] if x else f for f, x in zip(found, long, strict=True)]
+    words.add([w for w in set().union(*short) if w not in words])
+    return [prediction(words, *x) for x in zip(found, short, long, strict=True)]
+
+
+def prediction(words: Words, found: list[str], short: list[str], long: list[str]) -> tuple[str, float, float]:
+    if not any(any(map(str.isalpha, w)) for w in found):
+        return UNKNOWN, 0.0, 1.0
+    at = np.fromiter(map(words.__getitem__, short), np.int64, len(short))
+    total = words.rows[at].sum(axis=0, dtype=np.float64)
+    for w in long:
+        ids = subwords(w)
+        total[:-2] += np.bincount(ids & (BUCKETS - 1), minlength=BUCKETS) @ words.model.logits
+        total[-2:] += len(ids), words.model.unknown(ids).sum()
     p = softmax((total[:-2] / total[-2] + words.model.bias) / words.model.temperature)
     best = int(p.argmax())
     return words.model.languages[best], float(p[best]), float(total[-1] / total[-2])
 
 
+def predict(words: Words, text: str | None) -> tuple[str, float, float]:
+    """Of one text; see predictions_of."""
+    return predictions_of(words, [text])[0]
+
+
+def some(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts, about four times AT_ONCE characters at a time."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t.as_py())
+        size += len(part[-1] or "")
+        if size >= 4 * AT_ONCE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 _WORDS: dict[str, Words] = {}
 
 
@@ -311,7 +399,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
             _WORDS[name] = Words(shared.value)
         words, lowest, most = _WORDS[name], shared.value.reject, shared.value.strange
         for batch in batches:
-            found = [predict(words, t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            found = [x for texts in some(batch.column(batch.num_columns - 1)) for x in predictions_of(words, texts)]
             rejected = [x == UNKNOWN or s < lowest or new > most for x, s, new in found]
             columns = (pa.array([x for x, _, _ in found], pa.string()), pa.array([s for _, s, _ in found], pa.float64()), pa.array(rejected, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], schema=schema)

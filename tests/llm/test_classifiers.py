@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -309,3 +310,32 @@ def test_all_features_that_pass_are_kept():
         bags.add(toxicity.words_of(t))
     found = toxicity.chosen(bags, np.arange(1000) < 100)
     assert sum(f"={w}" in found for w in words) > 4500
+
+
+def test_hashes_of_many_words_at_once():
+    words = ["a", "bc", "aé", "日本語", "x😀y", "\ud800", "z" * 90, "Ω" * 40_000, "kortav"]
+    ids, begins = language.hashes_of(words)
+    plain = [[zlib.crc32(f"<{w}>"[i : i + n].encode("utf-8", "replace")) % language.KNOWN for n in language.GRAMS for i in range(len(w) + 3 - n)] for w in words]
+    assert [x.tolist() for x in np.split(ids, begins[1:])] == plain
+    text = " ".join(words[:1] * 3 + words[1:])
+    n = Counter(h for w in language.WORD.findall(text.lower()) for h in language.subwords(w).tolist())
+    ids, share = language.bag(text)
+    assert len(ids) == language.DRAWN or dict(zip(ids.tolist(), (share * n.total()).round().astype(int).tolist())) == n
+
+
+def test_new_words_are_worked_out_together_and_bags_come_packed(monkeypatch):
+    r = random.Random(3)
+    made = lambda: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(200))
+    texts = [made() for _ in range(20)]
+    model = language.train(texts, ["xa", "xb"] * 10)
+    one = [language.predict(language.Words(model), t) for t in [*texts, None, "12", "a" * 200]]
+    calls, real = [], language.hashes_of
+    monkeypatch.setattr(language, "hashes_of", lambda words: calls.append(len(words)) or real(words))
+    words = language.Words(model)
+    many = language.predictions_of(words, [*texts, None, "12", "a" * 200])
+    assert [m[0] for m in many] == [o[0] for o in one] and np.allclose([m[1:] for m in many], [o[1:] for o in one], atol=1e-5)
+    assert len(calls) <= 4 and len(words) == 4000  # 4000 calls before
+    for t in texts:
+        ids, share = language.bag(t)
+        found = language.unpacked(language.packed(t))
+        assert (found[0] == ids).all() and (found[1] == share).all() and len(language.packed(t)) < 3.2 * len(ids)  # 8 bytes each before

@@ -302,8 +302,9 @@ def sample(df: DataFrame, text: str, lang: str, key: str, size: int = SAMPLE) ->
                 for foreign in (False, True) if mark % 10 == 0 else (False,):
                     yield pa.RecordBatch.from_pylist([{"mark": mark, "lang": language, "bag": packed(shuffled(t) if foreign else t), "foreign": foreign}], schema=schema)
 
-    found = sorted(rows.mapInArrow(run, out).collect(), key=lambda r: (r["mark"], r["foreign"]))
-    return [(unpacked(r["bag"]), r["lang"]) for r in found if not r["foreign"]], [unpacked(r["bag"]) for r in found if r["foreign"]]
+    found = rows.mapInArrow(run, out).toArrow().sort_by([("mark", "ascending"), ("foreign", "ascending")])
+    bags = [(unpacked(b.as_py()), language.as_py(), foreign.as_py()) for b, language, foreign in zip(*(found.column(c) for c in ("bag", "lang", "foreign")), strict=True)]
+    return [(b, language) for b, language, foreign in bags if not foreign], [b for b, _, foreign in bags if foreign]
 
 
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:

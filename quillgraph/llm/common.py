@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import pickle
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,8 @@ from pyspark.sql.types import StructType
 
 from quillgraph.session import shared_dir, ship
 
+T = TypeVar("T")
+
 #: Rows an Arrow batch may hold, so that a batch of long documents fits a Python worker.
 BATCH_ROWS = 1000
 
@@ -77,6 +81,19 @@ def hold(owner: str, clear: Callable[[], object]) -> None:
     _HELD[owner] = clear
 
 
+def learned(sample: DataFrame, learn: Callable[[pa.Table], T]) -> T:
+    """What learn makes of a bounded sample, worked out in one task: of sample and work the driver gets the result alone."""
+    schema = to_arrow_schema(sample.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("learning", lambda: None)
+        rows = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in batches], schema)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(learn(rows))], pa.binary())})
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").toArrow()
+    return pickle.loads(found.column("model")[0].as_py()) if found.num_rows else learn(schema.empty_table())
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], work: Callable[..., list], schema: pa.Schema, slice_rows: int = 250) -> Iterator[pa.RecordBatch]:
     """Apply work to slices of each batch: it takes the columns as Python lists and returns the output columns."""
     gc.set_threshold(200_000, 50, 1000)  # caches hold many strings and no cycles

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillgraph.llm.common import crc_mod, extended, hold, plain_names, prepare, quoted
+from quillgraph.llm.common import crc_mod, extended, hold, learned, plain_names, prepare, quoted
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, DIMENSIONS, EPOCHS, RATE, BATCH = 1 << 16, 12, 6, 0.6, 16
@@ -31,7 +31,7 @@ GRAMS = (2, 3, 4)
 KNOWN = 1 << 20
 #: Rows of each language that are learned from, about, and of all together; the most frequent languages are learned, so many.
 SAMPLE, ROWS, LANGUAGES = 1500, 12_000, 200
-#: Distinct n-grams of a row that are learned from, drawn from its whole text: 8 bytes each, so a sample has under 400 MB. They come packed, in less than a third of it.
+#: Distinct n-grams of a row that are learned from, drawn from its whole text: 8 bytes each, so a sample has under 400 MB. They go to the task that learns packed, in less than a third of it.
 DRAWN = 4096
 #: Bound of each weight, so that logits are at most DIMENSIONS times its square. Letters above which a word isn't cached.
 WEIGHT, LONG = 4.0, 78
@@ -281,11 +281,11 @@ def rejection(right: np.ndarray, foreign: np.ndarray) -> float:
     return float(min(np.median(foreign), 1 / (1 + np.exp(-spared))))
 
 
-def sample(df: DataFrame, text: str, lang: str, key: str, size: int = SAMPLE) -> tuple[list[tuple[Bag, str]], list[Bag]]:
-    """Bags and labels of about `size` rows of each language by a hash, and bags of no language from a tenth of them.
+def drawn(df: DataFrame, text: str, lang: str, key: str, size: int = SAMPLE) -> DataFrame:
+    """mark, lang, bag, foreign: packed bags of about `size` rows of each language by a hash, and of no language from a tenth of them.
 
-    The LANGUAGES most frequent ones share ROWS rows. Rows that repeat key, text and language count once. Bags are made by the
-    executors, so what comes to the driver is bounded by ROWS and DRAWN, however long the texts and however many the languages.
+    The LANGUAGES most frequent ones share ROWS rows. Rows that repeat key, text and language count once. The sample is bounded by
+    ROWS and DRAWN, however long the texts and however many the languages.
     """
     counts = df.groupBy(quoted(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     size = min(size, max(1, ROWS // max(1, len(counts))))
@@ -302,17 +302,27 @@ def sample(df: DataFrame, text: str, lang: str, key: str, size: int = SAMPLE) ->
                 for foreign in (False, True) if mark % 10 == 0 else (False,):
                     yield pa.RecordBatch.from_pylist([{"mark": mark, "lang": language, "bag": packed(shuffled(t) if foreign else t), "foreign": foreign}], schema=schema)
 
-    found = rows.mapInArrow(run, out).toArrow().sort_by([("mark", "ascending"), ("foreign", "ascending")])
+    return rows.mapInArrow(run, out)
+
+
+def bags_of(found: pa.Table) -> tuple[list[tuple[Bag, str]], list[Bag]]:
+    """Bags and labels of drawn rows, and the bags of no language."""
+    found = found.sort_by([("mark", "ascending"), ("foreign", "ascending")])
     bags = [(unpacked(b.as_py()), language.as_py(), foreign.as_py()) for b, language, foreign in zip(*(found.column(c) for c in ("bag", "lang", "foreign")), strict=True)]
     return [(b, language) for b, language, foreign in bags if not foreign], [b for b, _, foreign in bags if foreign]
 
 
+def sample(df: DataFrame, text: str, lang: str, key: str, size: int = SAMPLE) -> tuple[list[tuple[Bag, str]], list[Bag]]:
+    """Bags of drawn rows on the driver; see drawn."""
+    return bags_of(drawn(df, text, lang, key, size).toArrow())
+
+
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learns from text and lang of rows with a lang whose crc32(id) mod 3 is not 1."""
+    """Learns from text and lang of rows with a lang whose crc32(id) mod 3 is not 1, in one task."""
     prepare(df.sparkSession)
-    learned = quoted(lang).isNotNull() & quoted(text).isNotNull() & (crc_mod(quoted(doc_id), 3) != 1)
-    rows = df.filter(learned).select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), quoted(lang).alias("lang"))
-    return learn(*sample(rows, "text", "lang", "doc_id"))
+    known = quoted(lang).isNotNull() & quoted(text).isNotNull() & (crc_mod(quoted(doc_id), 3) != 1)
+    rows = df.filter(known).select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), quoted(lang).alias("lang"))
+    return learned(drawn(rows, "text", "lang", "doc_id"), lambda found: learn(*bags_of(found)))
 
 
 class Words(dict):

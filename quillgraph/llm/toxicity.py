@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import crc_mod, extended, hold, plain_names, prepare, quoted
+from quillgraph.llm.common import crc_mod, extended, hold, learned, plain_names, prepare, quoted
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that are learned from at most, about: toxic ones and others.
@@ -226,8 +226,8 @@ def learn(texts: Iterable[set[str]], toxic: list[int], weights: tuple[float, flo
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", size: tuple[int, int] = SAMPLE, identities: dict[str, tuple[tuple[str, ...], ...]] = IDENTITIES) -> Model:
     """Learns from labelled rows whose crc32(id) mod 4 is not 2: of each label all, or about `size` of them by a hash of the id.
 
-    Executors make each text's set of words; rows that repeat id and text count once, so what comes to the driver is bounded by
-    size and the texts' different words.
+    Executors make each text's set of words; rows that repeat id and text count once, so what comes to the task that learns is
+    bounded by size and the texts' different words.
     """
     prepare(docs.sparkSession)
     key = quoted(doc_id)
@@ -248,9 +248,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             words = [sorted(words_of(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(words, schema.field(2).type)], schema=schema)
 
-    found = rows.mapInArrow(run, out).toArrow().sort_by("mark")
-    texts = (set(w.as_py()) for w in found.column("words"))
-    return learn(texts, found.column("y").to_pylist(), (1 / yes, 1 / no), identities)
+    def of(found: pa.Table) -> Model:
+        found = found.sort_by("mark")
+        return learn((set(w.as_py()) for w in found.column("words")), found.column("y").to_pylist(), (1 / yes, 1 / no), identities)
+
+    return learned(rows.mapInArrow(run, out), of)
 
 
 _KNOWN: dict[str, tuple[Model, dict[str, tuple[int, ...]]]] = {}

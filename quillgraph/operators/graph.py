@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quillgraph.operators import scan
+from quillgraph.operators import circuits, scan
 from quillgraph.session import shared_dir
 
 
@@ -280,40 +280,46 @@ def hierarchy(edges: DataFrame, start, edge_type: str = "EXTENDS", max_depth: in
     return up.unionByName(down).unionByName(one.select("id", F.lit(0).alias("depth"), F.lit("self").alias("direction")))
 
 
-#: Walks of half a cycle that a round of cycles has about, and the most rounds.
-WALKS, ROUNDS = 4_000_000, 64
+#: Walks of half a cycle that a round of cycles has about, the most rounds, and the most edges that each task holds whole.
+WALKS, ROUNDS, LINKS = 4_000_000, 64, 32_000_000
 
 
 def cycles(edges: DataFrame, min_length: int = 3, max_length: int = 5, limit: int | None = 20) -> DataFrame:
     """Simple directed cycles once each, from their least vertex: cycle (array), length; shortest first.
 
-    A cycle is met in the middle: a walk ahead of its least vertex and one that ends there, both over vertices above it, so
-    walks have half a cycle's edges at most. Walks are not kept: least vertices are dealt over rounds of about WALKS walks, a
-    round keeps the cycles it found, and its shuffles go when it ends. With a limit, longer cycles are only looked for while
-    shorter ones don't fill it.
+    Least vertices are dealt over rounds of about WALKS walks of half a cycle. Up to LINKS edges between whole numbers go to
+    each task (8 bytes an edge; see circuits), and their rounds are one stage of whoever reads the cycles. Otherwise a cycle is
+    met in the middle by joins: a walk ahead of its least vertex and one that ends there, both over vertices above it; a round
+    keeps the cycles it found, and its shuffles go when it ends. With a limit, longer cycles are only looked for while shorter
+    ones don't fill it.
     """
     links = keep(edges.filter("src <> dst").select("src", "dst").distinct())
+    held = circuits.load(links) if circuits.fits(links, LINKS) else None
+    shared = held and edges.sparkSession.sparkContext.broadcast(held)
     kind = links.schema["src"].dataType.simpleString()
     out = [edges.sparkSession.createDataFrame([], f"cycle array<{kind}>, length int")]
     found = 0
     for lengths in [[n] for n in range(min_length, max_length + 1)] if limit else [range(min_length, max_length + 1)]:
-        rounds = cycle_rounds(links, lengths)
+        rounds = cycle_rounds(links, lengths, shared)
         out += rounds
-        found += sum(r.count() for r in rounds) if limit else 0
+        found += reduce(DataFrame.unionByName, rounds).count() if limit else 0
         if limit and found >= limit:
             break
     every = reduce(DataFrame.unionByName, out)
     return every.orderBy("length", "cycle").limit(limit) if limit else every
 
 
-def cycle_rounds(links: DataFrame, lengths: Iterable[int]) -> list[DataFrame]:
-    """The simple cycles of the given lengths, by rounds that are kept one after the other."""
+def cycle_rounds(links: DataFrame, lengths: Iterable[int], shared=None) -> list[DataFrame]:
+    """The simple cycles of the given lengths, by rounds: of the shared graph of circuits, or kept one after the other."""
     spark, longest = links.sparkSession, max(lengths, default=0)
+    half = (longest + 1) // 2 + 1
+    if shared:
+        total = circuits.walks(*shared.value[1:3], (longest + 1) // 2).sum()
+        return circuits.rounds(links, shared, lengths, min(ROUNDS, max(1, ceil(total / half / WALKS))))
     step = links.select(F.col("src").alias("from"), F.col("dst").alias("to"))
     walks = links.select(F.col("dst").alias("from"), F.lit(1.0).alias("n"))
     for _ in range((longest + 1) // 2 - 1):  # how many walks end in each vertex
         walks = walks.groupBy("from").agg(F.sum("n").alias("n")).join(step, "from").select(F.col("to").alias("from"), "n")
-    half = (longest + 1) // 2 + 1
     rounds = min(ROUNDS, max(1, ceil((walks.agg(F.sum("n")).first()[0] or 0) / half / WALKS)))  # one vertex of each walk is its least
     out, setting = [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting, "false")
